@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyhound.llm.bpe import op3_speculative_bpe
 from tallyhound.llm.exact_dedup import OP6_SQL, op6_exact_dedup
+from tallyhound.llm.near_dedup import op9_lsh_forest
 from tallyhound.llm.reshard import op2_flow_reshard
 from tallyhound.llm.secret_scan import OP7_SQL, op7_secret_ownership
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_flow_reshard, op6_exact_dedup, op7_secret_ownership)
+    for f in (op2_flow_reshard, op3_speculative_bpe, op6_exact_dedup, op7_secret_ownership, op9_lsh_forest)
 }
 ORACLE: dict[str, str] = {"op6_exact_dedup": OP6_SQL, "op7_secret_ownership": OP7_SQL}
