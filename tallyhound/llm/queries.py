@@ -9,13 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from tallyhound.llm.bpe import op3_speculative_bpe
 from tallyhound.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from tallyhound.llm.language_id import op10_ftrl_language
+from tallyhound.llm.media_sniff import op8_signature_sniffing
 from tallyhound.llm.near_dedup import op9_lsh_forest
+from tallyhound.llm.packing import op5_conflict_best_fit
+from tallyhound.llm.pii_surrogates import op1_surrogates
 from tallyhound.llm.reshard import op2_flow_reshard
 from tallyhound.llm.secret_scan import OP7_SQL, op7_secret_ownership
 from tallyhound.llm.suffix_tree_lm import op4_suffix_tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_flow_reshard, op3_speculative_bpe, op4_suffix_tree, op6_exact_dedup, op7_secret_ownership, op9_lsh_forest, op10_ftrl_language)
+    for f in (
+        op1_surrogates, op2_flow_reshard, op3_speculative_bpe, op4_suffix_tree, op5_conflict_best_fit, op6_exact_dedup, op7_secret_ownership, op8_signature_sniffing,
+        op9_lsh_forest, op10_ftrl_language,
+    )
 }
 ORACLE: dict[str, str] = {"op6_exact_dedup": OP6_SQL, "op7_secret_ownership": OP7_SQL}
