@@ -52,7 +52,7 @@ def session_id(*parts: Column, prefix: str = "tr_", size: int = 12) -> Column:
 
 
 def folded(alerts: DataFrame) -> DataFrame:
-    """One row for each session_id of alerts (session_id, us, seq, score, rank, class, agent, event, freeze).
+    """One row for each session_id of alerts (session_id, us, seq, score, rank, class, agent, event, in_freeze).
 
     The last event wins by time, then order; the score is the highest; a declared class goes before a suspected one and
     that before the first; the latest agent that is no guess goes before the first guess.
@@ -62,5 +62,5 @@ def folded(alerts: DataFrame) -> DataFrame:
     return alerts.groupBy("session_id").agg(
         F.count("*").alias("alerts"), F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.max_by("event", at).alias("last_event"), F.max("score").alias("max_score"), F.max("rank").alias("max_rank"),
         F.coalesce(F.max(F.when(F.col("class") == "declared_agent", "declared_agent")), F.max(F.when(F.col("class") == "suspected_agent", "suspected_agent")), F.min_by("class", at)).alias("class"),
-        F.coalesce(F.max_by(F.when(~guess, F.col("agent")), F.when(~guess, at)), F.min_by("agent", F.when(F.col("agent") != "", at)), F.lit("")).alias("agent"), F.bool_or("freeze").alias("freeze"),
+        F.coalesce(F.max_by(F.when(~guess, F.col("agent")), F.when(~guess, at)), F.min_by("agent", F.when(F.col("agent") != "", at)), F.lit("")).alias("agent"), F.bool_or("in_freeze").alias("in_freeze"),
     )
