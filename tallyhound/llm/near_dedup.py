@@ -25,7 +25,7 @@ TREES, DEPTH = 24, 4
 #: By how much the share of equal signature values may fall below the similarity asked for (over five deviations).
 SLACK = 0.2
 #: Members of a region that are compared all with all; neighbours on a side in larger ones; most members dealt together.
-SMALL, NEAR, REGION = 16, 3, 4096
+SMALL, NEAR, REGION = 16, 3, 512
 #: Most documents of a family that are checked in one go.
 BLOCK = 1000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -106,8 +106,25 @@ def signed(df: DataFrame, words: int) -> DataFrame:
     return df.mapInPandas(run, f"doc_id {kind}, n long, h1 long, h2 long, sign binary, regions array<long>")
 
 
+def spanning(pairs: list[list[int]]) -> list[tuple[int, int]]:
+    """Those of some pairs that tie together what all of them do."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    out = []
+    for a, b in pairs:
+        if (p := find(a)) != (q := find(b)):
+            root[max(p, q)] = min(p, q)
+            out.append((min(a, b), max(a, b)))
+    return out
+
+
 def neighbours(members: DataFrame, least: float) -> DataFrame:
-    """(a, b) pairs of neighbours in the sorted orders whose signatures agree in a share of at least `least`.
+    """(a, b) pairs that tie together the neighbours in the sorted orders whose signatures agree in a share of `least` or more.
 
     members: tree, region, size, node, sign. A tree's order goes on from its own values to those of the next trees.
     """
@@ -133,8 +150,7 @@ def neighbours(members: DataFrame, least: float) -> DataFrame:
                 found.append(np.stack([node[i], node[i + gap]]))
             rest = batch.iloc[-SMALL:]
             if found:
-                pairs = np.concatenate(found, axis=1)
-                yield pd.DataFrame({"a": pairs.min(axis=0), "b": pairs.max(axis=0)}).drop_duplicates()
+                yield pd.DataFrame(spanning(np.concatenate(found, axis=1).T.tolist()), columns=["a", "b"], dtype="int64")
 
     return dealt.mapInPandas(run, "a long, b long").filter("a <> b").distinct()
 
