@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyhound.sources.tables import stored
+
 
 def as_of(left: DataFrame, right: DataFrame, *, key: list[str], us: str = "us", seq: str = "seq", take: str, span: int | None = None) -> DataFrame:
     """left with the latest `take` of right at or before each row's time, null if there is none.
@@ -56,10 +58,11 @@ def overlaid(base: DataFrame, layer: DataFrame, *, key: str, disabled: str = "di
 
 def closure(edges: DataFrame, roots: DataFrame, *, node: str = "node", parent: str = "parent") -> DataFrame:
     """All nodes that have a root among their ancestors, or are one. One join a generation; each reached node once."""
-    reached = frontier = roots.select(node).distinct()
+    edges = stored(edges.select(node, parent), "closure-edges")
+    reached = frontier = stored(roots.select(node).distinct(), "closure")
     while True:
         nearer = edges.join(frontier.withColumnRenamed(node, parent), parent).select(node).distinct().join(reached, node, "left_anti")
-        frontier = nearer.checkpoint() if edges.sparkSession.sparkContext.getCheckpointDir() else nearer.persist()
+        frontier = stored(nearer, "closure")
         if frontier.isEmpty():
             return reached
         reached = reached.unionByName(frontier)
