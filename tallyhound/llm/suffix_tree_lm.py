@@ -258,7 +258,7 @@ def lm_score(df: DataFrame, *, held_out: str = "held_out", id_col: str = "doc_id
     tokens, kinds = total + ends, kinds + (ends > 0)
     letters = {r[0]: r[1] for r in counts.filter("byte >= 0").select("byte", "n").collect()}  # at most 256 rows
     code = alphabet(letters)
-    nodes = tree_nodes(gram_counts(train, code), settings).toPandas().sort_values(["depth", "context", "symbol"])
+    nodes = tree_nodes(gram_counts(train, code), settings).toArrow().to_pandas().sort_values(["depth", "context", "symbol"])  # bounded by settings.least
     whole = tokens + 0.5 * (kinds + 1)
     common = {bytes(r[0]): float(np.log10((r[1] + 0.5) / whole)) for r in words.filter(F.col("n") > tokens / settings.common).collect()}  # fewer than settings.common rows
     end = float(np.log10((ends + 0.5) / whole))
