@@ -20,9 +20,11 @@ RANKS = {"none": 0, "info": 1, "alert": 2, "high": 3}
 def recorded_events(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(events, skipped) of recorded lines. Blank lines and comments do not count; a line that is no event raises when it
     is read; one without a time is skipped."""
-    lines = spark.read.text(path).filter("trim(value) <> '' AND NOT startswith(ltrim(value), '#')")
-    parsed = lines.select(F.from_json("value", EVENT, {"mode": "FAILFAST"}).alias("e"), "value")
-    checked = parsed.withColumn("_ok", F.when(F.coalesce(F.col("e.kind"), F.lit("")) == "", F.raise_error(F.concat(F.lit("no kind: "), F.col("value")))).otherwise(F.lit(True)).cast("boolean")).filter("_ok")
+    lines = spark.read.text(path)
+    said = F.when((F.trim("value") != "") & ~F.ltrim("value").startswith("#"), F.col("value"))  # filters may be reordered, a condition may not
+    parsed = lines.select("value", F.from_json(said, EVENT, {"mode": "FAILFAST"}).alias("e"), said.isNotNull().alias("_said"))
+    ok = F.when(~F.col("_said"), False).when(F.coalesce(F.col("e.kind"), F.lit("")) == "", F.raise_error(F.concat(F.lit("no kind: "), F.col("value"))).cast("boolean")).otherwise(True)
+    checked = parsed.withColumn("_ok", ok).filter("_ok")
     return checked.filter("e.ts IS NOT NULL").select("e.*"), checked.filter("e.ts IS NULL").select("value")
 
 
