@@ -119,3 +119,19 @@ def exposition(counts: dict[str, dict[tuple[tuple[str, str], ...], float]], help
 def event_counts(events: DataFrame) -> dict[str, dict[tuple[tuple[str, str], ...], float]]:
     kinds = events.groupBy("kind").count().collect()  # as many rows as there are kinds
     return {"events_total": {(("kind", r["kind"]),): float(r["count"]) for r in kinds}}
+
+
+def markdown(df: DataFrame) -> str:
+    """A small result, such as a report's groups, as a Markdown table; cells are escaped where the rows are."""
+    from tallyhound.functions.text import markdown_escaped
+
+    cells = df.select(*[markdown_escaped(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c) for c in df.columns])
+    rows = ["| " + " | ".join(r) + " |" for r in cells.toLocalIterator()]
+    return "\n".join(["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns), *rows]) + "\n"
+
+
+def explanation() -> Column:
+    """One sentence on a verdict (score, level, class, agent, reasons), for people."""
+    who = F.when(F.col("class") == "declared_agent", F.concat(F.lit("says it is "), F.col("agent"))).when(F.col("class") == "suspected_agent", F.concat(F.lit("looks like "), F.when(F.col("agent") != "", F.col("agent")).otherwise("an unknown tool"))).otherwise("looks like a person")
+    why = F.when(F.size("reasons") > 0, F.concat(F.lit(" because of "), F.array_join(F.slice("reasons", 1, 5), ", "))).otherwise("")
+    return F.concat(F.lit("This session "), who, F.lit(" (score "), F.col("score").cast("string"), F.lit(", "), F.col("level"), F.lit(")"), why, F.lit("."))

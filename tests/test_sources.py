@@ -118,3 +118,9 @@ def test_sessions_and_verdicts(spark):
     assert {"banner.library", "rhythm.burst", "pty.none", "style.pager_guard.head"} <= set(bot.reasons) and bot.level in ("alert", "high") and bot["class"] == "suspected_agent"
     assert {"proc.agent_name", "proc.skip_flags"} <= set(eve.reasons) and eve.agent == "claude-code"
     assert eve.score == 70  # interactive use does not speak for a session whose processes speak against it
+
+
+def test_renderers(spark):
+    df = spark.createDataFrame([(91, "high", "suspected_agent", "", ["rhythm.burst", "a|b"])], "score int, level string, class string, agent string, reasons array<string>")
+    assert df.select(sinks.explanation().alias("x")).first().x == "This session looks like an unknown tool (score 91, high) because of rhythm.burst, a|b."
+    assert sinks.markdown(df.select("score", F.lit("a|b").alias("x"))) == "| score | x |\n|---|---|\n| 91 | a\\|b |\n"
