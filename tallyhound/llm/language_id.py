@@ -185,9 +185,12 @@ class Model:
 
 
 def fit(train: DataFrame, settings: Settings = Settings()) -> Model:
-    """train: text and lang, neither null. Without any row the model knows no language and predicts `und` only."""
+    """train: doc_id, text and lang, the last two not null. Without any row the model knows no language and predicts `und`.
+
+    The id only helps to draw the sample: by the text alone, a text with many copies would come with all of them.
+    """
     spark = train.sparkSession
-    train = train.filter("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")
+    train = train.filter("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
     counts = {r[0]: r[1] for r in train.groupBy("lang").count().collect()}  # as many rows as there are languages
     langs = sorted(counts)
     if not langs:
@@ -196,7 +199,7 @@ def fit(train: DataFrame, settings: Settings = Settings()) -> Model:
     idf = np.log((1 + n) / (1 + df)) + 1
     each = settings.sample // len(langs)
     share = spark.createDataFrame([(x, min(1.0, each / counts[x]) * 1_000_000) for x in langs], "lang string, most double")
-    drawn = train.join(F.broadcast(share), "lang").filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.col("most"))
+    drawn = train.join(F.broadcast(share), "lang").filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < F.col("most"))
     drawn = stored(drawn.withColumn("fold", F.pmod(F.xxhash64("text", F.lit(1)), F.lit(5))).select("text", "lang", "fold"), "language-sample")
     weights = learnt(drawn.filter("fold > 0"), idf, langs, settings)
     table = np.vstack([weights[:-1] * idf[:, None], np.zeros((1, len(langs)))])
@@ -243,7 +246,7 @@ def identify(df: DataFrame, model: Model, *, text_col: str = "text", lang_col: s
 
 
 def training(docs: DataFrame) -> DataFrame:
-    return docs.filter((crc32_mod(F.col("doc_id"), 3) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
+    return docs.filter((crc32_mod(F.col("doc_id"), 3) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
 
 
 def accepted(df: DataFrame, *, least: float = 0.3) -> DataFrame:
