@@ -158,21 +158,22 @@ def neighbours(members: DataFrame, least: float) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node that each node of the edges (a, b) reaches.
 
-    Each round takes the least label among a node and its neighbours and then that label's own label, which halves the
-    distances; labels are written to the shared folder after each round.
+    Each round gives a node the least of itself and its neighbours, follows that one step further, and goes on with the
+    edges between different labels only, so that a round costs less than the one before. Nodes are hashes: their order is
+    at random, which keeps the rounds few. The smallest node of a component keeps itself as its label throughout.
     """
-    edges = stored(edges.select("a", "b"), "edges")
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("node"), "label"), "labels")
+    edges, overall = stored(edges.select("a", "b"), "edges"), None
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        stepped = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        # labels that are the same node for many others are few among the nodes; the lookup is by the smaller, distinct side
-        onward = labels.select(F.col("node").alias("label"), F.col("label").alias("next")).filter("label <> next")
-        moved = stored(stepped.join(onward, "label", "left").select("node", "was", F.least("label", F.coalesce("next", "label")).alias("label")), "labels")
-        labels = moved.select("node", "label")
-        if moved.filter("was <> label").isEmpty():
-            return labels
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label"))
+        onward = near.filter("node <> label").select(F.col("node").alias("label"), F.col("label").alias("next"))
+        moved = stored(near.join(onward, "label", "left").select("node", F.coalesce("next", "label").alias("label")), "labels")
+        step = moved.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        overall = moved if overall is None else stored(overall.join(step, "label", "left").select("node", F.coalesce("next", "label").alias("label")), "labels")
+        ends = edges.join(moved.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(moved.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
+        edges = stored(ends.filter("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "edges")
+        if edges.isEmpty():
+            return overall
 
 
 def joined_blocks(sets: list[np.ndarray], least: int) -> list[tuple[int, int]]:

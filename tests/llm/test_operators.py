@@ -304,3 +304,12 @@ def test_language_learns_and_rejects(spark):
 ])
 def test_empty_tables(spark, run):
     assert run(frame(spark, [])).count() == 0
+
+
+def test_components_of_paths_stars_and_single_edges(spark):
+    rng = np.random.default_rng(3)
+    names = rng.permutation(10**6)[:200].tolist()
+    pairs = [*zip(names[:60], names[1:60]), *[(names[60], x) for x in names[61:120]], (names[130], names[131]), (names[131], names[130])]
+    got = {r.node: r.label for r in near_dedup.components(spark.createDataFrame([(int(min(p)), int(max(p))) for p in pairs], "a long, b long")).collect()}
+    want = {x: min(g) for g in (names[:60], names[60:120], names[130:132]) for x in g}
+    assert got == want
