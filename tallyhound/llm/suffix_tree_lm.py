@@ -26,7 +26,7 @@ from tallyhound.llm.common import crc32_mod, documents, stored, text_or_empty
 DEPTH, BITS = 6, 6
 CODES = 1 << BITS
 #: Positions scored one after the other in one row of the arrays, and bytes of text taken at a time.
-SPAN, CHUNK = 256, 4_000_000
+SPAN, CHUNK = 256, 1_000_000
 
 
 @dataclass(frozen=True)
@@ -73,7 +73,7 @@ def word_counts(train: DataFrame) -> DataFrame:
                 words = words_of(text)
                 seen.update(words)
                 letters += np.bincount(np.frombuffer(b" ".join(words), dtype=np.uint8), minlength=256)
-                if len(seen) > 400_000:
+                if len(seen) > 150_000:
                     yield flush()
         yield flush()
         yield pd.DataFrame({"word": [b""] * 256, "byte": range(256), "n": letters}).query("n > 0")
@@ -125,10 +125,10 @@ def gram_counts(train: DataFrame, code: np.ndarray) -> DataFrame:
                 g, c = np.unique(gram[np.cumsum(scored[:-1]) > 0], return_counts=True)
                 grams.append(g)
                 counts.append(c)
-                if sum(map(len, grams)) > 3_000_000:
+                if sum(map(len, grams)) > 1_200_000:
                     g, c = merged(grams, counts)
                     grams, counts = [g], [c]
-                    if len(g) > 2_000_000:
+                    if len(g) > 700_000:
                         yield pd.DataFrame({"gram": g, "n": c})
                         grams, counts = [], []
         if grams:
@@ -170,6 +170,7 @@ class Tree:
 
     def __init__(self, nodes: pd.DataFrame, code: np.ndarray, letters: dict[int, int], s: Settings):
         self.code = code
+        nodes = nodes.sort_values(["depth", "context", "symbol"])
         rare = [b for b in range(256) if code[b] == 1]
         seen = sum(letters.get(b, 0) for b in rare)
         self.rare = np.zeros(256)
@@ -191,28 +192,30 @@ class Tree:
             return first[d] + at, states[d][at] == keys
 
         symbols = np.arange(CODES, dtype=np.int64)
-        p = np.full((1, CODES), 1.0 / CODES)
         probability = np.zeros((first[-1], CODES), dtype=np.float32)
+        symbol, count = nodes["symbol"].to_numpy(np.int64), nodes["n"].to_numpy(np.float64)
         for d in range(DEPTH + 1):
-            at = slice(first[d], first[d + 1])
-            if d:
-                up = place(d - 1, states[d] & ((1 << (BITS * (d - 1))) - 1))[0]
-                p, fall = probability[up], self.next[up]
-            else:
-                fall = np.zeros((1, CODES), dtype=np.int32)
-            mine = depth == d
-            n = np.zeros((len(states[d]), CODES))
-            if mine.any():
-                row = np.searchsorted(states[d], context[mine])
-                n[row, nodes["symbol"].to_numpy(np.int64)[mine]] = nodes["n"].to_numpy(np.float64)[mine]
-            weight = s.weight if d else CODES / 2
-            probability[at] = (n + weight * p) / (n.sum(axis=1, keepdims=True) + weight)
-            if d < DEPTH and first[d + 2] > first[d + 1]:
-                to, there = place(d + 1, (states[d][:, None] << BITS) | symbols)
-                self.next[at] = np.where(there, to, fall)
-            else:
-                self.next[at] = fall
-        self.log = np.log10(probability).ravel()
+            mine = np.flatnonzero(depth == d)
+            row = np.searchsorted(states[d], context[mine])
+            for lo in range(0, len(states[d]), 4096):  # a few states at a time, to bound what each worker needs
+                keys = states[d][lo : lo + 4096]
+                at = slice(first[d] + lo, first[d] + lo + len(keys))
+                if d:
+                    up = place(d - 1, keys & ((1 << (BITS * (d - 1))) - 1))[0]
+                    p, fall = probability[up].astype(np.float64), self.next[up]
+                else:
+                    p, fall = np.full((1, CODES), 1.0 / CODES), np.zeros((1, CODES), dtype=np.int32)
+                n = np.zeros((len(keys), CODES))
+                some = slice(*np.searchsorted(row, [lo, lo + len(keys)]))
+                n[row[some] - lo, symbol[mine[some]]] = count[mine[some]]
+                weight = s.weight if d else CODES / 2
+                probability[at] = (n + weight * p) / (n.sum(axis=1, keepdims=True) + weight)
+                if d < DEPTH and len(states[d + 1]):
+                    to, there = place(d + 1, (keys[:, None] << BITS) | symbols)
+                    self.next[at] = np.where(there, to, fall)
+                else:
+                    self.next[at] = fall
+        self.log = np.log10(probability, out=probability).ravel()
         self.next = self.next.ravel()
         state = 0
         for _ in range(DEPTH):
@@ -258,7 +261,7 @@ def lm_score(df: DataFrame, *, held_out: str = "held_out", id_col: str = "doc_id
     tokens, kinds = total + ends, kinds + (ends > 0)
     letters = {r[0]: r[1] for r in counts.filter("byte >= 0").select("byte", "n").collect()}  # at most 256 rows
     code = alphabet(letters)
-    nodes = tree_nodes(gram_counts(train, code), settings).toArrow().to_pandas().sort_values(["depth", "context", "symbol"])  # bounded by settings.least
+    nodes = tree_nodes(gram_counts(train, code), settings).toArrow().to_pandas()  # bounded by settings.least
     whole = tokens + 0.5 * (kinds + 1)
     common = {bytes(r[0]): float(np.log10((r[1] + 0.5) / whole)) for r in words.filter(F.col("n") > tokens / settings.common).collect()}  # fewer than settings.common rows
     end = float(np.log10((ends + 0.5) / whole))
@@ -267,19 +270,21 @@ def lm_score(df: DataFrame, *, held_out: str = "held_out", id_col: str = "doc_id
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         nodes, code, letters, s, common = shared.value
         tree = Tree(nodes, code, letters, s)
+        del nodes
         for batch in batches:
-            texts, rows = batch["text"].tolist(), []
+            texts = batch["text"].tolist()
             for a, b in chunked(texts):
+                rows = []
                 split = [words_of(t) for t in texts[a:b]]
                 for words, score in zip(split, tree.score(split)):
                     found = [common.get(w) for w in words]
                     known = [x for x in found if x is not None]
                     rare = Counter([w for w, x in zip(words, found) if x is None]) if len(known) < len(words) else {}
                     rows.append((len(words) + 1, len(known) + (ends > 0), sum(known) + end, float(score), list(rare.keys()), list(rare.values())))
-            out = pd.DataFrame(rows, columns=["n_tokens", "n_known", "base", "score", "rare", "times"])
-            for k, c in enumerate(("row", "doc_id", "held_out")):
-                out.insert(k, c, batch[c].to_numpy())
-            yield out
+                out = pd.DataFrame(rows, columns=["n_tokens", "n_known", "base", "score", "rare", "times"])
+                for k, c in enumerate(("row", "doc_id", "held_out")):
+                    out.insert(k, c, batch[c].to_numpy()[a:b])
+                yield out
 
     kind = df.schema[id_col].dataType.simpleString()
     scored = docs.withColumn("row", F.monotonically_increasing_id()).mapInPandas(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<binary>, times array<long>")
