@@ -45,8 +45,9 @@ PATTERNS = [
     ("name", rf"(?<!\w)(?:{'|'.join(x for g in ADDRESS.values() for x in g)})\.?[ ]{_WORD}(?:[ ]{_WORD})?"),
 ]
 _ALL = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS))
-#: What every text with an entity has: Spark drops the other rows before any work in Python.
-HINT = r"@|[0-9][0-9().\- ]{5,}[0-9]|(" + "|".join(x for g in ADDRESS.values() for x in g) + r")\.? "
+#: What every text with an entity has: Spark drops the other rows before any work in Python. Few letters start a name's form.
+_FORMS = [x for g in ADDRESS.values() for x in g]
+HINT = r"@|[0-9][0-9().\- ]{5,}[0-9]|(?=[" + "".join(sorted({x[0] for x in _FORMS})) + "])(?:" + "|".join(_FORMS) + r")\.? "
 _GENDER = {x: g for g, xs in ADDRESS.items() for x in xs}
 
 
@@ -160,7 +161,7 @@ def with_surrogates(df: DataFrame, *, key: bytes, id_col: str = "doc_id", text_c
     """
     cols = df.columns
     hinted = F.col(text_col).rlike(HINT)
-    some = df.filter(hinted)
+    some = stored(df.filter(hinted), "rows-with-hints")
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
