@@ -6,7 +6,7 @@ the rows are written as Parquet and read again.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhound.llm.common import documents, stored
@@ -23,13 +23,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one document stays; of repeated rows, too."""
-    return _kept(docs, exact_dedup(docs))
+    """Of equal texts one row stays, whatever the ids: the longest original, then the smallest id, null ids last."""
+    rows = _numbered(docs)
+    longest = -F.coalesce(F.length("text"), F.lit(0))
+    return _elected(rows, exact_dedup(rows, id_col="_row").select("_row", F.col("keep_id").alias("_group")), longest)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that links of similarity 0.8 over five-word shingles tie together, the smallest id stays."""
-    return _kept(docs, near_dedup(docs, words=5, least=80))
+    """Of each group that links of similarity 0.8 over five-word shingles tie together, one row stays: the smallest id, null ids last."""
+    rows = _numbered(docs)
+    return _elected(rows, near_dedup(rows, words=5, least=80, id_col="_row").select("_row", F.col("component_id").alias("_group")))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,12 +45,17 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packed_documents(docs)
 
 
-def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    ids = stored(verdicts.filter("kept").select("doc_id"), "kept-ids")
-    known = docs.join(ids.filter("doc_id IS NOT NULL").distinct().hint("shuffle_hash"), "doc_id", "left_semi")
-    out = known.unionByName(docs.filter("doc_id IS NULL")) if ids.filter("doc_id IS NULL").count() else known
-    repeated = ids.count() > ids.distinct().count()
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number of their own for each row, as ids may be null or shared; written, so that the numbers stay."""
+    return stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered-rows")
+
+
+def _elected(rows: DataFrame, groups: DataFrame, *before: Column) -> DataFrame:
+    """One row of each group (_row, _group): the first by the columns `before`, then by doc_id, then by number."""
+    order = [*(c.alias(f"_{i}") for i, c in enumerate(before)), F.col("doc_id").isNull().alias("_unknown"), F.col("doc_id"), F.col("_row")]
+    first = groups.join(rows.select("_row", F.struct(*order).alias("_order")), "_row").groupBy("_group").agg(F.min("_order").alias("_order"))
+    kept = stored(first.select("_order._row"), "kept-rows")
+    return rows.join(kept.hint("shuffle_hash"), "_row", "left_semi").drop("_row")
 
 
 STAGES = [

@@ -38,6 +38,24 @@ def test_stages_have_their_effect(spark, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == near
 
 
+def test_rows_without_an_id_or_with_a_shared_one_keep_their_own_verdict(spark):
+    long = lambda seed: " ".join(f"{seed}{k}" for k in range(60))
+    rows = [
+        (None, "a text without an id"), (None, "quite another one"), (None, "a text  without an id"), (None, "held by three as well"), (3, "held by three as well"),
+        (5, "first text of five"), (5, "second text of five"), (4, "second text of five"), (5, "third  text of five"), (5, "third text of five"),
+        (None, long("p")), (None, long("p") + " end"), (7, long("q") + " end"), (8, long("q")), (8, long("r")), (9, long("s")), (9, long("s") + " end"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    exact = corpus_pipeline.drop_exact_copies(spark, docs, "")
+    want = [r for r in rows if r not in {(None, "a text without an id"), (None, "held by three as well"), (5, "second text of five"), (5, "third text of five")}]
+    known = lambda rs: sorted((tuple(r) for r in rs), key=str)
+    assert known(exact.collect()) == known(want)
+    near = [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, exact, "").collect()]
+    assert len(near) == len(set(near)) == len(want) - 3 and set(near) <= set(want)
+    assert (7, long("q") + " end") in near and (8, long("q")) not in near and (8, long("r")) in near
+    assert sum((i, t[:1]) == (None, "p") for i, t in near) == 1 and sum(i == 9 for i, _ in near) == 1
+
+
 def test_registered():
     names = list(__spark_entry__.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
