@@ -47,11 +47,12 @@ def crc32_mod(col: Column, n: int) -> Column:
 def join_by_group(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, parts: int = 256) -> DataFrame:
     """rows with the columns of their group (null where groups has none), for groups of any size.
 
-    groups has one row for each key, and the number of its rows in `size`. Groups with over 1/parts of all rows are
-    fewer than `parts`, which bounds what is broadcast; any other group is at most that share of a shuffle.
+    groups has one row for each key, and the number of its rows in `size`; total is the sum of the sizes, or more. Groups
+    with over 1/parts of all rows are fewer than `parts`, which bounds what is broadcast; any other group is at most that
+    share of a shuffle. With a total that is too small more is broadcast, but no group is left out.
     """
     floor = max(1, total // parts)
-    heavy = groups.filter(F.col(size) > floor).limit(parts)  # fewer than parts + 1 by the pigeonhole principle
+    heavy = groups.filter(F.col(size) > floor)  # fewer than parts + 1 by the pigeonhole principle
     light = groups.filter(F.col(size) <= floor)
     apart = rows.join(F.broadcast(heavy), key, "left_semi").join(F.broadcast(heavy), key)
     rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key, "left")

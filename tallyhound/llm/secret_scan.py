@@ -85,8 +85,9 @@ def classed(found: DataFrame, example_owners: int) -> DataFrame:
     """found (doc_id, text_hash, owner, repo, base, extra) with `spans`: all of base, and what of extra looks live, each with its class."""
     some = found.filter("size(base) + size(extra) > 0")
     one = some.dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text_hash", F.explode(F.concat("base", "extra")).alias("s")).select("doc_id", "text_hash", "s", "s.value")
-    total = max(1, one.count())
-    with_class = join_by_group(one, owned(some, example_owners), "value", "n", total)
+    held = stored(owned(some, example_owners), "secret-owners")
+    total = max(1, held.agg(F.sum("n")).first()[0] or 0)  # n counts repeated rows, which `one` has once
+    with_class = join_by_group(one, held, "value", "n", total)
     kept = with_class.filter("s.ord < 3 OR class = 'live'")
     spans = kept.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("s.start", "s.ord", "s.kind", "s.end", "s.value", "class"))).alias("spans"))
     known = found.filter("doc_id IS NOT NULL").join(spans, ["doc_id", "text_hash"], "left")

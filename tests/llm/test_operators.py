@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.common import frame, rows
 from tallyhound.llm import bpe, exact_dedup, language_id, media_sniff, near_dedup, packing, pii_surrogates, reshard, secret_scan, suffix_tree_lm
-from tallyhound.llm.common import crc32_mod
+from tallyhound.llm.common import crc32_mod, join_by_group
 
 DATA = rows()
 BLANK = re.compile("[\x20\x09-\x0d]")
@@ -232,6 +232,18 @@ def test_redaction_masks_and_keeps_rows(spark):
     assert got[1][0].text == "x [SECRET] [SECRET]\" [SECRET] [SECRET]"
 
 
+def test_every_secret_of_repeated_rows_has_its_class(spark):
+    data = [(i, f"token live{i:06d}abcdefgh here", "en", "a") for i in range(600) for _ in range(4)]
+    got = secret_scan.secret_scan(frame(spark, data)).collect()
+    assert len(got) == len(data) and all([(s.kind, s["class"]) for s in r.spans] == [("live", "live")] for r in got)
+
+
+def test_no_group_is_left_out_where_the_total_is_too_small(spark):
+    groups = spark.range(600).select(F.col("id").alias("k"), F.lit(4).alias("n"), F.lit("x").alias("said"))
+    got = join_by_group(spark.range(600).withColumnRenamed("id", "k"), groups, "k", "n", 600).collect()
+    assert len(got) == 600 and {r.said for r in got} == {"x"}
+
+
 def test_media_round_trip(spark):
     got = by_id(media_sniff.media_column(frame(spark), blobs=True))
     kinds = set()
