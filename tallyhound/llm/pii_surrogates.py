@@ -92,15 +92,25 @@ def luhn(digits: str) -> int:
 
 
 def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
-    """A replacement of the same type: same length and layout of digits and letters, same script and gender."""
+    """A replacement of the same type: same length and layout of digits and letters, same script and gender.
+
+    Later attempts draw from more: names have one more syllable at each second attempt, e-mail addresses one more letter,
+    numbers one more digit at each fourth. Addresses of a private block move to 10.* at the second attempt; from the
+    fourth on, where IPv4 has no room, an address is a unique local one of IPv6.
+    """
     draw = Draw(key, kind, entity, attempt)
     if kind == "email":
         local, _, domain = entity.partition("@")
         *hosts, top = domain.split(".")
         swap = lambda s: "".join(chr(97 + draw(26)) if c.isalpha() else str(draw(10)) if c.isdigit() else c for c in s)
-        return f"{swap(local)}@{'.'.join(map(swap, hosts))}.{top}"
+        more = "".join(chr(97 + draw(26)) for _ in range(attempt // 2))
+        return f"{swap(local)}{more}@{'.'.join(map(swap, hosts))}.{top}"
     if kind == "ip":
+        if attempt >= 4:
+            return ":".join([f"fd{draw(1 << 8):02x}", *(f"{draw(1 << 16):x}" for _ in range(7))])
         a, b, *rest = map(int, entity.split("."))
+        if attempt >= 2 and ((a, b) == (192, 168) or (a == 172 and 16 <= b < 32)):
+            a = 10
         if a in (10, 127) or (a, b) == (192, 168) or (a == 172 and 16 <= b < 32):
             fixed = 1 if a in (10, 127) else 2
             return ".".join(map(str, [a, b][:fixed] + [draw(254) + 1 for _ in range(4 - fixed)]))
@@ -109,14 +119,14 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
     if kind.startswith("name"):
         _, role, script = kind.split(".")
         parts = SYLLABLES[script]
-        return "".join(parts[draw(len(parts))] for _ in range(3)) + ENDINGS[script][role]
+        return "".join(parts[draw(len(parts))] for _ in range(3 + attempt // 2)) + ENDINGS[script][role]
     sign, digits = ("+", entity[1:]) if entity[0] == "+" else ("", entity)
     if kind == "card":  # the issuer's digit stays, and so does whether the check digit is right
-        body = digits[0] + "".join(str(draw(10)) for _ in digits[2:])
+        body = digits[0] + "".join(str(draw(10)) for _ in range(len(digits) - 2 + attempt // 4))
         last = next(d for d in "0123456789" if luhn(body + d) == 0)
         return body + (last if luhn(digits) == 0 else str((int(last) + 1 + draw(9)) % 10))
     keep = max(0, len(digits) - 10) if kind == "phone" else 0  # the country's code stays
-    return sign + digits[:keep] + "".join(str(2 + draw(8)) if k == 0 else str(draw(10)) for k in range(len(digits) - keep))
+    return sign + digits[:keep] + "".join(str(2 + draw(8)) if k == 0 else str(draw(10)) for k in range(len(digits) - keep + attempt // 4))
 
 
 def worn(kind: str, mention: str, new: str) -> str:
@@ -128,7 +138,7 @@ def worn(kind: str, mention: str, new: str) -> str:
     if kind.startswith("name"):
         return new.upper() if mention.isupper() else new[0].upper() + new[1:]
     digits = iter(new.lstrip("+"))
-    return "".join(next(digits) if c.isdigit() else c for c in mention)
+    return "".join(next(digits) if c.isdigit() else c for c in mention) + "".join(digits)  # a longer number ends with what is more
 
 
 def assigned(entities: DataFrame, key: bytes) -> DataFrame:

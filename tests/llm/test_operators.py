@@ -297,6 +297,27 @@ def test_surrogates_draw_again_on_collisions(spark, monkeypatch):
     assert len({r.surrogate for r in got}) == 20 and not {r.surrogate for r in got} & {str(k) for k in range(20)}
 
 
+def test_surrogates_suffice_for_more_entities_than_the_first_space_holds(spark):
+    names = [("name.s.greek", f"επώνυμο{k}", 1) for k in range(20_000)]  # 26^3 = 17,576 forms
+    block = [("ip", f"192.168.{a}.{b}", 1) for a in range(256) for b in range(256)]  # no address of the block is free
+    mails = [("email", f"{a}@{b}.io", 1) for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    entities = spark.createDataFrame(names + block + mails, "kind string, entity string, n long")
+    got = pii_surrogates.assigned(entities, b"k").collect()
+    assert {(r.kind, r.entity) for r in got} == {(k, e) for k, e, _ in names + block + mails} and len(got) == len(names + block + mails)
+    new = {(r.kind, r.surrogate) for r in got}
+    assert len(new) == len(got) and not new & {(k, e) for k, e, _ in names + block + mails}
+    assert all(r.surrogate.startswith("10.") for r in got if r.kind == "ip")
+
+
+def test_later_attempts_draw_from_more():
+    draw = lambda kind, entity, attempt: pii_surrogates.surrogate(b"k", kind, entity, attempt)
+    assert [len(draw("name.s.latin", "smith", a)) for a in (0, 1, 2, 4)] == [9, 9, 11, 13]
+    assert draw("ip", "10.1.2.3", 3).startswith("10.") and draw("ip", "10.1.2.3", 4).startswith("fd")
+    number = draw("card", "4111111111111111", 4)
+    assert len(number) == 17 and pii_surrogates.luhn(number) == 0
+    assert re.fullmatch(r"\d{4} \d{4} \d{4} \d{5}", pii_surrogates.worn("card", "4111 1111 1111 1111", number))
+
+
 def test_language_learns_and_rejects(spark):
     train = frame(spark, rows(1, 300)).filter("text IS NOT NULL AND lang IS NOT NULL AND doc_id < 100 OR doc_id > 200")
     model = language_id.fit(language_id.training(train))
