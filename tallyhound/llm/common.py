@@ -2,41 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ASCII white space, [\x20\x09-\x0D], as it stands in every contract here.
-SPACE = " \t\n\x0b\x0c\r"
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir, which every executor can read.
+from tallyhound.sources.tables import shared_folder, stored
 
-    Where that setting is absent (tests on one machine) it is set to a temporary folder first.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+__all__ = ["SPACE", "crc32_mod", "documents", "join_by_group", "named", "shared_folder", "stored", "text_or_empty"]
 
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read back: later stages no longer depend on how it was made."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: ASCII white space, [\x20\x09-\x0D], as it stands in every contract here.
+SPACE = " \t\n\x0b\x0c\r"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def named(name: str) -> Column:
+    """The column of that name, whatever characters are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def text_or_empty(col: str = "text") -> Column:
-    return F.coalesce(F.col(col), F.lit(""))
+    return F.coalesce(named(col), F.lit(""))
 
 
 def crc32_mod(col: Column, n: int) -> Column:

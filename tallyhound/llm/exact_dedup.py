@@ -1,111 +1,97 @@
 """Exact de-duplication over an extendible-hash index in shared files.
 
-The index holds (key, row) entries, written to the shared folder by ranges of the 64-bit key. Its directory maps the
-leading bits of a key to a bucket: a bucket with more than `bucket_rows` entries splits on one more bit, the directory
-doubling where needed, up to `max_depth` bits; what one key alone overfills stays one bucket and is dealt out by a salt.
-Keys with several entries are chains: an owner task compares the bytes of each entry with the head of its chain, and
-entries that differ form the next chain of that key, until none is left.
+Every text is normalised and hashed once, into entries in the shared folder. The directory maps the leading bits of a
+64-bit key to a bucket: a bucket with more than `bucket_rows` entries splits on one more bit, the directory doubling
+where needed, up to a depth that follows the number of entries. The directory deals the work: all entries of a bucket go
+to one owner task, which orders them by key and bytes, so that each run of equal bytes is one class and entries of one
+key with other bytes are the next link of that key's chain. A bucket that is still overfull at full depth, as one key
+may hold a third of all rows, is dealt to several owner tasks; the heads of their classes are compared in turn.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import ceil, log2
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tallyhound.llm.common import SPACE, documents, join_by_group, shared_folder, stored, text_or_empty
+from tallyhound.llm.common import SPACE, documents, named, stored, text_or_empty
+
+#: Most bits of the directory: it has at most 2 ** MAX_DEPTH rows of four numbers, which bounds what is broadcast.
+MAX_DEPTH = 20
 
 
 def normalised(text: Column) -> Column:
     return F.translate(text, SPACE, "")
 
 
-def directory(counts: dict[int, int], bucket_rows: int, max_depth: int) -> list[tuple[int, int, int]]:
-    """(first prefix, local depth, rows) of each bucket; counts is by the key's first max_depth bits."""
-    out, todo = [], [(0, 0)]
-    while todo:
-        first, depth = todo.pop()
-        span = 1 << (max_depth - depth)
-        rows = sum(counts.get(p, 0) for p in range(first, first + span)) if span <= len(counts) else sum(n for p, n in counts.items() if first <= p < first + span)
-        if rows > bucket_rows and depth < max_depth:
-            todo += [(first, depth + 1), (first + span // 2, depth + 1)]
-        else:
-            out.append((first, depth, rows))
-    return sorted(out)
+def depth_for(rows: int, bucket_rows: int) -> int:
+    """Bits of a prefix: four more than even buckets need, so that uneven ones have room to split."""
+    return min(MAX_DEPTH, max(1, ceil(log2(max(2, rows / bucket_rows))) + 4))
 
 
-def exact_dedup(
-    df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", key: Callable[[Column], Column] = F.xxhash64, bucket_rows: int = 20_000, max_depth: int = 12
-) -> DataFrame:
-    """One row per row of df: id_col, keep_id, group_size, kept, text_sha256, bucket.
+def directory(keys: DataFrame, *, bucket_rows: int, depth: int) -> DataFrame:
+    """(prefix, bucket, depth, parts) for each prefix of `depth` bits that occurs in keys (key).
 
-    Texts are equal when identical without ASCII white space; null counts as empty, so empty, blank and null texts are
-    equal. Of equal texts the one with the most code points in the original stays, then the smallest id; a null id
-    counts as larger than any. Repeated rows (same id, same text) count in group_size and share one verdict. Other
-    columns of df play no part, whatever their names. An empty df gives an empty result.
+    A bucket is named by its first prefix; its depth is the number of leading bits that its keys share. parts is the
+    number of owner tasks, over one only where the bucket is overfull at full depth.
     """
-    spark = df.sparkSession
-    shift = 64 - max_depth
-    source = df.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("bytes", normalised(F.col("text")))
-    source = source.withColumn("key", key(F.col("bytes")).cast("long"))
-    index_at = shared_folder(spark, "extendible-index")
-    (
-        source.select("doc_id", F.length("text").alias("code_points"), "key", F.unhex(F.sha2("bytes", 256)).alias("sha"), F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("salt"))
-        .repartitionByRange(F.col("key"), F.col("salt"))
-        .write.parquet(index_at)
-    )
-    index = spark.read.parquet(index_at).drop("salt")
-    prefix = F.shiftrightunsigned("key", shift)
-    counts = {r[0]: r[1] for r in index.groupBy(prefix.alias("p")).count().collect()}  # at most 2 ** max_depth rows
-    total = sum(counts.values())
-    buckets = directory(counts, bucket_rows, max_depth)
-    of_prefix = spark.createDataFrame([(p, b, d) for b, (first, d, _) in enumerate(buckets) for p in range(first, first + (1 << (max_depth - d)))], "prefix long, bucket int, depth int")
-
-    chained = index.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    apart = _chains(spark, source, index, chained, total)
-    entries = index.withColumn("chain", F.lit(0)) if apart is None else index.join(apart, ["key", "doc_id", "sha"], "left").fillna(0, ["chain"])
-    entries = entries.withColumn("class", F.struct("key", "chain"))
-    groups = entries.groupBy("class").agg(
-        F.count("*").alias("group_size"), F.max(F.struct(F.col("code_points"), F.col("doc_id").isNotNull().alias("known"), (-F.col("doc_id")).alias("back"))).alias("best")
-    )
-    groups = groups.select("class", "group_size", (-F.col("best.back")).alias("keep_id")).filter("group_size > 1")
-    both = join_by_group(entries, groups, "class", "group_size", total)
-    out = both.withColumn("keep_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")))
-    out = out.withColumn("prefix", prefix).join(F.broadcast(of_prefix), "prefix", "left")
-    return out.select(
-        F.col("doc_id").alias(id_col), "keep_id", F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "bucket"
-    )
-
-
-def _chains(spark: SparkSession, source: DataFrame, index: DataFrame, chained: DataFrame, total: int) -> DataFrame | None:
-    """(key, doc_id, sha, chain) of the entries that are in a later chain of their key; None if there is none.
-
-    Only rows whose key occurs more than once are fetched again with their text, by their id: ids are spread evenly
-    however large a group of copies is.
+    leaves = keys.groupBy(F.shiftrightunsigned("key", 64 - depth).alias("prefix")).agg(F.count("*").alias("n"))
+    at = F.expr("shiftright(prefix, full - level)")
+    every = leaves.withColumn("full", F.lit(depth)).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(depth)))).withColumn("at", at)
+    every = every.withColumn("rows", F.sum("n").over(Window.partitionBy("level", "at")))
+    # a prefix belongs to the first bucket on its way down that is not overfull, or is at full depth
+    end = F.min(F.when((F.col("rows") <= bucket_rows) | (F.col("level") == depth), F.struct("level", "at", "rows")))
+    found = every.groupBy("prefix").agg(end.alias("end"))
+    return found.select(
+        "prefix", F.expr(f"shiftleft(end.at, {depth} - end.level)").alias("bucket"), F.col("end.level").alias("depth"), F.ceil(F.col("end.rows") / F.lit(bucket_rows)).cast("int").alias("parts")
+    )
+
+
+def exact_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", key: Callable[[Column], Column] = F.xxhash64, bucket_rows: int = 20_000) -> DataFrame:
+    """One row per row of df: id_col, keep_id, group_size, kept, text_sha256, bucket, depth.
+
+    Texts are equal when identical without ASCII white space; null counts as empty, so empty, blank and null texts are
+    equal. Of equal texts the one with the most code points in the original stays, then the smallest id, of any type; a
+    null id counts as larger than any. Repeated rows (same id, same text) count in group_size and share one verdict;
+    where all ids of a group are null, keep_id is null and exactly one row is kept. Other columns of df play no part,
+    whatever their names. An empty df gives an empty result. bucket_rows is raised where the directory would outgrow
+    MAX_DEPTH bits.
     """
-    rows = join_by_group(index.select("doc_id", "key"), chained, "key", "n", total).filter("n IS NOT NULL").select("doc_id").distinct()
-    texts = source.select("doc_id", "key", "bytes", F.unhex(F.sha2("bytes", 256)).alias("sha"))
-    known = texts.filter("doc_id IS NOT NULL").join(rows.hint("shuffle_hash"), "doc_id", "left_semi")
-    pending = stored(known.unionByName(texts.filter("doc_id IS NULL")), "chained-entries")
-    later, chain = None, 0
-    while True:
-        by_key = pending.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "sha")).alias("head")).filter("n > 1")
-        by_key = by_key.select("key", "n", "head", ((F.col("n") / F.lit(max(64, total // 256))).cast("int") + 1).alias("salts"))
-        dealt = join_by_group(pending, by_key, "key", "n", total).filter("n IS NOT NULL").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")))
-        heads = dealt.filter(F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("sha") == F.col("head.sha")))
-        heads = heads.dropDuplicates(["key"]).select("key", F.col("bytes").alias("head_bytes"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-        differ = dealt.withColumn("salt", F.col("salt").cast("int")).join(heads.withColumn("salt", F.col("salt").cast("int")), ["key", "salt"]).filter("bytes <> head_bytes")
-        pending = stored(differ.select("doc_id", "key", "bytes", "sha"), "next-chain")
-        if pending.isEmpty():
-            return later
-        chain += 1
-        now = pending.select("key", "doc_id", "sha", F.lit(chain).alias("chain")).distinct()
-        later = now if later is None else later.unionByName(now).groupBy("key", "doc_id", "sha").agg(F.max("chain").alias("chain"))
+    source = df.select(named(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    source = source.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.length("text").alias("code_points"), normalised(F.col("text")).alias("bytes"))
+    entries = stored(source.withColumn("key", key(F.col("bytes")).cast("long")).withColumn("sha", F.unhex(F.sha2("bytes", 256))), "hashed-entries")
+    total = entries.count()
+    bucket_rows = max(bucket_rows, ceil(total / (1 << (MAX_DEPTH - 4))))
+    depth = depth_for(total, bucket_rows)
+    places = stored(directory(entries, bucket_rows=bucket_rows, depth=depth), "directory")
+
+    # the owner tasks: one exchange brings the entries of a bucket, or of one part of it, together
+    owned = entries.withColumn("prefix", F.shiftrightunsigned("key", 64 - depth)).join(F.broadcast(places), "prefix")
+    owned = owned.withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")).repartition("bucket", "part")
+    chain = Window.partitionBy("bucket", "part", "key").orderBy("bytes")
+    same = Window.partitionBy("bucket", "part", "key", "bytes").orderBy("row")
+    whole = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    best = F.struct((-F.col("code_points")).alias("shorter"), F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")
+    owned = owned.withColumn("chain", F.dense_rank().over(chain)).withColumn("n", F.count("*").over(whole)).withColumn("best", F.min(best).over(whole))
+    first = (F.col("parts") > 1) & (F.row_number().over(same) == 1)
+    index = stored(owned.withColumn("head", F.when(first, F.col("bytes"))).drop("bytes", "code_points", "prefix"), "extendible-index")
+
+    # classes of one key in several parts: their heads, at most one a part and class, are compared with each other
+    split = index.filter("parts > 1")
+    heads = split.filter("head IS NOT NULL").select("bucket", "part", "key", "chain", "head", F.col("n").alias("own"), F.col("best").alias("own_best"))
+    across = Window.partitionBy("key", "head")
+    heads = heads.select("bucket", "part", "key", "chain", F.sum("own").over(across).alias("n"), F.min("own_best").over(across).alias("best"))
+    split = split.drop("n", "best").join(heads, ["bucket", "part", "key", "chain"])
+    out = index.filter("parts = 1").unionByName(split, allowMissingColumns=True)
+    kept = F.when(F.col("best.doc_id").isNull(), F.col("row") == F.col("best.row")).otherwise(F.col("doc_id").eqNullSafe(F.col("best.doc_id")))
+    return out.select(F.col("doc_id").alias(id_col), F.col("best.doc_id").alias("keep_id"), F.col("n").alias("group_size"), kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "bucket", "depth")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(documents(spark, sf_dir)).drop("bucket")
+    return exact_dedup(documents(spark, sf_dir)).drop("bucket", "depth")
 
 
 OP6_SQL = r"""

@@ -38,14 +38,36 @@ def test_exact_dedup_against_brute_force(spark):
 
 def test_exact_dedup_compares_bytes_where_keys_collide(spark):
     weak = lambda c: F.length(c) % 5  # noqa: E731  nearly every text collides
-    want = {(r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in exact_dedup.exact_dedup(frame(spark)).collect()}
-    assert {(r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in exact_dedup.exact_dedup(frame(spark), key=weak).collect()} == want
-
-
-def test_directory_doubles_where_a_bucket_is_overfull():
-    got = exact_dedup.directory({0: 50, 1: 3, 7: 4}, 10, 3)
-    assert got == [(0, 3, 50), (1, 3, 3), (2, 2, 0), (4, 1, 4)]
-    assert sum(1 << (3 - d) for _, d, _ in got) == 8
+    known = lambda df: sorted((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in df.collect())
+    want = known(exact_dedup.exact_dedup(frame(spark)))
+    assert known(exact_dedup.exact_dedup(frame(spark), key=weak)) == want
+    assert known(exact_dedup.exact_dedup(frame(spark), key=weak, bucket_rows=3)) == want  # one bucket, many owner tasks
+
+
+def test_directory_deals_the_work_and_leaves_the_result(spark):
+    known = lambda rs: sorted((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in rs)
+    one, many = (exact_dedup.exact_dedup(frame(spark), bucket_rows=n).collect() for n in (1000, 4))
+    assert known(one) == known(many)
+    assert {(r.bucket, r.depth) for r in one} == {(0, 0)} and len({r.bucket for r in many}) > 10
+    plan = exact_dedup.exact_dedup(frame(spark))  # nothing is shuffled once the index is written but heads of split buckets
+    assert "hashpartitioning(doc_id" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_directory_doubles_where_a_bucket_is_overfull(spark):
+    keys = [(p << 61) - (1 << 64 if p > 3 else 0) for p, n in {0: 50, 1: 3, 7: 4}.items() for _ in range(n)]
+    got = exact_dedup.directory(spark.createDataFrame([(k,) for k in keys], "key long"), bucket_rows=10, depth=3).collect()
+    assert sorted(map(tuple, got)) == [(0, 0, 3, 5), (1, 1, 3, 1), (7, 4, 1, 1)]
+    assert [exact_dedup.depth_for(n, 20_000) for n in (0, 20_000, 10**6, 10**12)] == [5, 5, 10, 20]
+
+
+def test_exact_dedup_takes_ids_of_any_kind_and_keeps_one_row_without(spark):
+    rows = [("b", "x y"), ("a", "xy"), (None, "x  y"), (None, "z"), (None, "z "), (None, " z"), ("c", "q")]
+    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "name string, `the text` string"), id_col="name", text_col="the text").collect()
+    known = sorted(((r.name, r.keep_id, r.group_size, r.kept) for r in got), key=str)
+    want = [("b", None, 3, False), ("a", None, 3, False), (None, None, 3, True), (None, None, 3, True), (None, None, 3, False), (None, None, 3, False), ("c", "c", 1, True)]
+    assert known == sorted(want, key=str)
+    odd = spark.createDataFrame([(-(2**63), "t"), (2**63 - 1, "t")], "doc_id long, text string")
+    assert {(r.doc_id, r.keep_id) for r in exact_dedup.exact_dedup(odd).collect()} == {(-(2**63), -(2**63)), (2**63 - 1, -(2**63))}
 
 
 def brute_components(words, least):
