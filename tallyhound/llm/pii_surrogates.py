@@ -1,32 +1,37 @@
 """Surrogates for personal data.
 
-Entities are e-mail addresses, telephone numbers, IPv4 addresses, card and social security numbers, and names after a
-form of address. Each distinct entity gets a keyed replacement of its own type: digits for digits in the mention's
-layout, letters in its script, a name of its gender. Replacements are checked over the whole corpus: no two entities may
-share one and none may be an entity that occurs; whoever loses draws again. One entity has one replacement everywhere,
-however a mention writes it, so texts that speak of the same person still do.
+Entities are e-mail addresses, telephone numbers, IPv4 and IPv6 addresses, card, account (IBAN) and social security
+numbers, and names: those after a form of address, and every further mention of such a name in the same document. Each
+distinct entity gets a keyed replacement of its own type: digits for digits in the mention's layout, letters in its
+script, a name of its gender. Replacements are checked over the whole corpus: no two entities may share one and none may
+be an entity that occurs; whoever loses draws again. One entity has one replacement everywhere, however a mention writes
+it, so texts that speak of the same person still do.
 """
 
 from __future__ import annotations
 
 import hashlib
 import hmac
-import re
+import ipaddress
 from collections.abc import Iterator
 from itertools import count
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhound.llm.common import documents, join_by_group, stored
+from tallyhound.llm.common import documents, join_by_group, named, stored
 
-#: Forms of address by gender, and syllables and name endings by script.
+#: Forms of address by gender, particles of names, syllables and name endings by script.
 ADDRESS = {
     "m": ["Mr", "Mister", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Господин", "Κύριος"],
     "f": ["Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа", "Κυρία"],
     "n": ["Dr", "Prof", "Professor"],
 }
+#: Forms that are read in lower case too; the others might be words of some language.
+SMALL = ["mr", "mrs", "ms", "dr", "prof"]
+PARTICLES = ["van", "von", "de", "der", "den", "da", "di", "du", "la", "le", "zu", "bin"]
 SYLLABLES = {
     "latin": "ba be bo da de do fa fe ga go ha he ka ke la le li lo ma me mi mo na ne ni no pa pe ra re ri ro sa se si so ta te ti to va ve vi wa we za".split(),
     "cyrillic": "ба бо ва ве га го да де жа за зи ка ко ла ле ма ми на не но па по ра ре ро са се та то фа ха ша".split(),
@@ -35,20 +40,36 @@ SYLLABLES = {
 ENDINGS = {
     "latin": {"m": "rt", "f": "lia", "n": "rin", "s": "son"}, "cyrillic": {"m": "мир", "f": "на", "n": "ня", "s": "ов"}, "greek": {"m": "ος", "f": "ια", "n": "ι", "s": "ίδης"},
 }
-_WORD = r"[A-ZÀ-ÖØ-ÞΆ-ΫА-ЯЁ][a-zß-öø-ÿά-ώа-яё]+"
+#: Endings of women's surnames, what stands in their place in the man's, and the surrogate's own pair.
+FEMININE = {"cyrillic": [("ова", "ов"), ("ева", "ев"), ("ёва", "ёв"), ("ина", "ин"), ("ына", "ын"), ("ская", "ский"), ("цкая", "цкий")], "greek": [("ίδου", "ίδης"), ("άκη", "άκης"), ("οπούλου", "όπουλος")]}
+WOMAN = {"cyrillic": ("ов", "ова"), "greek": ("ίδης", "ίδου")}
+
+#: The country codes of two digits; 1 and 7 have one, all others three.
+TWO_DIGITS = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+
+_FORMS = [x for g in ADDRESS.values() for x in g]
+_FORM = "|".join(sorted({*_FORMS, *(x.upper() for x in _FORMS), *SMALL}, key=lambda x: (-len(x), x)))
+_WORD = r"\p{Lu}(?:[\p{L}\p{M}]|['’-](?=\p{L}))*[\p{L}\p{M}]"
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 PATTERNS = [
     ("email", r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
-    ("card", r"(?<![0-9])[3-6][0-9]{3}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9])"),
+    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
+    ("ip6", r"(?<![A-Za-z0-9:.])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?)(?![A-Za-z0-9:]|\.[0-9])"),
+    ("card", r"(?<![0-9])(?:[3-6][0-9]{3}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}|3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5})(?![0-9])"),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
-    ("phone", r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}|(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4})(?![0-9])"),
-    ("ip", r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])"),
-    ("name", rf"(?<!\w)(?:{'|'.join(x for g in ADDRESS.values() for x in g)})\.?[ ]{_WORD}(?:[ ]{_WORD})?"),
-]
-_ALL = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS))
+    ("phone", r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}|(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}"
+     r"|\(0[0-9]{1,4}\) ?[0-9]{3,4}(?:[ -]?[0-9]{3,4})?|0[1-9](?:[ .-][0-9]{2}){4}|0[0-9]{2,4}[ /-][0-9]{3,4}[ -]?[0-9]{3,4}|[2-9][0-9]{9})(?![0-9])"),
+    ("ip", rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])"),
+    ("name", rf"(?<!\w)(?:{_FORM})\.?[ ](?:\p{{Lu}}\.[ ]?)*(?:(?:{'|'.join(PARTICLES)})[ ])*{_WORD}(?:(?:[ ]\p{{Lu}}\.)?(?:[ ](?:{'|'.join(PARTICLES)}))*[ ]{_WORD}){{0,2}}"),
+]
+_ALL = regex.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS))
+_NAME, _HEAD = regex.compile(rf"(?<![\p{{L}}\p{{M}}]){_WORD}"), regex.compile(rf"({_FORM})\.?[ ]")
 #: What every text with an entity has: Spark drops the other rows before any work in Python. Few letters start a name's form.
-_FORMS = [x for g in ADDRESS.values() for x in g]
-HINT = r"@|[0-9][0-9().\- ]{5,}[0-9]|(?=[" + "".join(sorted({x[0] for x in _FORMS})) + "])(?:" + "|".join(_FORMS) + r")\.? "
-_GENDER = {x: g for g, xs in ADDRESS.items() for x in xs}
+HINT = (
+    r"@|[0-9][0-9().\-/ ]{5,}[0-9]|[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4} ?[A-Z0-9]|[0-9A-Fa-f]:[0-9A-Fa-f]{0,4}:|::[0-9A-Fa-f]|(?=["
+    + "".join(sorted({x[0] for x in _FORM.split("|")})) + f"])(?:{_FORM})" + r"\.? "
+)
+_GENDER = {x.casefold(): g for g, xs in ADDRESS.items() for x in xs}
 
 
 def script_of(word: str) -> str:
@@ -56,20 +77,77 @@ def script_of(word: str) -> str:
     return "cyrillic" if "а" <= c <= "ё" else "greek" if "ά" <= c <= "ώ" else "latin"
 
 
-def mentions(text: str) -> Iterator[tuple[int, int, str, str]]:
-    """(start, end, kind, entity) of each mention. The kind of a name says its gender or that it is a surname, and its script."""
+def surname_of(word: str) -> tuple[str, bool]:
+    """The man's form of a surname, folded, and whether the word is the woman's form."""
+    folded = word.casefold()
+    for hers, his in FEMININE.get(script_of(word), []):
+        if folded.endswith(hers) and len(folded) > len(hers) + 1:
+            return folded.removesuffix(hers) + his, True
+    return folded, False
+
+
+def iban_rest(said: str) -> int:
+    return int("".join(str(int(c, 36)) for c in said[4:] + said[:4])) % 97
+
+
+def _valid(kind: str, said: str) -> bool:
+    if kind == "iban":
+        plain = said.replace(" ", "")
+        return 15 <= len(plain) <= 34 and iban_rest(plain) == 1
+    if kind == "ip6":  # two words around a double colon are more often code than an address
+        groups = [g for g in said.split(":") if g]
+        try:
+            address = ipaddress.IPv6Address(said)
+        except ValueError:
+            return False
+        return len(groups) >= 3 or address.is_link_local or address.is_private and len(groups) == 2
+    return True
+
+
+def _owner(word: str) -> str:
+    """A word without the s of possession."""
+    return word[:-2] if word[-2:].lower() in ("'s", "’s") and len(word) > 3 else word
+
+
+def mentions(text: str) -> list[tuple[int, int, str, str, str]]:
+    """(start, end, kind, entity, gender) of each mention, in order. The kind of a name says whether it is a surname, and its script."""
+    out, known = [], {}
     for m in _ALL.finditer(text):
         kind, said = m.lastgroup, m[0]
         if kind == "name":
-            words = [w for w in re.finditer(r"\S+", said)]
-            gender = _GENDER[words[0][0].rstrip(".")]
-            for w in words[1:]:
-                role = "s" if w is words[-1] else gender
-                yield m.start() + w.start(), m.start() + w.end(), f"name.{role}.{script_of(w[0])}", w[0].casefold()
-        elif kind == "email" or kind == "ip":
-            yield m.start(), m.end(), kind, said.lower()
-        else:
-            yield m.start(), m.end(), kind, ("+" if said[0] == "+" else "") + re.sub(r"[^0-9]", "", said)
+            head = _HEAD.match(said)
+            gender = _GENDER[head[1].casefold()]
+            words = [(w.start(), w.start() + len(own), own) for w in _NAME.finditer(said, head.end()) for own in [_owner(w[0])]]
+            for a, b, word in words:
+                if (a, b, word) == words[-1]:
+                    what = (f"name.s.{script_of(word)}", surname_of(word)[0], "n")
+                else:
+                    what = (f"name.g.{script_of(word)}", word.casefold(), gender)
+                known.setdefault(what[1], what)
+                out.append((m.start() + a, m.start() + b, *what))
+        elif _valid(kind, said):
+            if kind in ("email", "ip"):
+                entity = said.lower()
+            elif kind == "ip6":
+                entity = ipaddress.IPv6Address(said).compressed
+            elif kind == "iban":
+                entity = said.replace(" ", "")
+            else:
+                entity = ("+" if said[0] == "+" else "") + regex.sub(r"[^0-9]", "", said)
+            out.append((m.start(), m.end(), kind, entity, "n"))
+    if known:  # the same people again, without a form of address
+        taken = [(a, b) for a, b, *_ in out]
+        at = 0
+        for w in _NAME.finditer(text):
+            word = _owner(w[0])
+            end = w.start() + len(word)
+            what = known.get(word.casefold()) or known.get(surname_of(word)[0])
+            while at < len(taken) and taken[at][1] <= w.start():
+                at += 1
+            if what and not (at < len(taken) and taken[at][0] < end):
+                out.append((w.start(), end, *what))
+        out.sort()
+    return out
 
 
 class Draw:
@@ -91,12 +169,18 @@ def luhn(digits: str) -> int:
     return sum(sum(divmod(2 * int(d), 10)) if k % 2 else int(d) for k, d in enumerate(reversed(digits))) % 10
 
 
+def country_digits(digits: str) -> int:
+    """How many digits the country's code has at the start of an international number."""
+    return 1 if digits[0] in "17" else 2 if digits[:2] in TWO_DIGITS else 3
+
+
 def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
     """A replacement of the same type: same length and layout of digits and letters, same script and gender.
 
     Later attempts draw from more: names have one more syllable at each second attempt, e-mail addresses one more letter,
     numbers one more digit at each fourth. Addresses of a private block move to 10.* at the second attempt; from the
-    fourth on, where IPv4 has no room, an address is a unique local one of IPv6.
+    fourth on, where IPv4 has no room, an address is a unique local one of IPv6. The kind of a given name has its gender
+    (name.m.latin) in place of the g.
     """
     draw = Draw(key, kind, entity, attempt)
     if kind == "email":
@@ -116,6 +200,13 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
             return ".".join(map(str, [a, b][:fixed] + [draw(254) + 1 for _ in range(4 - fixed)]))
         first = next(x for x in iter(lambda: draw(222) + 1, None) if x not in (10, 127, 172, 192))
         return ".".join(map(str, [first, *(draw(254) + 1 for _ in range(3))]))
+    if kind == "ip6":  # a local address stays one; others go to the prefix that is kept for documentation
+        local = entity.startswith(("fc", "fd", "fe8"))
+        head = f"fd{draw(1 << 8):02x}:{draw(1 << 16):x}" if local else "2001:db8"
+        return ipaddress.IPv6Address(":".join([head, *(f"{1 + draw((1 << 16) - 1):x}" for _ in range(6))])).compressed
+    if kind == "iban":  # the country stays, and the check digits are right
+        body = "".join(c if k < 2 else chr(65 + draw(26)) if c.isalpha() else str(draw(10)) for k, c in enumerate(entity[:2] + entity[4:] + "0" * (attempt // 4)))
+        return f"{body[:2]}{98 - iban_rest(body[:2] + '00' + body[2:]):02d}{body[2:]}"
     if kind.startswith("name"):
         _, role, script = kind.split(".")
         parts = SYLLABLES[script]
@@ -125,33 +216,43 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
         body = digits[0] + "".join(str(draw(10)) for _ in range(len(digits) - 2 + attempt // 4))
         last = next(d for d in "0123456789" if luhn(body + d) == 0)
         return body + (last if luhn(digits) == 0 else str((int(last) + 1 + draw(9)) % 10))
-    keep = max(0, len(digits) - 10) if kind == "phone" else 0  # the country's code stays
+    keep = country_digits(digits) if sign else int(kind == "phone" and digits[0] == "0")  # the country's code and the trunk's 0 stay
     return sign + digits[:keep] + "".join(str(2 + draw(8)) if k == 0 else str(draw(10)) for k in range(len(digits) - keep + attempt // 4))
 
 
 def worn(kind: str, mention: str, new: str) -> str:
-    """The replacement in the layout and case of a mention."""
+    """The replacement in the layout, case and, for a surname, the gender of a mention."""
     if kind == "email":
         return new.upper() if mention.isupper() else new
-    if kind == "ip":
+    if kind in ("ip", "ip6"):
         return new
+    if kind == "iban":
+        rest = iter(new)
+        return "".join(c if c == " " else next(rest) for c in mention) + "".join(rest)
     if kind.startswith("name"):
+        if ".s." in kind and surname_of(mention)[1]:
+            his, hers = WOMAN[script_of(mention)]
+            new = new.removesuffix(his) + hers
         return new.upper() if mention.isupper() else new[0].upper() + new[1:]
     digits = iter(new.lstrip("+"))
     return "".join(next(digits) if c.isdigit() else c for c in mention) + "".join(digits)  # a longer number ends with what is more
 
 
 def assigned(entities: DataFrame, key: bytes) -> DataFrame:
-    """(kind, entity, n, surrogate) for distinct (kind, entity): all surrogates differ and none is an entity of its kind."""
+    """entities, distinct (kind, entity), with a surrogate: all surrogates of a kind differ and none is an entity of it.
+
+    A column `gender` of m, f or n, where there is one, is that of given names.
+    """
 
     @F.pandas_udf("string")
-    def drawn(kind: pd.Series, entity: pd.Series, attempt: pd.Series) -> pd.Series:
-        return pd.Series([surrogate(key, k, e, a) for k, e, a in zip(kind, entity, attempt)], dtype=object)
+    def drawn(kind: pd.Series, entity: pd.Series, attempt: pd.Series, gender: pd.Series) -> pd.Series:
+        return pd.Series([surrogate(key, k.replace(".g.", f".{g}."), e, a) for k, e, a, g in zip(kind, entity, attempt, gender)], dtype=object)
 
     waiting, done, attempt = entities, None, 0
+    gender = F.col("gender") if "gender" in entities.columns else F.lit("n")
     taken = entities.select("kind", F.col("entity").alias("surrogate"))
     while True:
-        drawn_now = stored(waiting.withColumn("surrogate", drawn("kind", "entity", F.lit(attempt))), "surrogates-drawn")
+        drawn_now = stored(waiting.withColumn("surrogate", drawn("kind", "entity", F.lit(attempt), gender)), "surrogates-drawn")
         free = drawn_now.join(taken, ["kind", "surrogate"], "left_anti")
         first = free.groupBy("kind", "surrogate").agg(F.min("entity").alias("entity"))
         won = stored(free.join(first, ["kind", "surrogate", "entity"], "left_semi"), "surrogates")
@@ -163,29 +264,35 @@ def assigned(entities: DataFrame, key: bytes) -> DataFrame:
         attempt += 1
 
 
-def with_surrogates(df: DataFrame, *, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def with_surrogates(df: DataFrame, *, key: bytes, text_col: str = "text") -> DataFrame:
     """df with personal data replaced in text_col, and n_entities, the number of replaced mentions. All rows stay.
 
-    Null texts stay null; texts are read whole; repeated rows are replaced alike; df must have no column n_entities. An
-    empty df gives an empty result. Only rows that may hold an entity are shuffled.
+    Null texts stay null; texts are read whole; repeated rows are replaced alike, with or without an id; df must have no
+    column n_entities, any other name will do. An empty df gives an empty result. A given name that occurs with forms of
+    address of both genders, or of none, gets a name of neither. Only rows that may hold an entity are shuffled.
     """
+    if "n_entities" in df.columns:
+        raise ValueError("df has a column n_entities")
     cols = df.columns
-    hinted = F.col(text_col).rlike(HINT)
-    some = stored(df.filter(hinted), "rows-with-hints")
+    hinted = F.coalesce(named(text_col).rlike(HINT), F.lit(False))
+    some = df.filter(hinted).select(F.struct(*[named(c) for c in cols]).alias("doc"), named(text_col).alias("text"), F.md5(named(text_col)).alias("hash"))
+    some = stored(some, "rows-with-hints")
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(h, kind, entity) for h, text in zip(batch["text_hash"], batch["text"]) for kind, entity in {(k, e) for _, _, k, e in mentions(text)}]
-            yield pd.DataFrame(rows, columns=["text_hash", "kind", "entity"])
+            rows = [(h, *what) for h, text in zip(batch["hash"], batch["text"]) for what in {m[2:] for m in mentions(text)}]
+            yield pd.DataFrame(rows, columns=["hash", "kind", "entity", "gender"])
 
     # texts, not rows, are what mentions belong to: copies of a text share its replacements
-    texts = some.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    each = stored(texts.mapInPandas(found, "text_hash long, kind string, entity string"), "mentions").distinct()
-    entities = stored(each.groupBy("kind", "entity").agg(F.count("*").alias("n")), "entities")
+    each = stored(some.select("hash", "text").mapInPandas(found, "hash string, kind string, entity string, gender string"), "mentions")
+    gender = F.when(F.max(F.col("gender") == "m") & ~F.max(F.col("gender") == "f"), "m").when(F.max(F.col("gender") == "f") & ~F.max(F.col("gender") == "m"), "f").otherwise("n")
+    pairs = each.groupBy("hash", "kind", "entity").agg(F.lit(1).alias("one"))
+    sizes = pairs.groupBy("kind", "entity").agg(F.count("*").alias("n")).join(each.groupBy("kind", "entity").agg(gender.alias("gender")), ["kind", "entity"])
+    entities = stored(sizes, "entities")
     known = assigned(entities, key).withColumn("ke", F.struct("kind", "entity"))
-    total = max(1, each.count())
-    placed = join_by_group(each.select("text_hash", F.struct("kind", "entity").alias("ke")), known.select("ke", "n", "surrogate"), "ke", "n", total)
-    maps = placed.groupBy("text_hash").agg(F.collect_list(F.struct("ke.kind", "ke.entity", "surrogate")).alias("swaps"), F.count("*").alias("n_swaps"))
+    total = max(1, entities.agg(F.sum("n")).first()[0] or 0)
+    placed = join_by_group(pairs.select("hash", F.struct("kind", "entity").alias("ke")), known.select("ke", "n", "surrogate"), "ke", "n", total)
+    maps = placed.groupBy("hash").agg(F.collect_list(F.struct("ke.kind", "ke.entity", "surrogate")).alias("swaps"))
 
     @F.pandas_udf("text string, n int")
     def replaced(text: pd.Series, swaps: pd.Series) -> pd.DataFrame:
@@ -193,19 +300,17 @@ def with_surrogates(df: DataFrame, *, key: bytes, id_col: str = "doc_id", text_c
         for t, s in zip(text, swaps):
             new = {(x["kind"], x["entity"]): x["surrogate"] for x in s} if s is not None else {}
             at, parts, n = 0, [], 0
-            for start, end, kind, entity in mentions(t):
+            for start, end, kind, entity, _ in mentions(t):
                 parts += [t[at:start], worn(kind, t[start:end], new[kind, entity])]
                 at, n = end, n + 1
             out.append(("".join([*parts, t[at:]]), n))
         return pd.DataFrame(out, columns=["text", "n"])
 
-    copies = some.withColumn("_hash", F.xxhash64(text_col))
-    counts = copies.groupBy("_hash").agg(F.count("*").alias("_copies"))
-    lookup = maps.join(counts, maps["text_hash"] == counts["_hash"]).select("_hash", "swaps", "_copies")
-    joined = join_by_group(copies, lookup, "_hash", "_copies", max(1, counts.agg(F.sum("_copies")).first()[0] or 1))
-    done = joined.withColumn("_new", replaced(F.col(text_col), F.col("swaps")))
-    done = done.withColumn(text_col, F.col("_new.text")).withColumn("n_entities", F.col("_new.n")).select(*cols, "n_entities")
-    return df.filter(~F.coalesce(hinted, F.lit(False))).withColumn("n_entities", F.lit(0)).unionByName(done)
+    counts = some.groupBy("hash").agg(F.count("*").alias("copies"))
+    lookup = stored(maps.join(counts, "hash"), "swaps-of-texts")
+    done = join_by_group(some, lookup, "hash", "copies", max(1, some.count())).withColumn("new", replaced("text", "swaps"))
+    out = [F.col("new.text").alias(c) if c == text_col else F.col("doc")[c].alias(c) for c in cols]
+    return df.filter(~hinted).withColumn("n_entities", F.lit(0)).unionByName(done.select(*out, F.col("new.n").alias("n_entities")))
 
 
 def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -131,13 +131,34 @@ def test_min_cost_flow_is_optimal():
         assert (x * costs).sum() == best
 
 
-def test_rewriting_touches_only_changed_shards(spark, tmp_path):
-    df = spark.range(40).select(F.col("id").alias("doc_id"), F.lit(3).alias("bytes"), F.when(F.col("id") < 10, 0).when(F.col("id") < 20, 1).otherwise(2).alias("was"))
-    plan = reshard.reshard(df, old_shard=F.col("was"), size=F.col("bytes"), capacities=[10, 15, 15]).cache()
-    changed = reshard.rewrite_affected(df, plan, "doc_id", str(tmp_path / "shards"))
-    assert changed == [1, 2]
-    assert sorted(p.name for p in (tmp_path / "shards").iterdir() if p.is_dir()) == ["shard=1", "shard=2"]
-    assert spark.read.parquet(str(tmp_path / "shards")).count() == 30
+@pytest.mark.parametrize(("was", "capacities", "changed"), [
+    ("CASE WHEN i < 10 THEN 0 WHEN i < 20 THEN 1 ELSE 2 END", [10, 15, 15], {1, 2}), ("i % 4", [20, 20], {0, 1, 2, 3}), ("i % 2", [10, 10, 10, 10], {0, 1, 2, 3}), ("i % 2", [20, 20], set()),
+])
+def test_rewriting_touches_only_changed_shards(spark, tmp_path, was, capacities, changed):
+    data = spark.range(40).select(F.col("id").alias("i"), F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.lit("same text").alias("text")).withColumn("was", F.expr(was))
+    data.write.partitionBy("was").parquet(str(tmp_path / "old"))
+    old = {int(p.name[4:]): str(p) for p in (tmp_path / "old").iterdir() if p.is_dir()}
+    rows = reshard.keyed(spark.read.parquet(str(tmp_path / "old")))
+    plan = reshard.reshard(rows.select("_row", F.col("was").alias("from")), old_shard=F.col("from"), size=F.lit(3), capacities=capacities, part_rows=7).cache()
+    new = reshard.rewrite_affected(rows.drop("was"), plan, old, str(tmp_path / "new"))
+    assert {k for k in {*old, *new} if old.get(k) != new.get(k)} == changed
+    found = {k: [r.i for r in spark.read.parquet(f).collect()] for k, f in new.items()}
+    assert sorted(i for ids in found.values() for i in ids) == list(range(40))  # every row once, those without an id too
+    assert {k: len(v) for k, v in found.items()} == {k: n for k, n in enumerate(capacities) if n}
+    assert sorted(r.i for f in old.values() for r in spark.read.parquet(f).collect()) == list(range(40))  # the old files still hold all
+
+
+def test_fewest_bytes_move(spark):
+    """Against brute force, where every row is a size class of its own."""
+    sizes = [1, 2, 4, 8, 16, 32]
+    df = spark.createDataFrame([(k, s, k % 2) for k, s in enumerate(sizes)], "key long, bytes long, was int")
+    for capacities in ([3, 3], [2, 4], [4, 1, 1], [1, 2, 3], [0, 6]):
+        got = reshard.reshard(df, old_shard=F.col("was"), size=F.col("bytes"), capacities=capacities).collect()
+        assert collections.Counter(r.shard for r in got) == {k: n for k, n in enumerate(capacities) if n}
+        best = min(
+            sum(s for k, s in enumerate(sizes) if to[k] != k % 2) for to in np.ndindex(*[len(capacities)] * 6) if np.bincount(to, minlength=len(capacities)).tolist() == capacities
+        )
+        assert sum(r.size for r in got if r.shard != r.old_shard) == best
 
 
 def test_bpe_is_the_library(spark):
@@ -308,10 +329,61 @@ def test_surrogates_are_consistent_and_typed(spark):
     assert two.endswith(mail.upper())
     a, b = re.search(r"card ([\d ]{19}) and (\d{16})", five).groups()
     assert a.replace(" ", "") == b and pii_surrogates.luhn(b) == 0 and b[0] == "4"
-    assert re.fullmatch(r"Господин [А-Яа-я]+ов и Госпожа [А-Яа-я]+ов", six) and "Иванов" not in six
+    assert re.fullmatch(r"Господин [А-Яа-я]+ов и Госпожа [А-Яа-я]+ова", six) and "Иванов" not in six
     assert got[3][0].text is None and got[4][0].text == "" and got[7][0].text == PII[6][1] and got[7][0].n_entities == 0
 
 
+MORE = [
+    (1, "Mr. John Smith wrote. John said hello, Smith agreed; SMITH'S car, Smithson and john stay.", "en", "a"), (2, "Dr Ann-Marie O'Neil met MR. JOHN SMITH and Prof. J. R. van der Berg.", "en", "b"),
+    (3, "call (020) 7946 0958 or 06 12 34 56 78 or 5551234567 or +33 6 12 34 56 78", "en", "c"), (4, "card 3782 822463 10005, account DE89 3704 0044 0532 0130 00 or GB82WEST12345698765432", "en", "c"),
+    (5, "hosts 2001:db8:85a3::8a2e:370:7334, fe80::1, std::vector, a::b and 10:30:45", "en", "c"), (6, "Госпожа Петрова и Господин Петров, Петрова пришла", "ru", "d"), (7, "Mrs Alex Jones, Mr Alex Jones and Miss Eve Jones", "en", "d"), (None, "Mr. John Smith again", "en", "d"),
+]
+
+
+def test_surrogates_follow_people_through_a_document(spark):
+    got = {r.doc_id: r.text for r in pii_surrogates.with_surrogates(frame(spark, MORE).drop("n_chars"), key=b"k").collect()}
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) wrote\. (\w+) said hello, (\w+) agreed; (\w+)'S car, Smithson and john stay\.", got[1])
+    given, surname = m[1], m[2]
+    assert (m[3], m[4], m[5]) == (given, surname, surname.upper()) and not {given, surname} & {"John", "Smith"} and given.endswith("rt")
+    assert got[None] == f"Mr. {given} {surname} again"
+    two = re.fullmatch(r"Dr (\w+) (\w+) met MR\. (\w+) (\w+) and Prof\. J\. R\. van der (\w+)\.", got[2])
+    assert (two[3], two[4]) == (given.upper(), surname.upper()) and two[5] != "Berg" and "Marie" not in got[2]
+    assert re.fullmatch(r"call \(\d{3}\) \d{4} \d{4} or \d\d( \d\d){4} or \d{10} or \+33 \d \d\d \d\d \d\d \d\d", got[3])
+    assert not set(re.findall(r"\d{4}", MORE[2][1])) & set(re.findall(r"\d{4}", got[3]))
+    card, one, other = re.fullmatch(r"card (\d{4} \d{6} \d{5}), account (DE\d\d(?: \d{4}){4} \d\d) or (GB\d\d[A-Z]{4}\d{14})", got[4]).groups()
+    assert pii_surrogates.luhn(card.replace(" ", "")) == 0 and {pii_surrogates.iban_rest(x.replace(" ", "")) for x in (one, other)} == {1}
+    assert got[5].startswith("hosts 2001:db8:") and got[5].endswith(", std::vector, a::b and 10:30:45") and "85a3" not in got[5] and ", fd" in got[5]
+    hers, his, again = re.fullmatch(r"Госпожа (\w+) и Господин (\w+), (\w+) пришла", got[6]).groups()
+    assert hers == again == his + "а" and his.endswith("ов")
+    both = re.fullmatch(r"Mrs (\w+) (\w+), Mr (\w+) (\w+) and Miss (\w+) (\w+)", got[7]).groups()
+    assert both[0] == both[2] and both[0].endswith("rin") and both[4].endswith("lia") and both[1] == both[3] == both[5]
+
+
+def test_surrogates_leave_no_mention_and_touch_nothing_else(spark):
+    rnd = np.random.default_rng(5)
+    pick = lambda *xs: xs[rnd.integers(len(xs))]
+    data = []
+    for i in range(150):
+        parts = []
+        for _ in range(8):
+            given, surname = pick("Ann", "Bob", "Eva", "Lars-Ole"), pick("Fox", "Hill", "O'Hara", "Lund")
+            parts.append(pick(f"Mr {given} {surname}", f"Mrs. {surname}", f"u{rnd.integers(40)}@host{rnd.integers(5)}.org", f"10.0.{rnd.integers(4)}.{rnd.integers(9)}", f"555-{rnd.integers(100, 999)}-{rnd.integers(1000, 1099)}", "plain words", "Rain fell"))
+        data.append((i, " and ".join(parts), "en", "s"))
+    got = {r.doc_id: r for r in pii_surrogates.with_surrogates(frame(spark, data), key=b"k2").collect()}
+    said, new = {}, {}
+    for i, text, *_ in data:
+        found = pii_surrogates.mentions(text)
+        pattern, at = "", 0
+        for a, b, *_ in found:
+            pattern, at = pattern + re.escape(text[at:a]) + "(.+?)", b
+        m = re.fullmatch(pattern + re.escape(text[at:]), got[i].text)
+        assert m and got[i].n_entities == len(found)
+        for (_, _, kind, entity, _), to in zip(found, m.groups()):
+            assert said.setdefault((kind, entity), to.casefold()) == to.casefold()
+            assert new.setdefault((kind, to.casefold()), entity) == entity
+    assert not {(k, v) for (k, _), v in said.items()} & set(said)
+
+
 def test_surrogates_draw_again_on_collisions(spark, monkeypatch):
     monkeypatch.setattr(pii_surrogates, "surrogate", lambda key, kind, entity, attempt: str((len(entity) * 7 + attempt) % 50))
     entities = spark.createDataFrame([("ip", str(k), 1) for k in range(20)], "kind string, entity string, n long")
