@@ -2,7 +2,7 @@
 
 Candidates are the base spans (assign, access, hex) and other long tokens of mixed letters and digits (live). The
 hash of each candidate's value is counted over distinct owners and repositories: a value that many owners hold is a
-widely copied example, one that a single owner holds looks live. Live-looking tokens become spans of their own, so a
+widely copied example, one that a single owner holds in few repositories looks live. Live-looking tokens become spans of their own, so a
 credential is found where no keyword stands beside it; base spans stay whatever their class. Built-in functions only.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhound.llm.common import documents, join_by_group, stored, text_or_empty
+from tallyhound.llm.common import documents, join_by_group, named, stored, text_or_empty
 
 #: Kind, pattern, group that holds the value, least length of that group.
 KINDS = [
@@ -25,7 +25,7 @@ _SPAN = "array<struct<start:int,ord:int,kind:string,end:int,value:bigint>>"
 
 
 def spans_of(kind: str, pattern: str, group: int, least: int, order: int, text: str = "text") -> Column:
-    """The spans of one kind in column `text`: leftmost matches that do not overlap, those too short dropped.
+    """The spans of one kind in the column named by `text`: leftmost matches that do not overlap, those too short dropped.
 
     What split() leaves between the matches gives their places in code points.
     """
@@ -43,79 +43,85 @@ def spans_of(kind: str, pattern: str, group: int, least: int, order: int, text:
     END""".replace(" AS hit, regexp", ", regexp").replace(f", {group}) AS val)", f", {group}))"))
 
 
-def candidates(df: DataFrame, text_col: str) -> DataFrame:
-    """df with `base` and `extra`, arrays of spans by start, then kind as listed; extra spans overlap no base span."""
-    cols = df.columns
+def candidates(df: DataFrame) -> DataFrame:
+    """df (text) with `base` and `extra` in place of the text: spans by start, then kind as listed; extra spans overlap no base span."""
+    cols = [c for c in df.columns if c != "text"]
     for i, kind in enumerate([*KINDS, LIVE]):
-        df = df.withColumn(f"_{i}", spans_of(*kind, i, text_col))
+        df = df.withColumn(f"_{i}", spans_of(*kind, i))
     pick = lambda i: F.coalesce(F.expr(f"transform(_{i}, x -> struct(x.start, x.ord, x.kind, x.end, x.value))").cast(_SPAN), F.array().cast(_SPAN))
     df = df.select(*cols, F.array_sort(F.concat(*[pick(i) for i in range(len(KINDS))])).alias("base"), pick(len(KINDS)).alias("extra"))
     return df.withColumn("extra", F.expr("filter(extra, x -> NOT exists(base, b -> b.start < x.end AND x.start < b.end))"))
 
 
-def owned(found: DataFrame, example_owners: int) -> DataFrame:
-    """value, n, owners, repos, class of each candidate value of `found` (base, extra, owner, repo).
+def owned(found: DataFrame, example_owners: int, live_repos: int) -> DataFrame:
+    """value, n, owners, repos, class of each candidate value of `found` (value, owner, repo).
 
     Counted in steps that each combine before the shuffle, so that a value in a third of all rows is no hot spot.
     """
-    values = found.select(F.explode(F.concat("base", "extra")).alias("s"), "owner", "repo").select("s.value", "owner", "repo")
-    by_repo = values.groupBy("value", "owner", "repo").agg(F.count("*").alias("n"))
+    by_repo = found.groupBy("value", "owner", "repo").agg(F.count("*").alias("n"))
     by_owner = by_repo.groupBy("value", "owner").agg(F.sum("n").alias("n"), F.count("*").alias("repos"))
     out = by_owner.groupBy("value").agg(F.sum("n").alias("n"), F.count("*").alias("owners"), F.sum("repos").alias("repos"))
-    return out.withColumn("class", F.when(F.col("owners") >= example_owners, "example").when(F.col("owners") > 1, "shared").otherwise("live"))
+    live = (F.col("owners") == 1) & (F.col("repos") <= live_repos)
+    return out.withColumn("class", F.when(F.col("owners") >= example_owners, "example").when(live, "live").otherwise("shared"))
+
+
+#: Owners from which on a value is an example, and the most repositories of its one owner in which it still looks live.
+EXAMPLE_OWNERS, LIVE_REPOS = 4, 3
+
+
+def _scanned(df: DataFrame, text_col: str, owner: Column | None, repo: Column | None, cols: list[str]) -> DataFrame:
+    """(row, doc, base, extra, owner, repo), written once: doc holds the columns `cols` of df, row is a number of its own."""
+    owner = F.col("source") if owner is None else owner
+    repo = F.concat_ws("/", "source", "lang") if repo is None else repo
+    docs = df.select(
+        F.monotonically_increasing_id().alias("row"), F.struct(*[named(c) for c in cols]).alias("doc"), F.coalesce(owner.cast("string"), F.lit("")).alias("owner"),
+        F.coalesce(repo.cast("string"), F.lit("")).alias("repo"), text_or_empty(text_col).alias("text"),
+    )
+    return stored(candidates(docs), "secret-candidates")
+
+
+def classed(scanned: DataFrame, example_owners: int, live_repos: int) -> DataFrame:
+    """(row, spans) of the rows that keep a span: all of base, and what of extra looks live, each with its class."""
+    each = scanned.filter("size(base) + size(extra) > 0").select("row", "owner", "repo", F.explode(F.concat("base", "extra")).alias("s"))
+    held = stored(owned(each.select("s.value", "owner", "repo"), example_owners, live_repos), "secret-owners")
+    total = max(1, held.agg(F.sum("n")).first()[0] or 0)
+    kept = join_by_group(each.select("row", "s", "s.value"), held, "value", "n", total).filter("s.ord < 3 OR class = 'live'")
+    return kept.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("s.start", "s.ord", "s.kind", "s.end", "s.value", "class"))).alias("spans"))
 
 
 def secret_scan(
-    df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner: Column | None = None, repo: Column | None = None, example_owners: int = 4
+    df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner: Column | None = None, repo: Column | None = None, example_owners: int = EXAMPLE_OWNERS, live_repos: int = LIVE_REPOS
 ) -> DataFrame:
-    """One row per row of df: id_col, n_chars, base spans, spans (with class), as arrays of structs.
+    """One row per row of df: id_col, base spans, spans (with class), as arrays of structs.
 
-    owner and repo default to source and source with lang; null owners are one owner. Null text counts as empty and has
-    no spans; long texts are read whole; repeated rows each get their spans; extra columns of df are ignored; an empty
-    df gives an empty result.
+    A value that `example_owners` owners hold or more is an example; one that a single owner holds in up to `live_repos`
+    repositories looks live; others are shared. owner and repo default to source and source with lang; null owners are
+    one owner. Null text counts as empty and has no spans; long texts are read whole; repeated rows, and rows without an
+    id, each get their spans; extra columns of df are ignored, whatever their names; an empty df gives an empty result.
     """
-    owner = F.col("source") if owner is None else owner
-    repo = F.concat_ws("/", F.col("source"), F.col("lang")) if repo is None else repo
-    docs = df.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"), F.coalesce(owner.cast("string"), F.lit("")).alias("owner"), F.coalesce(repo.cast("string"), F.lit("")).alias("repo"))
-    found = stored(candidates(docs, "text").withColumn("text_hash", F.xxhash64("text")).drop("text"), "secret-candidates")
-    return classed(found, example_owners).withColumnRenamed("doc_id", id_col)
-
-
-def classed(found: DataFrame, example_owners: int) -> DataFrame:
-    """found (doc_id, text_hash, owner, repo, base, extra) with `spans`: all of base, and what of extra looks live, each with its class."""
-    some = found.filter("size(base) + size(extra) > 0")
-    one = some.dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text_hash", F.explode(F.concat("base", "extra")).alias("s")).select("doc_id", "text_hash", "s", "s.value")
-    held = stored(owned(some, example_owners), "secret-owners")
-    total = max(1, held.agg(F.sum("n")).first()[0] or 0)  # n counts repeated rows, which `one` has once
-    with_class = join_by_group(one, held, "value", "n", total)
-    kept = with_class.filter("s.ord < 3 OR class = 'live'")
-    spans = kept.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("s.start", "s.ord", "s.kind", "s.end", "s.value", "class"))).alias("spans"))
-    known = found.filter("doc_id IS NOT NULL").join(spans, ["doc_id", "text_hash"], "left")
-    unknown = found.filter("doc_id IS NULL").join(spans.filter("doc_id IS NULL").drop("doc_id"), "text_hash", "left")
-    return known.unionByName(unknown).withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:int,ord:int,kind:string,end:int,value:bigint,class:string>>")))
-
-
-def redacted(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", example_owners: int = 4) -> DataFrame:
+    scanned = _scanned(df, text_col, owner, repo, [id_col])
+    out = scanned.join(classed(scanned, example_owners, live_repos), "row", "left")
+    none = F.array().cast("array<struct<start:int,ord:int,kind:string,end:int,value:bigint,class:string>>")
+    return out.select(F.col("doc")[id_col].alias(id_col), "base", F.coalesce("spans", none).alias("spans"))
+
+
+def redacted(df: DataFrame, *, text_col: str = "text", owner: Column | None = None, repo: Column | None = None, example_owners: int = EXAMPLE_OWNERS, live_repos: int = LIVE_REPOS) -> DataFrame:
     """df, every span masked in its text: [SECRET], or [EXAMPLE] where many owners hold the value. All rows stay.
 
     Rows without a candidate are not shuffled. n_chars, where df has it, follows the new text; null texts stay null.
+    Columns of any name pass unchanged. owner and repo as in secret_scan().
     """
     cols = df.columns
-    docs = candidates(df.select(*cols, text_or_empty(text_col).alias("_text")), "_text")
-    some = docs.filter("size(base) + size(extra) > 0")
-    meta = some.select(F.col(id_col).alias("doc_id"), F.xxhash64("_text").alias("text_hash"), F.coalesce("source", F.lit("")).alias("owner"), F.concat_ws("/", "source", "lang").alias("repo"), "base", "extra")
-    spans = classed(stored(meta, "secret-candidates"), example_owners).select("doc_id", "text_hash", "spans").filter("size(spans) > 0").dropDuplicates(["doc_id", "text_hash"])
-    hit = some.drop("base", "extra").withColumn("text_hash", F.xxhash64("_text"))
-    joined = hit.join(spans.withColumnRenamed("doc_id", "_id"), (F.col(id_col).eqNullSafe(F.col("_id"))) & (hit["text_hash"] == spans["text_hash"]), "left")
-    masked = F.expr("""concat(
-      aggregate(spans, struct('' AS out, 0 AS at),
+    scanned = _scanned(df, text_col, owner, repo, cols)
+    hit = scanned.filter("size(base) + size(extra) > 0").select("row", "doc").join(classed(scanned, example_owners, live_repos), "row", "left").withColumn("text", F.col("doc")[text_col])
+    masked = F.expr("""aggregate(spans, struct('' AS out, 0 AS at),
         (a, s) -> CASE WHEN s.end <= a.at THEN a ELSE struct(
-          concat(a.out, CASE WHEN s.start >= a.at THEN concat(substr(_text, a.at + 1, s.start - a.at), IF(s.class = 'example', '[EXAMPLE]', '[SECRET]')) ELSE '' END) AS out, s.end AS at) END,
-        a -> concat(a.out, substr(_text, a.at + 1))))""")
-    joined = joined.withColumn(text_col, F.when(F.col("spans").isNull(), F.col(text_col)).otherwise(masked))
-    if "n_chars" in cols:
-        joined = joined.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length(text_col).cast("long")))
-    return docs.filter("size(base) + size(extra) = 0").select(*cols).unionByName(joined.select(*cols))
+          concat(a.out, CASE WHEN s.start >= a.at THEN concat(substr(text, a.at + 1, s.start - a.at), IF(s.class = 'example', '[EXAMPLE]', '[SECRET]')) ELSE '' END) AS out, s.end AS at) END,
+        a -> concat(a.out, substr(text, a.at + 1)))""")
+    hit = hit.withColumn("masked", F.when(F.col("spans").isNull(), F.col("text")).otherwise(masked))
+    own = {text_col: F.col("masked"), "n_chars": F.when(F.col("spans").isNull(), F.col("doc")["n_chars"]).otherwise(F.length("masked").cast("long"))} if "n_chars" in cols else {text_col: F.col("masked")}
+    rest = scanned.filter("size(base) + size(extra) = 0").select(*[F.col("doc")[c].alias(c) for c in cols])
+    return rest.unionByName(hit.select(*[own.get(c, F.col("doc")[c]).alias(c) for c in cols]))
 
 
 def listing(spans: str) -> Column:
@@ -144,14 +150,14 @@ _LIVE_SQL = r"""
   FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM (
     SELECT rid, regexp_extract_all(t, '[A-Za-z0-9+/_-]{16,}') AS hits, string_split_regex(t, '[A-Za-z0-9+/_-]{16,}') AS gaps FROM d)) WHERE regexp_matches(hits[i], '[0-9]') AND regexp_matches(hits[i], '[A-Za-z]')"""
 OP7_SQL = f"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS owner FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS owner, concat_ws('/', source, lang) AS repo FROM documents),
 base AS ({' UNION ALL '.join(_sql_spans(*k, i) for i, k in enumerate(KINDS))}),
 live AS (SELECT * FROM ({_LIVE_SQL}) x WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = x.rid AND b.s < x.s + x.len AND x.s < b.s + b.len)),
 found AS (SELECT * FROM base UNION ALL SELECT * FROM live),
-held AS (SELECT val, count(DISTINCT owner) AS owners FROM found JOIN d USING (rid) GROUP BY val),
-spans AS (SELECT f.*, owners, concat(kind, ':', s::BIGINT, ':', (s + len)::BIGINT) AS said FROM found f JOIN held USING (val) WHERE ord < 3 OR owners = 1),
+held AS (SELECT val, count(DISTINCT owner) AS owners, count(DISTINCT repo) AS repos FROM found JOIN d USING (rid) GROUP BY val),
+spans AS (SELECT f.*, owners, owners = 1 AND repos <= {LIVE_REPOS} AS live, concat(kind, ':', s::BIGINT, ':', (s + len)::BIGINT) AS said FROM found f JOIN held USING (val) WHERE ord < 3 OR (owners = 1 AND repos <= {LIVE_REPOS})),
 per AS (SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
-  string_agg(said, ',' ORDER BY s, ord) FILTER (ord < 3) AS b, string_agg(said, ',' ORDER BY s, ord) AS a, count(*) FILTER (owners = 1) AS n_live, count(*) FILTER (owners >= 4) AS n_example FROM spans GROUP BY rid)
+  string_agg(said, ',' ORDER BY s, ord) FILTER (ord < 3) AS b, string_agg(said, ',' ORDER BY s, ord) AS a, count(*) FILTER (live) AS n_live, count(*) FILTER (owners >= {EXAMPLE_OWNERS}) AS n_example FROM spans GROUP BY rid)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans,
   coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example FROM d LEFT JOIN per USING (rid)
 """

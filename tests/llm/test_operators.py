@@ -275,6 +275,20 @@ def test_redaction_masks_and_keeps_rows(spark):
     assert got[1][0].text == "x [SECRET] [SECRET]\" [SECRET] [SECRET]"
 
 
+def test_a_value_in_many_repositories_of_one_owner_is_no_live_one(spark):
+    data = [(i, "default m1n2b3v4c5x6z7a8 here", f"l{i}", "a") for i in range(4)] + [(10 + i, "mine w1e2r3t4y5u6i7o8 here", f"l{i}", "a") for i in range(3)]
+    got = by_id(secret_scan.secret_scan(frame(spark, data)))
+    assert [[s["class"] for s in got[i][0].spans] for i in (0, 3, 10, 12)] == [[], [], ["live"], ["live"]]
+
+
+def test_redaction_takes_columns_of_any_name(spark):
+    names = ["base", "extra", "spans", "row", "doc", "owner", "repo", "masked", "_id", "text_hash", "value"]
+    df = frame(spark, [*SECRETS, (None, "api_key=abc123def", "en", "z"), (None, "password: zzzzzzzz9", "en", "z")]).select("*", *[F.lit(n).alias(n) for n in names if n != "value"])
+    got = secret_scan.redacted(df).collect()
+    assert len(got) == len(SECRETS) + 2 and all(r.base == "base" and r.row == "row" and r.value == "v" for r in got)
+    assert sorted(r.text for r in got if r.doc_id is None) == ["[SECRET]", "[SECRET]"]
+
+
 def test_every_secret_of_repeated_rows_has_its_class(spark):
     data = [(i, f"token live{i:06d}abcdefgh here", "en", "a") for i in range(600) for _ in range(4)]
     got = secret_scan.secret_scan(frame(spark, data)).collect()
