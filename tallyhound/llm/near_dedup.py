@@ -1,31 +1,34 @@
 """Near-duplicate components by an LSH forest over MinHash signatures.
 
-Each document's signature is cut into several orders (trees). In each order the signatures are sorted, and a document's
-candidates are its neighbours with the longest common prefix: those that share at least `depth` leading values, all of
-them in small regions, the nearest ones in the sorted order in larger ones. Regions with too many members go deeper:
-they are dealt out anew in each order, so that the orders together still tie the region into one. Candidates that the
-whole signature supports join into families; each family is then checked exactly, every pair by the full sets, in blocks
-of bounded size where a family is large. So what the forest leaves out inside a region is not lost.
+Each document's signature is read in several orders (trees). In each order documents that share a prefix form a region,
+and those of a region are candidates. The depth adapts to the region: where too many share a prefix, each is compared
+with the region's first document, its hub, and unless all agree with it the region's documents go on to longer prefixes,
+in more orders, until every region is small. Small regions compare all with all. Candidates that the whole signature
+supports join into families; each family is then checked exactly by the full sets: first against a hub, which ties most
+of a group of copies together in one pass, and then only what no hub settled, against all others of its family.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from tallyhound.llm.common import documents, join_by_group, stored, text_or_empty
 
-#: Signature: orders, and values that a region's members share. A pair of similarity 0.8 is missed by all orders with
-#: a chance of 3e-6, one of 0.85 with 2e-8.
-TREES, DEPTH = 24, 4
+#: Values of a signature, and the forest's levels: length of the shared prefix, and orders in which it is read. A pair of
+#: similarity 0.8 shares no prefix of the first level with a chance of 3e-6, one of 0.85 with 2e-8.
+VALUES, TREES, DEPTH = 96, 24, 4
+LEVELS = [(8, 48), (14, 96), (24, 96), (VALUES, 1)]
 #: By how much the share of equal signature values may fall below the similarity asked for (over five deviations).
 SLACK = 0.2
-#: Members of a region that are compared all with all; neighbours on a side in larger ones; most members dealt together.
-SMALL, NEAR, REGION = 16, 3, 512
+#: Most members of a region that are compared all with all; of these, most that are compared place by place at once.
+REGION, SMALL = 512, 16
 #: Most documents of a family that are checked in one go.
 BLOCK = 1000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -74,7 +77,7 @@ def signed_long(x: int) -> int:
 
 
 def _multipliers() -> np.ndarray:
-    return mixed(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64) * _ODD) | np.uint64(1)
+    return mixed(np.arange(1, VALUES + 1, dtype=np.uint64) * _ODD) | np.uint64(1)
 
 
 def signed(df: DataFrame, words: int) -> DataFrame:
@@ -123,38 +126,110 @@ def spanning(pairs: list[list[int]]) -> list[tuple[int, int]]:
     return out
 
 
-def neighbours(members: DataFrame, least: float) -> DataFrame:
-    """(a, b) pairs that tie together the neighbours in the sorted orders whose signatures agree in a share of `least` or more.
+def tied(alike: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of a symmetric matrix of links."""
+    seen, out = np.zeros(len(alike), dtype=bool), []
+    for first in range(len(alike)):
+        if seen[first]:
+            continue
+        seen[first], todo = True, [first]
+        while todo:
+            k = todo.pop()
+            new = np.flatnonzero(alike[k] & ~seen)
+            seen[new] = True
+            out += [(k, int(j)) for j in new]
+            todo += new.tolist()
+    return out
+
 
-    members: tree, region, size, node, sign. A tree's order goes on from its own values to those of the next trees.
+def agreement(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """The share of equal values of each signature (row) of one with each of other."""
+    out = np.zeros((len(one), len(other)), dtype=np.float32)
+    for at in range(0, len(one), 64):
+        out[at : at + 64] = (one[at : at + 64, None] == other[None]).mean(axis=2)
+    return out
+
+
+def within_regions(members: DataFrame, least: float) -> DataFrame:
+    """(a, b) pairs that tie together the members of each region whose signatures agree in a share of `least` or more.
+
+    members: region, size, node, sign. All of a region are compared with all.
     """
-    members = members.withColumn("rank", F.expr(f"concat(substring(sign, {2 * DEPTH} * (tree + 1) + 1), substring(sign, 1, {2 * DEPTH} * (tree + 1)))"))
-    parts = (F.col("size") / REGION).cast("int") + 1
-    dealt = members.withColumn("salt", F.when(parts > 1, F.pmod(F.xxhash64("node", "region"), parts)).otherwise(F.lit(0)))
-    dealt = dealt.repartition("region", "salt").sortWithinPartitions("region", "salt", "rank", "node").select("region", "salt", "size", "node", "sign")
+    dealt = members.select("region", "size", "node", "sign").repartition("region").sortWithinPartitions("region", "node")
+
+    def pairs_of(rows: pd.DataFrame) -> pd.DataFrame:
+        region, node, size = (rows[c].to_numpy() for c in ("region", "node", "size"))
+        signs = np.frombuffer(b"".join(rows["sign"]), dtype="<u2").reshape(len(rows), -1)
+        found = []
+        small = np.flatnonzero(size <= SMALL)  # all these regions at once: each row with the next, the one after, and so on
+        for gap in range(1, min(SMALL, len(small))):
+            i, j = small[:-gap], small[gap:]
+            same = region[i] == region[j]
+            if not same.any():
+                break
+            i, j = i[same], j[same]
+            like = (signs[i] == signs[j]).mean(axis=1) >= least
+            found += np.stack([node[i[like]], node[j[like]]], axis=1).tolist()
+        found = spanning(found)
+        large = np.flatnonzero(size > SMALL)
+        edge = np.flatnonzero(np.diff(region[large])) + 1
+        for own in np.split(large, edge) if len(large) else []:
+            found += [(int(node[own[i]]), int(node[own[j]])) for i, j in tied(agreement(signs[own], signs[own]) >= least)]
+        return pd.DataFrame([(min(p), max(p)) for p in found], columns=["a", "b"], dtype="int64")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
         for batch in batches:
             batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            new = 0 if rest is None else len(rest)
-            region, salt, node = (batch[c].to_numpy() for c in ("region", "salt", "node"))
-            wide = np.where(batch["size"].to_numpy() <= SMALL, SMALL, NEAR)
-            signs = np.frombuffer(b"".join(batch["sign"]), dtype="<u2").reshape(len(batch), -1)
-            found = []
-            for gap in range(1, min(SMALL, len(batch))):
-                i = np.flatnonzero((region[gap:] == region[:-gap]) & (salt[gap:] == salt[:-gap]) & (wide[gap:] >= gap) & (np.arange(gap, len(batch)) >= new))
-                if not len(i):
-                    continue
-                i = i[(signs[i] == signs[i + gap]).mean(axis=1) >= least]
-                found.append(np.stack([node[i], node[i + gap]]))
-            rest = batch.iloc[-SMALL:]
-            if found:
-                yield pd.DataFrame(spanning(np.concatenate(found, axis=1).T.tolist()), columns=["a", "b"], dtype="int64")
+            if not len(batch):
+                continue
+            open_ = batch["region"] == batch["region"].iloc[-1]  # may go on in the next batch
+            if not open_.all():
+                yield pairs_of(batch[~open_].reset_index(drop=True))
+            rest = batch[open_]
+        if rest is not None:
+            yield pairs_of(rest.reset_index(drop=True))
 
     return dealt.mapInPandas(run, "a long, b long").filter("a <> b").distinct()
 
 
+@F.pandas_udf(FloatType())
+def share_alike(one: pd.Series, other: pd.Series) -> pd.Series:
+    if not len(one):
+        return pd.Series([], dtype="float32")
+    a, b = (np.frombuffer(b"".join(x), dtype="<u2").reshape(len(x), -1) for x in (one, other))
+    return pd.Series((a == b).mean(axis=1).astype("float32"))
+
+
+def candidates(firsts: DataFrame, least: float, total: int) -> DataFrame:
+    """(a, b) pairs of nodes that tie each family together; firsts: node, sign, regions, one row a node."""
+    found = []
+    places = firsts.select("node", F.explode("regions").alias("region"))
+    signed_nodes = firsts.select("node", "sign")
+    for depth, orders in [*LEVELS, (0, 0)]:
+        sizes = stored(places.groupBy("region").agg(F.count("*").alias("size"), F.min("node").alias("hub")).filter("size > 1"), "regions")
+        members = join_by_group(places, sizes, "region", "size", total * TREES).filter("size IS NOT NULL")
+        found.append(within_regions(members.filter(F.col("size") <= REGION).join(signed_nodes, "node"), least))
+        large = sizes.filter(F.col("size") > REGION)
+        if large.isEmpty():
+            break
+        hubs = large.join(firsts.select(F.col("node").alias("hub"), F.col("sign").alias("hub_sign")), "hub")
+        both = join_by_group(places, hubs, "region", "size", total * TREES).filter("size IS NOT NULL").join(signed_nodes, "node")
+        both = stored(both.withColumn("alike", F.lit(1.0) if depth == 0 else share_alike("sign", "hub_sign")).select("node", "region", "hub", "alike"), "region-hubs")
+        found.append(both.filter(F.col("alike") >= least).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).filter("a <> b").distinct())
+        if depth == 0:  # equal signatures throughout
+            break
+        open_ = both.groupBy("region").agg(F.min("alike").alias("alike")).filter(F.col("alike") < least)
+        nodes = both.join(open_.select("region"), "region", "left_semi").select("node").distinct()
+        rows = stored(nodes.join(signed_nodes, "node"), "region-members")
+        if rows.isEmpty():
+            break
+        order = F.explode(F.sequence(F.lit(0), F.lit(orders - 1))).alias("tree")
+        turned = F.expr(f"concat(substring(sign, {2 * (VALUES // orders)} * tree + 1), substring(sign, 1, {2 * (VALUES // orders)} * tree))")
+        places = rows.select("node", "sign", order).select("node", F.xxhash64("tree", turned.substr(1, 2 * depth)).alias("region"))
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node that each node of the edges (a, b) reaches.
 
@@ -176,8 +251,52 @@ def components(edges: DataFrame) -> DataFrame:
             return overall
 
 
-def joined_blocks(sets: list[np.ndarray], least: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among some sets: 100 * intersection >= least * union, every pair checked."""
+def linked_to(hub: np.ndarray, joined: np.ndarray, starts: np.ndarray, sizes: np.ndarray, least: int) -> np.ndarray:
+    """Which of some sets, given end to end, are linked with one: 100 * intersection >= least * union."""
+    inter = np.add.reduceat(hub[np.minimum(np.searchsorted(hub, joined), len(hub) - 1)] == joined, starts, dtype=np.int64)
+    return 100 * inter >= least * (sizes + len(hub) - inter)
+
+
+def joined_sets(sets: list[np.ndarray], signs: np.ndarray, least: int, hubs: int = 4) -> tuple[list[tuple[int, int]], int]:
+    """A spanning forest of the links among some non-empty sets, and the number of sets that the first one reaches.
+
+    A few hubs are checked against all; only where that leaves sets apart are the pairs between these checked, those
+    whose signatures allow a link, one by one where they are few and as matrix products otherwise.
+    """
+    n, sizes = len(sets), np.array([len(s) for s in sets])
+    starts, joined = np.cumsum(sizes) - sizes, np.concatenate(sets)
+    label, out = np.arange(n), []
+
+    def join(i: int, j: int) -> None:
+        if label[i] != label[j]:
+            out.append((i, j))
+            label[label == max(label[i], label[j])] = min(label[i], label[j])
+
+    tried = np.zeros(n, dtype=bool)
+    for _ in range(min(hubs, n)):
+        rest = np.flatnonzero(~tried & (label != np.bincount(label).argmax())) if tried.any() else np.arange(n)
+        if not len(rest):
+            break
+        tried[rest[0]] = True
+        for j in np.flatnonzero(linked_to(sets[rest[0]], joined, starts, sizes, least)):
+            join(int(rest[0]), int(j))
+    if (label != 0).any():
+        apart = (label[:, None] != label[None]) & (100 * np.minimum.outer(sizes, sizes) >= least * np.maximum.outer(sizes, sizes))
+        pairs = np.argwhere(np.triu(apart & (agreement(signs, signs) >= least / 100 - SLACK) & ~tried[:, None] & ~tried[None], 1))
+        if len(pairs) <= 20 * n:
+            for i, j in pairs.tolist():
+                if label[i] != label[j]:
+                    inter = int(np.isin(sets[i], sets[j], assume_unique=True).sum())
+                    if 100 * inter >= least * (sizes[i] + sizes[j] - inter):
+                        join(i, j)
+        else:
+            for i, j in tied(linked_matrix(sets, least)):
+                join(i, j)
+    return out, int((label == 0).sum())
+
+
+def linked_matrix(sets: list[np.ndarray], least: int) -> np.ndarray:
+    """Which of some sets are linked, every pair, by matrix products over the shingles that two of them share."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(n), sizes)
@@ -195,45 +314,78 @@ def joined_blocks(sets: list[np.ndarray], least: int) -> list[tuple[int, int]]:
         x[owner[a:b], code[a:b] - at] = 1
         inter += x @ x.T
     inter = np.rint(inter).astype(np.int64)
-    union = sizes[:, None] + sizes[None, :] - inter
-    linked = 100 * inter >= least * union
-    seen, out = np.zeros(n, dtype=bool), []
-    for first in range(n):
-        if seen[first]:
-            continue
-        seen[first], todo = True, [first]
-        while todo:
-            k = todo.pop()
-            new = np.flatnonzero(linked[k] & ~seen)
-            seen[new] = True
-            out += [(k, int(j)) for j in new]
-            todo += new.tolist()
-    return out
+    return 100 * inter >= least * (sizes[:, None] + sizes[None, :] - inter)
 
 
 def checked(members: DataFrame, words: int, least: int) -> DataFrame:
-    """(a, b) links, confirmed on full sets, that span each dealt group of members (group, node, h1, text)."""
-    dealt = members.select("group", "node", "h1", "text").repartition("group").sortWithinPartitions("group", "node")
+    """(a, b) links, confirmed on full sets, of dealt members (group, split, side, node, h1, sign, text).
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def links(nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-            return [(min(nodes[i], nodes[j]), max(nodes[i], nodes[j])) for i, j in joined_blocks(sets, least)] if len(nodes) > 1 else []
+    A group of side 0 is checked in itself. Where it is one part of a split family, its first member is the family's hub,
+    and every member that the hub does not reach is told as (node, null). In a group with sides 1 and 2 each of side 1 is
+    checked against all of side 2.
+    """
+    dealt = members.select("group", "split", "side", "node", "h1", "sign", "text").repartition("group").sortWithinPartitions("group", "side", "node")
+
+    def links(split: bool, sides: list[int], nodes: list[int], signs: list[bytes], sets: list[np.ndarray]) -> Iterator[tuple[int, int | None]]:
+        sign = np.frombuffer(b"".join(signs), dtype="<u2").reshape(len(nodes), -1)
+        if sides[-1] == 0:
+            found, reached = joined_sets(sets, sign, least) if len(nodes) > 1 else ([], 1)
+            yield from ((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])) for i, j in found)
+            if split and reached < len(nodes):
+                root = {0}
+                for i, j in sorted(found, key=lambda p: p[0]):  # what the hub reaches, by going over the forest until nothing is new
+                    if i in root or j in root:
+                        root |= {i, j}
+                while (more := {k for p in found if (p[0] in root) != (p[1] in root) for k in p} - root):
+                    root |= more
+                yield from ((nodes[k], None) for k in range(len(nodes)) if k not in root)
+            return
+        cut = sides.count(1)
+        if cut == len(nodes) or not cut:
+            return
+        likely = agreement(sign[:cut], sign[cut:]) >= least / 100 - SLACK
+        for i, j in np.argwhere(likely).tolist():
+            a, b = sets[i], sets[cut + j]
+            if nodes[i] != nodes[cut + j] and 100 * min(len(a), len(b)) >= least * max(len(a), len(b)):
+                inter = int(np.isin(a, b, assume_unique=True).sum())
+                if 100 * inter >= least * (len(a) + len(b) - inter):
+                    yield min(nodes[i], nodes[cut + j]), max(nodes[i], nodes[cut + j])
 
-        now, nodes, sets = None, [], []
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, split, sides, nodes, signs, sets = None, False, [], [], [], []
+        table = lambda rows: pd.DataFrame({"a": pd.array([a for a, _ in rows], dtype="Int64"), "b": pd.array([b for _, b in rows], dtype="Int64")})
         for batch in batches:
-            found = []
-            for group, node, h1, text in zip(batch["group"], batch["node"], batch["h1"], batch["text"]):
+            found: list = []
+            for group, part, side, node, h1, sign, text in zip(*[batch[c] for c in ("group", "split", "side", "node", "h1", "sign", "text")]):
                 if group != now:
-                    found += links(nodes, sets)
-                    now, nodes, sets = group, [], []
+                    if nodes:
+                        found += links(split, sides, nodes, signs, sets)
+                    now, split, sides, nodes, signs, sets = group, part, [], [], [], []
                 own = shingles(text, words)
-                if signed_long(int(own.sum())) == h1 and nodes[-1:] != [node]:  # else an id with several texts, or a repeated row
+                if signed_long(int(own.sum())) == h1 and not (nodes[-1:] == [node] and sides[-1] == side):  # else an id with several texts, or a repeated row
+                    sides.append(side)
                     nodes.append(node)
+                    signs.append(sign)
                     sets.append(own)
-            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-        yield pd.DataFrame(links(nodes, sets), columns=["a", "b"], dtype="int64")
+            yield table(found)
+        yield table(list(links(split, sides, nodes, signs, sets)) if nodes else [])
+
+    return dealt.mapInPandas(run, "a long, b long").filter("NOT a <=> b").distinct()
 
-    return dealt.mapInPandas(run, "a long, b long").filter("a <> b").distinct()
+
+def across_parts(placed: DataFrame, alone: DataFrame, words: int, least: int) -> DataFrame:
+    """(a, b) links of the nodes in `alone`, which their family's hub does not reach, with all others of their family.
+
+    placed: node, family, h1, sign, text. Blocks of half of BLOCK of one meet as many of the other.
+    """
+    half = max(1, BLOCK // 2)
+    split = placed.join(alone.join(placed.select("node", "family"), "node").select("family").distinct(), "family", "left_semi")
+    both = split.join(alone.withColumn("lone", F.lit(True)), "node", "left").withColumn("lone", F.coalesce("lone", F.lit(False)))
+    parts = both.groupBy("family").agg((F.count_if("lone") / half + 1).cast("long").alias("ones"), (F.count("*") / half + 1).cast("long").alias("others"))
+    both = both.join(parts, "family")
+    one = both.filter("lone").select("node", "h1", "sign", "text", F.lit(1).alias("side"), F.explode(F.expr("transform(sequence(0L, others - 1), p -> xxhash64(family, pmod(xxhash64(node), ones), p))")).alias("group"))
+    two = both.select("node", "h1", "sign", "text", F.lit(2).alias("side"), F.explode(F.expr("transform(sequence(0L, ones - 1), p -> xxhash64(family, p, pmod(xxhash64(node, 1), others)))")).alias("group"))
+    return checked(one.unionByName(two).withColumn("split", F.lit(False)), words, least).filter("b IS NOT NULL")
 
 
 def near_dedup(df: DataFrame, *, words: int = 5, least: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -242,7 +394,8 @@ def near_dedup(df: DataFrame, *, words: int = 5, least: int = 80, id_col: str =
     Documents are linked where 100 * intersection >= least * union of their sets of `words`-word shingles. Null, empty
     and blank texts have an empty set and are linked with nothing: their component is their own id. Repeated rows and
     equal sets are one class, linked throughout. Extra columns of df are ignored; an empty df gives an empty result.
-    Rows with a null id are linked by equal sets only.
+    Rows with a null id are linked by equal sets only, and all of
+    them are kept; give rows a number of their own as id where ids may be null.
     """
     docs = df.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     signs = stored(signed(docs, words), "signatures")
@@ -255,32 +408,27 @@ def near_dedup(df: DataFrame, *, words: int = 5, least: int = 80, id_col: str =
     labelled = join_by_group(full.select("doc_id", "key"), classes, "key", "class_size", total)
     firsts = full.withColumn("node", F.xxhash64("key")).join(classes.select("node", F.col("first").alias("doc_id")), ["node", "doc_id"]).dropDuplicates(["node"])
     firsts = stored(firsts.select("node", "n", "sign", "regions"), "class-signatures")
-    places = firsts.select("node", F.posexplode("regions").alias("tree", "region"))
-    shared = places.groupBy("region").agg(F.count("*").alias("size")).filter("size > 1")
-    members = join_by_group(places, shared, "region", "size", total * TREES).filter("size IS NOT NULL")
-    pairs = neighbours(members.join(firsts.select("node", "sign"), "node"), least / 100 - SLACK)
+    pairs = candidates(firsts, least / 100 - SLACK, total)
     families = stored(components(pairs).withColumnRenamed("label", "family"), "families")
 
-    # the sets of each family meet in one group, or block by block where the family is large
-    sized = families.join(firsts.select("node", "n"), "node").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(-np.log(least / 100)))).cast("long"))
-    counts = sized.groupBy("family").agg(F.count("*").alias("members"))
-    with_count = stored(join_by_group(sized, counts, "family", "members", total), "family-members")
-    large = with_count.filter(F.col("members") > BLOCK)
-    bands = large.groupBy("family", "band").agg((F.count("*") / (BLOCK // 2) + 1).cast("long").alias("parts"))
-    split = large
-    for d in (0, 1, -1):  # sets whose sizes differ by a band or more are not linked
-        split = split.join(bands.select("family", (F.col("band") + d).alias("band"), F.col("parts").alias(f"parts{d}")), ["family", "band"], "left")
-    split = split.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts0")))
-    dealt = split.select("node", F.explode(F.expr("""concat(
-        transform(sequence(0L, parts0 - 1), p -> xxhash64(family, band, band, least(p, part), greatest(p, part))),
-        CASE WHEN `parts-1` IS NULL THEN array() ELSE transform(sequence(0L, `parts-1` - 1), p -> xxhash64(family, band, band + 1, part, p)) END,
-        CASE WHEN parts1 IS NULL THEN array() ELSE transform(sequence(0L, parts1 - 1), p -> xxhash64(family, band - 1, band, p, part)) END)""")).alias("group"))
-    groups = with_count.filter(F.col("members") <= BLOCK).select("node", F.col("family").alias("group")).unionByName(dealt)
-
     # their texts, once for each class: ids are spread evenly however large a class is
     wanted = classes.join(families.select("node"), "node", "left_semi").select("node", F.col("key.h1").alias("h1"), F.col("first").alias("doc_id"))
-    texts = docs.join(wanted.hint("shuffle_hash"), "doc_id").select("node", "h1", "text")
-    links = stored(checked(groups.join(texts, "node"), words, least), "links")
+    texts = docs.join(wanted.hint("shuffle_hash"), "doc_id").select("node", "h1", "text").join(firsts.select("node", "sign"), "node")
+    counts = stored(families.groupBy("family").agg(F.count("*").alias("members")), "family-sizes")
+    placed = stored(join_by_group(families, counts, "family", "members", total).join(texts, "node"), "family-texts")
+
+    # a family of up to BLOCK members meets in one group; a larger one in parts, each with the family's hub
+    parts = F.ceil(F.col("members") / F.lit(max(1, BLOCK - 1))).cast("long")
+    part = F.pmod(F.xxhash64("node"), F.when(F.col("members") > BLOCK, parts).otherwise(F.lit(1)))
+    hub = F.col("node") == F.col("family")  # a family's label is its smallest node
+    every = F.sequence(F.lit(0).cast("long"), F.when(F.col("members") > BLOCK, parts).otherwise(F.lit(1)) - 1)
+    dealt = placed.withColumn("part", F.explode(F.when(hub, every).otherwise(F.array(part))))
+    dealt = dealt.withColumn("group", F.xxhash64("family", "part")).withColumn("split", F.col("members") > BLOCK).withColumn("side", F.lit(0))
+    first = stored(checked(dealt, words, least), "first-links")
+    links = first.filter("b IS NOT NULL")
+    alone = stored(first.filter("b IS NULL").select(F.col("a").alias("node")).distinct(), "unsettled")
+    if not alone.isEmpty():
+        links = stored(links.unionByName(across_parts(placed, alone, words, least)), "links")
     reached = components(links)
     lowest = classes.join(reached, "node", "left").withColumn("label", F.coalesce("label", "node"))
     lowest = stored(lowest.select("key", "node", "first", "label", "class_size"), "labelled-classes")

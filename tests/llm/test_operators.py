@@ -91,9 +91,10 @@ def brute_components(words, least):
     return sets, {i: find(i) for i in ids}
 
 
-@pytest.mark.parametrize(("words", "least", "block"), [(3, 85, 1000), (5, 80, 1000), (5, 80, 4)])
-def test_near_dedup_against_brute_force(spark, monkeypatch, words, least, block):
+@pytest.mark.parametrize(("words", "least", "block", "region"), [(3, 85, 1000, 512), (5, 80, 1000, 2), (5, 80, 4, 3)])
+def test_near_dedup_against_brute_force(spark, monkeypatch, words, least, block, region):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "REGION", region)
     sets, want = brute_components(words, least)
     got = near_dedup.near_dedup(frame(spark), words=words, least=least).collect()
     assert len(got) == len(DATA)
@@ -102,6 +103,47 @@ def test_near_dedup_against_brute_force(spark, monkeypatch, words, least, block)
     assert any(want[i] != i for i in (161, 162, 163)) or words == 3
 
 
+@pytest.mark.parametrize("share", [0.45, 0.62, 0.97])
+def test_pairs_in_an_overfull_region_are_found(spark, share):
+    """700 documents with a common passage, and for every tenth a near copy; regions of over 512 go deeper."""
+    rnd = np.random.default_rng(11)
+    word = lambda k: [f"w{x}" for x in rnd.integers(0, 10**9, k)]
+    common = word(int(120 * share / (1 + share) * 2))
+    data = {i: common + word(120 - len(common)) for i in range(700)}
+    for i in range(0, 700, 10):
+        copy = list(data[i])
+        copy[-3] = "changed"
+        data[1000 + i] = copy
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in data.items()}
+    got = near_dedup.near_dedup(spark.createDataFrame([(i, " ".join(w)) for i, w in data.items()], "doc_id long, text string"), words=5, least=80).collect()
+    found = {r.doc_id: r.component_id for r in got}
+    sample = [(i, j) for i in range(0, 700, 50) for j in range(700)]
+    linked = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    assert all(found[a] == found[b] for a, b in sample if linked(a, b)) and all(found[1000 + i] == found[i] for i in range(0, 700, 10) if linked(i, 1000 + i))
+    assert len(set(found.values())) == (1 if share > 0.9 else 700)
+
+
+def test_sets_are_joined_as_by_every_pair(spark):
+    rnd = np.random.default_rng(2)
+    many = near_dedup._multipliers()[:, None]
+    for density in (30, 200, 4000):
+        base = [np.unique(rnd.integers(0, density, 60)).astype(np.uint64) for _ in range(12)]
+        sets = [np.unique(np.r_[b, rnd.integers(0, density, rnd.integers(0, 12)).astype(np.uint64)]) for b in base for _ in range(6)]
+        signs = np.stack([near_dedup.mixed((near_dedup.mixed(s + np.uint64(1))[None] * many).min(axis=1)).astype("<u2") for s in sets])
+        pairs, reached = near_dedup.joined_sets(sets, signs, 70)
+        root = list(range(len(sets)))
+        for i in range(len(sets)):
+            for j in range(i):
+                if 100 * len(np.intersect1d(sets[i], sets[j])) >= 70 * len(np.union1d(sets[i], sets[j])):
+                    a, b = root[i], root[j]
+                    root = [min(a, b) if x in (a, b) else x for x in root]
+        mine = list(range(len(sets)))
+        for i, j in pairs:
+            a, b = mine[i], mine[j]
+            mine = [min(a, b) if x in (a, b) else x for x in mine]
+        assert mine == root and reached == root.count(root[0])
+
+
 def test_resharding_counts_slots_and_bytes(spark):
     df = frame(spark).select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("bytes"), "source")
     got = reshard.reshard(df.select("doc_id", "bytes", F.when(F.col("source") == "src1", 0).otherwise(5).alias("was")), old_shard=F.col("was"), size=F.col("bytes"), shards=4).collect()
