@@ -66,11 +66,12 @@ def exact_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     total = entries.count()
     bucket_rows = max(bucket_rows, ceil(total / (1 << (MAX_DEPTH - 4))))
     depth = depth_for(total, bucket_rows)
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, ceil(2 * total / bucket_rows))
     places = stored(directory(entries, bucket_rows=bucket_rows, depth=depth), "directory")
 
-    # the owner tasks: one exchange brings the entries of a bucket, or of one part of it, together
+    # the owner tasks, whose number follows the rows so that none reads more on larger data: one exchange brings the entries of a bucket, or of one part of it, together
     owned = entries.withColumn("prefix", F.shiftrightunsigned("key", 64 - depth)).join(F.broadcast(places), "prefix")
-    owned = owned.withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")).repartition("bucket", "part")
+    owned = owned.withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")).repartition(tasks, "bucket", "part")
     chain = Window.partitionBy("bucket", "part", "key").orderBy("bytes")
     same = Window.partitionBy("bucket", "part", "key", "bytes").orderBy("row")
     whole = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
