@@ -13,7 +13,6 @@ from __future__ import annotations
 import hashlib
 import hmac
 import ipaddress
-from collections.abc import Iterator
 from itertools import count
 
 import pandas as pd
@@ -66,8 +65,8 @@ _ALL = regex.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS))
 _NAME, _HEAD = regex.compile(rf"(?<![\p{{L}}\p{{M}}]){_WORD}"), regex.compile(rf"({_FORM})\.?[ ]")
 #: What every text with an entity has: Spark drops the other rows before any work in Python. Few letters start a name's form.
 HINT = (
-    r"@|[0-9][0-9().\-/ ]{5,}[0-9]|[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4} ?[A-Z0-9]|[0-9A-Fa-f]:[0-9A-Fa-f]{0,4}:|::[0-9A-Fa-f]|(?=["
-    + "".join(sorted({x[0] for x in _FORM.split("|")})) + f"])(?:{_FORM})" + r"\.? "
+    "(?=[:@0-9A-Z" + "".join(sorted({x[0] for x in _FORM.split("|")} - set("ABCDEFGHIJKLMNOPQRSTUVWXYZ"))) + "])(?:@|[0-9][0-9().\\-/ ]{5,}[0-9]|:[0-9A-Fa-f]{0,4}:"
+    + r"|[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4} ?[A-Z0-9]" + f"|(?:{_FORM})" + r"\.? )"
 )
 _GENDER = {x.casefold(): g for g, xs in ADDRESS.items() for x in xs}
 
@@ -275,16 +274,15 @@ def with_surrogates(df: DataFrame, *, key: bytes, text_col: str = "text") -> Dat
         raise ValueError("df has a column n_entities")
     cols = df.columns
     hinted = F.coalesce(named(text_col).rlike(HINT), F.lit(False))
-    some = df.filter(hinted).select(F.struct(*[named(c) for c in cols]).alias("doc"), named(text_col).alias("text"), F.md5(named(text_col)).alias("hash"))
-    some = stored(some, "rows-with-hints")
 
-    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(h, *what) for h, text in zip(batch["hash"], batch["text"]) for what in {m[2:] for m in mentions(text)}]
-            yield pd.DataFrame(rows, columns=["hash", "kind", "entity", "gender"])
+    @F.pandas_udf("array<struct<first:int,end:int,kind:string,entity:string,gender:string>>")
+    def marked(text: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(("first", "end", "kind", "entity", "gender"), m)) for m in mentions(t)] for t in text], dtype=object)
 
     # texts, not rows, are what mentions belong to: copies of a text share its replacements
-    each = stored(some.select("hash", "text").mapInPandas(found, "hash string, kind string, entity string, gender string"), "mentions")
+    some = df.filter(hinted).select(F.struct(*[named(c) for c in cols]).alias("doc"), named(text_col).alias("text"), F.md5(named(text_col)).alias("hash"))
+    some = stored(some.withColumn("marks", marked("text")), "rows-with-hints")
+    each = some.select("hash", F.explode("marks").alias("m")).select("hash", "m.kind", "m.entity", "m.gender")
     gender = F.when(F.max(F.col("gender") == "m") & ~F.max(F.col("gender") == "f"), "m").when(F.max(F.col("gender") == "f") & ~F.max(F.col("gender") == "m"), "f").otherwise("n")
     pairs = each.groupBy("hash", "kind", "entity").agg(F.lit(1).alias("one"))
     sizes = pairs.groupBy("kind", "entity").agg(F.count("*").alias("n")).join(each.groupBy("kind", "entity").agg(gender.alias("gender")), ["kind", "entity"])
@@ -295,20 +293,20 @@ def with_surrogates(df: DataFrame, *, key: bytes, text_col: str = "text") -> Dat
     maps = placed.groupBy("hash").agg(F.collect_list(F.struct("ke.kind", "ke.entity", "surrogate")).alias("swaps"))
 
     @F.pandas_udf("text string, n int")
-    def replaced(text: pd.Series, swaps: pd.Series) -> pd.DataFrame:
+    def replaced(text: pd.Series, marks: pd.Series, swaps: pd.Series) -> pd.DataFrame:
         out = []
-        for t, s in zip(text, swaps):
+        for t, said, s in zip(text, marks, swaps):
             new = {(x["kind"], x["entity"]): x["surrogate"] for x in s} if s is not None else {}
-            at, parts, n = 0, [], 0
-            for start, end, kind, entity, _ in mentions(t):
-                parts += [t[at:start], worn(kind, t[start:end], new[kind, entity])]
-                at, n = end, n + 1
-            out.append(("".join([*parts, t[at:]]), n))
+            at, parts = 0, []
+            for m in said:
+                parts += [t[at : m["first"]], worn(m["kind"], t[m["first"] : m["end"]], new[m["kind"], m["entity"]])]
+                at = m["end"]
+            out.append(("".join([*parts, t[at:]]), len(said)))
         return pd.DataFrame(out, columns=["text", "n"])
 
     counts = some.groupBy("hash").agg(F.count("*").alias("copies"))
     lookup = stored(maps.join(counts, "hash"), "swaps-of-texts")
-    done = join_by_group(some, lookup, "hash", "copies", max(1, some.count())).withColumn("new", replaced("text", "swaps"))
+    done = join_by_group(some, lookup, "hash", "copies", max(1, some.count())).withColumn("new", replaced("text", "marks", "swaps"))
     out = [F.col("new.text").alias(c) if c == text_col else F.col("doc")[c].alias(c) for c in cols]
     return df.filter(~hinted).withColumn("n_entities", F.lit(0)).unionByName(done.select(*out, F.col("new.n").alias("n_entities")))
 
