@@ -1,9 +1,11 @@
 """From events to sessions: connections, who runs a command, and what each session did.
 
-The events are joined by equality and by running windows, not applied one by one: (1) an event that knows only its
-process gets the address and port of its connection; (2) a connection's user and key are the last ones it showed; (3)
-commands, processes and network connections go to a session by their audit session, their parent or, failing these, by
-the user's latest connection. A late identity therefore holds for the whole connection.
+The events are joined by equality and by as-of windows, not applied one by one, and always within one host: (1) an event
+that knows only its process gets the address and port of its connection; process numbers and ports may be used again once
+a connection has closed. (2) A connection's user and key are those of its log-in; what a hook declares for it counts only
+while it is open, for its own user, and from a sender that is that user where this is known. (3) Commands, processes and
+network connections go to a session by their audit session, by a parent process that is the connection's or a known one,
+or, failing these, to the user's latest session. A late identity holds for the whole connection.
 """
 
 from __future__ import annotations
@@ -12,126 +14,204 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyhound.functions.text import shell_command
-from tallyhound.operators.joins import closure
+from tallyhound.functions.text import declared, shell_command
+from tallyhound.operators.joins import as_of, closure
 from tallyhound.operators.sessions import sessionised
 from tallyhound.sources.tables import stored
 
 #: Commands that start a session's own plumbing; they and their children are no one's commands.
 PLUMBING = [
     r"^(?:/bin/)?sh -c /bin/sh (?:/etc/ssh/sshrc|\.ssh/rc)$", r"^/bin/sh (?:/etc/ssh/sshrc|\.ssh/rc)$", r"run-parts --lsbsysinit /etc/update-motd\.d", r"^(?:/usr)?/lib/systemd/systemd --user", r"^(?:/usr)?/lib/systemd/user-environment-generators/",
-    r"^(?:/usr)?/bin/systemctl --user (?:set-environment|import-environment|unset-environment)", r"^(?:/usr/lib/update-notifier/update-motd-|/usr/bin/landscape-sysinfo)", r"^logger -p authpriv\.info -t [a-z-]+-declare ", r"^tr -cd A-Za-z0-9\._@:\+-$", r"^xauth -q -$",
+    r"^(?:/usr)?/bin/systemctl --user (?:set-environment|import-environment|unset-environment)", r"^(?:/usr/lib/update-notifier/update-motd-|/usr/bin/landscape-sysinfo)", r"^logger -p authpriv\.info -t ai-agent-declare ", r"^tr -cd A-Za-z0-9\._@:\+-$", r"^xauth -q -$",
 ]
 WINDOW = 15 * 60 * 1_000_000
+KEY = ["host", "user", "fp", "src_ip"]
 
 
 def value(key: str) -> Column:
     return F.coalesce(F.try_element_at("fields", F.lit(key)), F.lit(""))
 
 
-def _known(c: Column) -> Column:
-    return F.when((c != "") & (c != "0"), c)
+def number(key: str) -> Column:
+    return F.coalesce(value(key).try_cast("int"), F.lit(0))
 
 
 def prepared(events: DataFrame) -> DataFrame:
-    """events with us and seq, empty texts for nulls, and a unique row number for ties."""
+    """events with us and seq, empty texts for nulls; those of several machines are told apart by a column host."""
     e = events.withColumn("us", F.unix_micros("ts"))
     if "seq" not in e.columns:
         e = e.withColumn("seq", F.monotonically_increasing_id())
-    texts = {c: F.coalesce(F.col(c), F.lit("")) for c in ("user", "src_ip", "source")}
+    if "host" not in e.columns:
+        e = e.withColumn("host", F.lit(""))
+    texts = {c: F.coalesce(F.col(c), F.lit("")) for c in ("host", "user", "src_ip", "source")}
     numbers = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("src_port", "pid", "ses")}
     return e.withColumns(texts | numbers).withColumn("fields", F.coalesce("fields", F.create_map().cast("map<string,string>")))
 
 
+def looked_up(rows: DataFrame, known: DataFrame, *, key: list[str], take: str, where: Column) -> DataFrame:
+    """rows with the latest `take` of known at or before each, by key; null for rows outside `where`, which are not shuffled."""
+    rows = rows.withColumn("_asked", F.coalesce(where, F.lit(False)))
+    found = as_of(rows.filter("_asked"), known, key=key, take=take)
+    rest = rows.filter("NOT _asked").withColumn(take, F.lit(None).cast(known.schema[take].dataType))
+    return found.select(*rest.columns).unionByName(rest).drop("_asked")
+
+
+def owners_of_uids(e: DataFrame) -> DataFrame:
+    """(host, uid, us, seq, uid_user): what log-ins and processes tell of whose number is whose."""
+    said = F.col("kind").isin("ssh.pam_open", "proc.seen") & (value("uid") != "") & (F.col("user") != "")
+    return e.filter(said).select("host", value("uid").alias("uid"), "us", "seq", F.col("user").alias("uid_user"))
+
+
 def connections(e: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(ssh events with the connection they belong to, connections). A closed address and port may be used again."""
-    ssh = e.filter(F.col("kind").startswith("ssh.") & (F.col("kind") != "ssh.auth_fail"))
-    child = F.when(value("note") == "user_child", value("child_pid").try_cast("int"))
-    pairs = F.when((F.col("src_ip") != "") & (F.col("src_port") > 0), F.concat_ws("|", "src_ip", F.col("src_port").cast("string")))
-    ssh = ssh.withColumn("_pair", pairs).withColumn("_child", child)
-    parents = ssh.filter("_child IS NOT NULL").select(F.col("_child").alias("pid"), F.col("pid").alias("_parent")).groupBy("pid").agg(F.max("_parent").alias("_parent"))
-    ssh = ssh.join(parents, "pid", "left").withColumn("_pid", F.coalesce("_parent", "pid")).drop("_parent", "_child")
-    near = Window.partitionBy("_pid").orderBy("us", "seq")
+    """(ssh events with the connection they belong to, connections)."""
+    hooked = (F.col("kind") == "ssh.env") & (value("via") == "sshrc")  # anyone on the host can write such a line
+    ssh = e.filter(F.col("kind").startswith("ssh.") & (F.col("kind") != "ssh.auth_fail") & ~hooked)
+    pair = F.when((F.col("src_ip") != "") & (F.col("src_port") > 0), F.concat_ws("|", "host", "src_ip", F.col("src_port").cast("string")))
+    closes = (F.col("kind") == "ssh.disconnect") & (value("scope") != "channel")
+    ssh = ssh.withColumn("_pair", pair).withColumn("_closes", closes.cast("int"))
+    notes = ssh.filter((value("note") == "user_child") & (number("child_pid") > 0)).select("host", number("child_pid").alias("pid"), "us", "seq", F.col("pid").alias("_parent"))
+    ssh = looked_up(ssh, notes, key=["host", "pid"], take="_parent", where=F.col("pid") > 0).withColumn("_pid", F.coalesce("_parent", "pid")).drop("_parent")
+
+    # a process number stands for one connection until that closes
+    alone, own = ssh.filter("_pid = 0"), ssh.filter("_pid > 0")
+    order = Window.partitionBy("host", "_pid").orderBy("us", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    own = own.withColumn("_life", F.coalesce(F.sum("_closes").over(order), F.lit(0)))
+    near = Window.partitionBy("host", "_pid", "_life").orderBy("us", "seq")
     back = F.last("_pair", True).over(near.rowsBetween(Window.unboundedPreceding, 0))
     ahead = F.first("_pair", True).over(near.rowsBetween(0, Window.unboundedFollowing))
-    ssh = ssh.withColumn("_pair", F.coalesce("_pair", F.when(F.col("_pid") > 0, F.coalesce(back, ahead)))).filter("_pair IS NOT NULL")
-    closes = (F.col("kind") == "ssh.disconnect") & value("scope").isin("connection", "pam")
-    opens = (F.col("kind") == "ssh.auth_ok").cast("int")
-    order = Window.partitionBy("_pair").orderBy("us", "seq")
-    ssh = ssh.withColumn("_use", F.coalesce(F.sum(F.when(opens == 1, F.lit(1))).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
-    ssh = ssh.withColumn("_use", F.greatest("_use", F.lit(1))).withColumn("conn", F.concat_ws("#", "_pair", F.col("_use").cast("string")))
-    at = F.struct("us", "seq")
-    kind, stype = F.col("kind"), value("stype")
-    command = (kind == "ssh.session_start") & stype.isin("command", "forced-command")
-    per = ssh.groupBy("conn").agg(
-        F.coalesce(F.max_by(_known(F.col("user")), F.when(F.col("user") != "", at)), F.lit("")).alias("user"), F.coalesce(F.max_by(_known(value("fp")), F.when(value("fp") != "", at)), F.lit("-")).alias("fp"), F.max("src_ip").alias("src_ip"),
-        F.max(F.when(kind == "ssh.auth_ok", F.col("_pid"))).alias("pid"), F.min("us").alias("opened"), F.max(F.when(closes, F.col("us"))).alias("closed"), F.count_if(command).alias("exec_count"), F.count_if((kind == "ssh.session_start") & (stype == "shell")).alias("shell_count"),
-        F.count_if(command & (value("tty") != "")).alias("pty_exec_count"), F.min(F.when((kind == "ssh.session_start") & (stype == "shell"), F.col("us"))).alias("pty_opened"),
-        F.max(F.when(kind == "ssh.banner", value("banner"))).alias("banner"), F.max(F.when((kind == "ssh.env") & (value("name") == "AI_AGENT"), value("value"))).alias("declared"),
-    )
-    return ssh, per.filter("user <> ''")
-
-
-def placed(events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(events with user, fp, src_ip of their session, connections). Events of no known user go."""
+    ssh = own.withColumn("_pair", F.coalesce("_pair", back, ahead)).drop("_life").unionByName(alone).filter("_pair IS NOT NULL")
+    before = Window.partitionBy("_pair").orderBy("us", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    ssh = ssh.withColumn("_use", F.coalesce(F.sum("_closes").over(before), F.lit(0))).withColumn("conn", F.concat_ws("#", "_pair", F.col("_use").cast("string")))
+
+    at, kind, stype = F.struct("us", "seq"), F.col("kind"), value("stype")
+    command, logged_in = (kind == "ssh.session_start") & stype.isin("command", "forced-command"), kind == "ssh.auth_ok"
+    latest = lambda what, when: F.max_by(F.when(when, what), F.when(when, at))
+    said = declared(value("value"))
+    valid = (kind == "ssh.env") & (value("name") == "AI_AGENT") & ~said.isin("", "invalid-declaration")
+    per = ssh.groupBy("conn", "_pair", "host").agg(
+        F.coalesce(latest(F.col("user"), logged_in & (F.col("user") != "")), latest(F.col("user"), F.col("user") != ""), F.lit("")).alias("user"), F.coalesce(latest(value("fp"), logged_in & (value("fp") != "")), F.lit("-")).alias("fp"),
+        F.coalesce(latest(F.col("src_ip"), F.col("src_ip") != ""), F.lit("")).alias("src_ip"), F.coalesce(F.max(F.when(logged_in, F.col("_pid"))), F.max("_pid")).alias("pid"), F.max(F.when(value("note") == "user_child", number("child_pid"))).alias("child"),
+        F.min("us").alias("opened"), F.min(F.when(F.col("_closes") == 1, F.col("us"))).alias("closed"), F.count_if(command).alias("exec_count"), F.count_if((kind == "ssh.session_start") & (stype == "shell")).alias("shell_count"),
+        F.count_if(command & (value("tty") != "")).alias("pty_exec_count"), F.min(F.when((kind == "ssh.session_start") & (stype == "shell"), F.col("us"))).alias("pty_opened"), latest(value("banner"), kind == "ssh.banner").alias("banner"),
+        F.max(F.when(valid, F.struct("us", "seq", said.alias("value")))).alias("_said"), F.count_if(F.col("_closes") == 0).alias("_open"),
+    ).filter("user <> '' AND _open > 0").drop("_open")
+
+    told = e.filter(hooked & (value("name") == "AI_AGENT")).withColumn("_pair", pair).withColumn("uid", value("uid"))
+    told = looked_up(told, owners_of_uids(e), key=["host", "uid"], take="uid_user", where=F.col("uid") != "")
+    told = told.filter("_pair IS NOT NULL AND (uid_user IS NULL OR uid_user = user)").withColumn("value", said).filter(~F.col("value").isin("", "invalid-declaration"))
+    told = told.join(per.select("conn", "_pair", "user", "opened", "closed"), ["_pair", "user"]).filter("us >= opened AND (closed IS NULL OR us < closed)")
+    by_hook = told.groupBy("conn").agg(F.max(F.struct("us", "seq", "value")).alias("_told"))
+    per = per.join(by_hook, "conn", "left").withColumn("declared", F.greatest("_said", "_told")["value"]).drop("_said", "_told", "_pair")
+    keep = ["seq", "us", "kind", "host", "user", "src_ip", "pid", "ses", "fields", "conn"]
+    return ssh.select(*keep).unionByName(told.select(*keep)), per
+
+
+def placed(events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(events with host, user, fp, src_ip of their session, connections, failed log-ins). Events of no known user go."""
     e = prepared(events)
     ssh, conns = connections(e)
-    key = F.struct(F.col("user"), F.col("fp"), F.col("src_ip"))
-    of_conn = conns.select("conn", key.alias("key"))
-    mine = ssh.join(of_conn, "conn").select("seq", "us", "kind", "fields", "pid", "ses", "key", F.lit(True).alias("attributed"))
-    logins = e.filter((F.col("kind") == "audit.login") & (value("res") == "success") & ~F.col("user").isin("", "(unknown user)", "?"))
-    by_pid = conns.filter("pid > 0").select(F.col("pid"), key.alias("pid_key")).groupBy("pid").agg(F.max("pid_key").alias("pid_key"))
-    by_user_ip = conns.groupBy("user", "src_ip").agg(F.max_by(key, F.col("opened")).alias("user_key"))
-    own = F.struct(F.col("user"), F.lit("-").alias("fp"), F.when(F.col("src_ip") == "", "local").otherwise(F.col("src_ip")).alias("src_ip"))
-    login = logins.join(by_pid, "pid", "left").join(by_user_ip, ["user", "src_ip"], "left").withColumn("key", F.coalesce("pid_key", "user_key", own))
-    of_ses = login.filter("ses > 0").groupBy("ses").agg(F.max_by("key", F.struct("us", "seq")).alias("ses_key"))
-    local = e.filter(F.col("kind").isin("audit.execve", "proc.seen", "proc.gone", "net.conn", "audit.logout")).join(of_ses, "ses", "left")
-    uids = e.filter(F.col("kind").isin("ssh.pam_open", "proc.seen") & (value("uid") != "") & (F.col("user") != "")).groupBy(value("uid").alias("uid")).agg(F.max_by("user", F.struct("us", "seq")).alias("uid_user"))
-    local = local.withColumn("uid", value("uid")).join(uids, "uid", "left").withColumn("user", F.when(F.col("user") != "", F.col("user")).otherwise(F.coalesce("uid_user", F.lit(""))))
-    latest = mine.select(F.col("key.user").alias("user"), "us", "seq", "key").unionByName(login.select(F.col("key.user").alias("user"), "us", "seq", "key"))
-    both = local.withColumn("last_key", F.lit(None).cast(latest.schema["key"].dataType)).unionByName(latest.withColumnRenamed("key", "last_key").withColumn("kind", F.lit("-")), allowMissingColumns=True)
-    order = Window.partitionBy("user").orderBy("us", F.when(F.col("kind") == "-", 0).otherwise(1), "seq").rowsBetween(Window.unboundedPreceding, 0)
-    both = both.withColumn("last_key", F.last("last_key", True).over(order)).filter("kind <> '-'")
-    fresh = F.struct(F.col("user"), F.lit("-").alias("fp"), F.lit("local").alias("src_ip"))
-    found = both.filter("user <> '' OR ses_key IS NOT NULL").withColumn("key", F.coalesce("ses_key", "last_key", fresh)).withColumn("attributed", F.col("ses_key").isNotNull() | F.col("last_key").isNull())
-    every = mine.unionByName(login.select("seq", "us", "kind", "fields", "pid", "ses", "key", F.lit(True).alias("attributed"))).unionByName(found.select("seq", "us", "kind", "fields", "pid", "ses", "key", "attributed"))
-    return every.select("seq", "us", "kind", "fields", "pid", "ses", "attributed", "key.user", "key.fp", "key.src_ip"), conns
+    conns = stored(conns, "connections")
+    track = F.struct(*KEY)
+    mine = ssh.join(conns.select("conn", track.alias("key")), "conn").select("seq", "us", "kind", "fields", "pid", "ses", "key", F.lit(True).alias("attributed"))
+    opened = conns.select("host", "user", "src_ip", F.explode(F.array_distinct(F.array("pid", F.coalesce("child", "pid")))).alias("pid"), F.col("opened").alias("us"), F.lit(-1).cast("long").alias("seq"), F.struct(track.alias("key"), "closed").alias("of"))
+    still = F.col("of").isNotNull() & (F.col("of.closed").isNull() | (F.col("of.closed") >= F.col("us")))
+
+    named = F.when(F.col("user") != "", F.col("user")).otherwise(value("acct"))
+    logins = e.filter((F.col("kind") == "audit.login") & value("res").isin("", "success")).withColumn("user", named).withColumn("src_ip", F.when(F.col("src_ip") != "", F.col("src_ip")).otherwise(value("addr")))
+    logins = logins.filter(~F.col("user").isin("", "(unknown user)", "?"))
+    logins = looked_up(logins, opened.filter("pid > 0").select("host", "pid", "us", "seq", "of"), key=["host", "pid"], take="of", where=F.col("pid") > 0).withColumn("by_pid", F.when(still, F.col("of.key"))).drop("of")
+    logins = looked_up(logins, opened.select("host", "user", "src_ip", "us", "seq", "of"), key=["host", "user", "src_ip"], take="of", where=F.lit(True)).withColumn("by_user", F.when(still, F.col("of.key"))).drop("of")
+    own = F.struct("host", "user", F.lit("-").alias("fp"), F.when(F.col("src_ip") == "", "local").otherwise(F.col("src_ip")).alias("src_ip"))
+    login = stored(logins.select("seq", "us", "kind", "fields", "pid", "ses", "host", F.coalesce("by_pid", "by_user", own).alias("key"), F.lit(True).alias("attributed")), "audit-logins")
+
+    local = e.filter(F.col("kind").isin("audit.execve", "proc.seen", "proc.gone", "net.conn", "audit.logout")).withColumn("uid", value("uid")).withColumn("ppid", number("ppid"))
+    local = looked_up(local, owners_of_uids(e), key=["host", "uid"], take="uid_user", where=(F.col("user") == "") & (F.col("uid") != ""))
+    local = local.withColumn("user", F.coalesce(F.nullif("user", F.lit("")), "uid_user", F.lit(""))).drop("uid_user", "uid")
+    local = looked_up(local, login.filter("ses > 0").select("host", "ses", "us", "seq", F.col("key").alias("by_ses")), key=["host", "ses"], take="by_ses", where=F.col("ses") > 0)
+    parent = opened.filter("pid > 0").select("host", F.col("pid").alias("ppid"), "us", "seq", "of")
+    local = looked_up(local, parent, key=["host", "ppid"], take="of", where=F.col("by_ses").isNull() & (F.col("ppid") > 1) & (F.col("kind") != "audit.execve"))
+    local = stored(local.withColumn("key", F.coalesce("by_ses", F.when(still, F.col("of.key")))).drop("of", "by_ses").withColumn("attributed", F.col("key").isNotNull()), "local-events")
+
+    # processes whose parent is a known process, a generation a round; network connections go with their own process
+    done, waiting = local.filter("key IS NOT NULL"), local.filter("key IS NULL AND kind <> 'audit.execve'")
+    rest, fresh = local.filter("key IS NULL AND kind = 'audit.execve'"), done
+    while not (seen := fresh.filter("kind = 'proc.seen' AND pid > 0")).isEmpty():
+        seen = seen.select("host", F.col("pid").alias("via"), "us", "seq", F.col("key").alias("by_process"))
+        asked = waiting.withColumn("via", F.when(F.col("kind").isin("net.conn", "proc.gone"), F.col("pid")).otherwise(F.col("ppid")))
+        met = stored(looked_up(asked, seen, key=["host", "via"], take="by_process", where=F.col("via") > 1), "children")
+        fresh = met.filter("by_process IS NOT NULL").withColumn("key", F.col("by_process")).withColumn("attributed", F.lit(True)).select(*local.columns)
+        waiting, done = met.filter("by_process IS NULL").select(*local.columns), done.unionByName(fresh)
+    placed_first = ["seq", "us", "kind", "fields", "pid", "ses", "key", "attributed"]
+    known = mine.unionByName(login.select(*placed_first)).unionByName(done.select(*placed_first))
+
+    latest = known.select("key.host", "key.user", "us", "seq", F.col("key").alias("last_key"))
+    rest = rest.unionByName(waiting).filter("user <> ''").drop("key", "attributed")
+    rest = looked_up(rest, latest, key=["host", "user"], take="last_key", where=F.lit(True))
+    # a process of a user without a session has one of its own; a command alone does not, it may be a scheduled one
+    alone = F.struct("host", "user", F.lit("-").alias("fp"), F.lit("local").alias("src_ip"))
+    rest = rest.filter("last_key IS NOT NULL OR kind IN ('proc.seen', 'net.conn')").withColumn("key", F.coalesce("last_key", alone)).withColumn("attributed", F.col("last_key").isNull())
+    fails = e.filter((F.col("kind") == "ssh.auth_fail") & (F.col("user") != "") & (value("invalid_user") != "true")).select("host", "user", "src_ip", "us", "seq")
+    return known.unionByName(rest.select(*placed_first)).select(*[c for c in placed_first if c != "key"], "key.*"), conns, fails
 
 
 def plumbing(execs: DataFrame) -> DataFrame:
-    """(pid) of commands that are plumbing themselves or have such an ancestor."""
-    rows = stored(execs.select("pid", value("ppid").try_cast("int").alias("ppid"), value("cmd").alias("cmd")), "commands")
+    """(seq) of commands that are plumbing themselves or have such an ancestor.
+
+    A command's parent is the latest one of that process number on its host, at or before it.
+    """
+    rows = stored(execs.select("host", "seq", "us", "pid", number("ppid").alias("ppid"), value("cmd").alias("cmd")), "commands")
+    runs = rows.filter("pid > 0").select("host", F.col("pid").alias("ppid"), "us", F.lit(-1).cast("long").alias("_o"), "seq").withColumnRenamed("seq", "parent").withColumnRenamed("_o", "seq")
+    edges = looked_up(rows, runs, key=["host", "ppid"], take="parent", where=F.col("ppid") > 1).filter("parent <> seq").select("seq", "parent")
     match = F.lit(False)
     for p in PLUMBING:
         match = match | F.col("cmd").rlike(p)
-    return closure(rows, rows.filter(match), node="pid", parent="ppid")
+    return closure(edges, rows.filter(match).select("seq"), node="seq", parent="parent")
+
+
+def mode(processes: Column, has_connections: Column, has_commands: Column) -> Column:
+    """How an agent would work here: on the host itself, from outside, or unknown."""
+    field = lambda p, k: F.coalesce(F.try_element_at(p["fields"], F.lit(k)), F.lit(""))
+    marked = lambda p: F.exists(F.map_keys(p["fields"]), lambda k: k.startswith("env.") & (k != "env.AI_AGENT")) | (p["attributed"] & (field(p, "env.AI_AGENT") != ""))
+    agent = F.coalesce(F.exists(processes, lambda p: (field(p, "agent") != "") | (field(p, "flags") != "") | marked(p)), F.lit(False))
+    local = agent | ((F.col("src_ip") == "local") & ~has_connections)
+    return F.when(local, "local_agent").when(has_connections | has_commands, "remote_agent").otherwise("unknown")
 
 
 def tracks(events: DataFrame, *, gap: int | None = WINDOW) -> DataFrame:
-    """One row per session: user, fp, src_ip, session_start, first_us, last_us, connections, banners, commands, processes, net.
+    """One row per session: host, user, fp, src_ip, session_start, first_us, last_us, connections, banners, commands,
+    processes, net, mode, auth_fails.
 
     gap None: sessions never end, as when a recording is scored whole.
     """
-    every, conns = placed(events)
-    every, conns = stored(every, "placed-events"), stored(conns, "connections")
-    key = ["user", "fp", "src_ip"]
-    every = sessionised(every, key=key, gap=gap) if gap else every.withColumn("session_start", F.min("us").over(Window.partitionBy(*key)))
-    hidden = plumbing(every.filter("kind = 'audit.execve'"))
-    parents = conns.select(F.col("pid").alias("parent")).filter("parent > 1").distinct()
-    execs = every.filter("kind = 'audit.execve'").join(hidden, "pid", "left_anti").withColumn("parent", value("ppid").try_cast("int")).join(parents.withColumn("_known", F.lit(True)), "parent", "left")
-    said = F.when(F.col("_known"), shell_command(value("cmd"))).otherwise(value("cmd"))
-    execs = execs.select(*key, "session_start", "us", said.alias("cmd"), F.lit("auditd").alias("origin"), value("argv0").alias("argv0"))
-    started = every.filter((F.col("kind") == "ssh.session_start") & value("stype").isin("command", "forced-command")).select(*key, "session_start", "us", value("cmd").alias("cmd"), F.lit("sshlog").alias("origin"), F.lit("").alias("argv0"))
-    commands = execs.unionByName(started).groupBy(*key, "session_start").agg(F.array_sort(F.collect_list(F.struct("us", "cmd", "origin", "argv0"))).alias("commands"))
-    last = F.struct("us", "seq")
-    seen = every.filter(F.col("kind").isin("proc.seen", "proc.gone")).groupBy(*key, "session_start", "pid").agg(F.max_by(F.struct("kind", "fields", "attributed"), last).alias("p")).filter("p.kind = 'proc.seen'")
-    procs = seen.groupBy(*key, "session_start").agg(F.collect_list(F.struct("pid", F.col("p.fields").alias("fields"), F.col("p.attributed").alias("attributed"))).alias("processes"))
-    net = every.filter("kind = 'net.conn'").groupBy(*key, "session_start").agg(F.collect_list(F.struct("us", "fields", "attributed")).alias("net"))
-    base = every.groupBy(*key, "session_start").agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.count("*").alias("events"))
-    base = stored(base, "sessions")
-    own = conns.join(base.select(*key, "session_start", "first_us", "last_us"), key).filter("opened BETWEEN first_us AND last_us")
-    own = own.groupBy(*key, "session_start").agg(F.array_sort(F.collect_list(F.struct("opened", "closed", "exec_count", "shell_count", "pty_exec_count", "pty_opened", "banner", "declared"))).alias("connections"))
+    every, conns, fails = placed(events)
+    every = stored(every, "placed-events")
+    every = stored(sessionised(every, key=KEY, gap=gap) if gap else every.withColumn("session_start", F.min("us").over(Window.partitionBy(*KEY))), "session-events")
+    session = [*KEY, "session_start"]
+    commands = every.filter("kind = 'audit.execve'").withColumn("ppid", number("ppid"))
+    hidden = stored(plumbing(commands), "plumbing")
+    # what the server forked to run a client's command: "sh -c" there is transport, elsewhere a tool's wrapper
+    hooks = commands.filter(value("cmd").rlike(PLUMBING[0]) | value("cmd").rlike(PLUMBING[1])).filter("ppid > 1").select("host", "ppid", "us")
+    started = every.filter((F.col("kind") == "ssh.session_start") & value("stype").isin("command", "forced-command"))
+    forks = hooks.unionByName(started.filter("pid > 1").select("host", F.col("pid").alias("ppid"), "us")).select("*", F.lit(-1).cast("long").alias("seq"), F.lit(True).alias("forked"))
+    execs = looked_up(commands.join(hidden, "seq", "left_anti"), forks, key=["host", "ppid"], take="forked", where=F.col("ppid") > 1)
+    said = F.when(F.coalesce("forked", F.lit(False)), shell_command(value("cmd"))).otherwise(value("cmd"))
+    execs = execs.select(*session, "us", said.alias("cmd"), F.lit("auditd").alias("origin"), value("argv0").alias("argv0"))
+    started = started.select(*session, "us", value("cmd").alias("cmd"), F.lit("sshlog").alias("origin"), F.lit("").alias("argv0"))
+    ran = execs.unionByName(started).groupBy(*session).agg(F.array_sort(F.collect_list(F.struct("us", "cmd", "origin", "argv0"))).alias("commands"))
+    seen = every.filter(F.col("kind").isin("proc.seen", "proc.gone")).groupBy(*session, "pid").agg(F.max_by(F.struct("kind", "fields", "attributed"), F.struct("us", "seq")).alias("p"), F.min("us").alias("us")).filter("p.kind = 'proc.seen'")
+    procs = seen.groupBy(*session).agg(F.sort_array(F.collect_list(F.struct("us", "pid", F.map_entries("p.fields").alias("f"), F.col("p.attributed").alias("attributed")))).alias("processes"))
+    procs = procs.withColumn("processes", F.transform("processes", lambda p: F.struct(p["us"].alias("us"), p["pid"].alias("pid"), F.map_from_entries(p["f"]).alias("fields"), p["attributed"].alias("attributed"))))
+    net = every.filter("kind = 'net.conn'").groupBy(*session).agg(F.sort_array(F.collect_list(F.struct("us", "seq", "pid", F.map_entries("fields").alias("f"), "attributed"))).alias("net"))
+    net = net.withColumn("net", F.transform("net", lambda n: F.struct(n["us"].alias("us"), n["pid"].alias("pid"), F.map_from_entries(n["f"]).alias("fields"), n["attributed"].alias("attributed"))))
+    base = stored(every.groupBy(*session).agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.count("*").alias("events")), "sessions")
+    own = conns.join(base.select(*session, "first_us", "last_us"), KEY).filter("opened BETWEEN first_us AND last_us")
+    own = own.groupBy(*session).agg(F.array_sort(F.collect_list(F.struct("opened", "closed", "exec_count", "shell_count", "pty_exec_count", "pty_opened", "banner", "declared"))).alias("connections"))
+    # a failed log-in counts for the latest session of its user and address, and neither opens nor prolongs one
+    latest = base.select("host", "user", "src_ip", F.col("first_us").alias("us"), F.lit(-1).cast("long").alias("seq"), F.struct("fp", "session_start").alias("of"))
+    failed = as_of(fails, latest, key=["host", "user", "src_ip"], take="of").filter("of IS NOT NULL").groupBy("host", "user", F.col("of.fp").alias("fp"), "src_ip", F.col("of.session_start").alias("session_start")).agg(F.count("*").alias("auth_fails"))
     out = base
-    for part in (own, commands, procs, net):
-        out = out.join(part, [*key, "session_start"], "left")
+    for part in (own, ran, procs, net, failed):
+        out = out.join(part, session, "left")
+    some = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
+    out = out.withColumn("auth_fails", F.coalesce("auth_fails", F.lit(0))).withColumn("mode", mode(F.col("processes"), some("connections"), some("commands")))
     return out.withColumn("banners", F.array_distinct(F.filter(F.transform("connections", lambda c: c["banner"]), lambda b: b.isNotNull())))

@@ -94,6 +94,13 @@ def cidr_range_match(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select(F.col("event_id").alias("seq"), number.alias("number"), text.in_cidr(number, "10.1.0.0/16").alias("inside"))
 
 
+@query("SELECT event_id AS seq, lower('20010db8' || lpad(to_hex(user_id % 4), 4, '0') || repeat('0', 16) || lpad(to_hex(event_id % 65536), 4, '0')) AS digits, user_id % 4 = 1 AS inside FROM events")
+def cidr6_range_match(spark: SparkSession, d: str) -> DataFrame:
+    ip = F.lower(F.concat(F.lit("2001:db8:"), F.hex(F.col("user_id") % 4), F.lit("::"), F.hex(F.col("event_id") % 65536)))
+    return table(spark, d, "events").select(F.col("event_id").alias("seq"), text.ip6_hex(ip).alias("digits"), text.ip_in_cidr(ip, "2001:db8:1::/48").alias("inside"))
+
+
+
 @query("SELECT event_id AS seq, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.k') IS NOT NULL AS has_k, coalesce(json_extract_string(props, '$.k') = '7', false) AS is_seven FROM events")
 def env_map_project(spark: SparkSession, d: str) -> DataFrame:
     fields = F.from_json("props", "map<string,string>")

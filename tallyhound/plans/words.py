@@ -17,18 +17,18 @@ def text_clean(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.md5(text.cleaned(F.col("text"))).alias("cleaned"))
 
 
-@query(r"WITH m AS (SELECT doc_id, trim(text, ' ') AS t, regexp_extract(text, '[ ;&|]+[a-z]+ing[a-z]*') AS m FROM documents), b AS (SELECT doc_id, CASE WHEN regexp_replace(m, '^[ ;&|]+', '') <> '' THEN regexp_replace(m, '^[ ;&|]+', '') ELSE regexp_extract(t, '^(\S+)', 1) END AS b FROM m) SELECT doc_id, CASE WHEN length(b) > 12 THEN substr(b, 1, 12) || '…' ELSE b END AS fragment FROM b")
+@query(r"WITH m AS (SELECT doc_id, trim(text, ' ') AS t, regexp_extract(text, '[ ;&|]+[a-z]+ing[a-z]*') AS m FROM documents), b AS (SELECT doc_id, CASE WHEN regexp_replace(m, '^[ ;&|]+', '') <> '' THEN regexp_replace(m, '^[ ;&|]+', '') ELSE regexp_extract(t, '^(\S+)', 1) END AS b FROM m) SELECT doc_id, CASE WHEN strlen(b) > 12 THEN substr(b, 1, list_max(list_filter(range(0, 13), lambda k: strlen(substr(b, 1, k)) <= 12))) || '…' ELSE b END AS fragment FROM b")
 def text_fragment(spark: SparkSession, d: str) -> DataFrame:
     match = F.regexp_extract("text", r"[ ;&|]+[a-z]+ing[a-z]*", 0)
     return table(spark, d, "documents").select("doc_id", text.fragment(F.col("text"), match, 12).alias("fragment"))
 
 
-@query(f"WITH c AS (SELECT doc_id, {CLEAN_SQL} AS c FROM documents) SELECT doc_id, CASE WHEN c = '' THEN '' ELSE regexp_extract(c, '^([^ ]*)', 1) || ' … (len ' || strlen(c) || ')' END AS redacted FROM c")
+@query(f"WITH c AS (SELECT doc_id, {CLEAN_SQL} AS c FROM documents) SELECT doc_id, CASE WHEN c = '' THEN '' ELSE CASE WHEN strlen(w) > 48 THEN substr(w, 1, list_max(list_filter(range(0, 49), lambda k: strlen(substr(w, 1, k)) <= 48))) || '…' ELSE w END || ' … (len ' || strlen(c) || ')' END AS redacted FROM (SELECT *, regexp_extract(c, '^([^ ]*)', 1) AS w FROM c)")
 def text_redact(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", text.redacted(F.col("text"), "argv0").alias("redacted"))
 
 
-@query(r"SELECT doc_id, regexp_replace(substr(text, 1, 256), '[\x00-\x1f\x7f-\x{9f}]', '?', 'g') AS shown FROM documents")
+@query(r"WITH t AS (SELECT doc_id, substr(text, 1, 256) AS t FROM documents) SELECT doc_id, regexp_replace(substr(t, 1, list_max(list_filter(range(0, 257), lambda k: strlen(substr(t, 1, k)) <= 256))), '[\x00-\x1f\x7f-\x{9f}]', '?', 'g') AS shown FROM t")
 def text_sanitised(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", text.sanitised(F.col("text"), 256).alias("shown"))
 
@@ -83,9 +83,13 @@ def base_names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", text.base_name(F.regexp_replace("url", "[?#].*$", "")).alias("name"))
 
 
-@query(r"SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'get ' || url ELSE 'get' || url END AS command FROM pages")
+SHELLS = ["/bin/bash -c ", "-bash -c ", "fish -c ", "sh -c ", "bash -lc ", "csh -c ", ""]
+
+
+@query("SELECT page_id, CASE WHEN page_id % 7 < 4 THEN '' WHEN page_id % 7 = 4 THEN 'bash -lc ' WHEN page_id % 7 = 5 THEN 'csh -c ' ELSE '' END || 'get ' || url AS command FROM pages")
 def shell_unwrap(spark: SparkSession, d: str) -> DataFrame:
-    said = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("/bin/bash -lc get "), "url")).otherwise(F.concat(F.lit("get"), "url"))
+    """Only a plain -c of a known shell is unwrapped: other flags are a tool's own wrapper."""
+    said = F.concat(F.get(F.array(*map(F.lit, SHELLS)), (F.col("page_id") % 7).cast("int")), F.lit("get "), "url")
     return table(spark, d, "pages").select("page_id", text.shell_command(said).alias("command"))
 
 

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyhound.functions.text import first_bytes
+
 #: Keys whose value may be hex, record types that are events on their own, exec calls by architecture, caps.
 HEX_KEYS = ["proctitle", "cmd", "cwd", "name", "acct", "comm", "exe", "key", "hostname", "terminal", "grantors", "data"]
 LOGIN, LOGOUT = ["USER_START", "USER_LOGIN"], ["USER_END", "USER_LOGOUT"]
@@ -67,12 +69,6 @@ def records(logs: DataFrame) -> DataFrame:
     return out.select("type", "us", "serial", "_t.fields", "_t.enriched")
 
 
-def first_bytes(text: Column, most: int) -> Column:
-    """At most `most` bytes of a text; a character that would be cut is left out."""
-    cut = F.decode(F.substring(text.cast("binary"), 1, most), "UTF-8")
-    return F.when(F.octet_length(text) <= most, text).otherwise(F.regexp_replace(cut, "\ufffd+$", ""))
-
-
 def argv(execves: Column) -> Column:
     """The arguments of all EXECVE records, in order; chunks aN[k] are joined and missing ones are empty."""
     chunk = r"^a(\d+)(?:\[(\d+)\])?$"

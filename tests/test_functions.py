@@ -22,7 +22,12 @@ def test_text(spark):
     assert one(spark, text.redacted(lit("rm x"), "none")) == "" and one(spark, text.redacted(lit(" rm  x"), "full")) == "rm x"
     assert one(spark, text.declared(lit("a b"))) == "invalid-declaration" and one(spark, text.declared(lit("x@1.2"))) == "x@1.2"
     assert one(spark, text.declared_name(lit(" Agent@2"))) == "agent"
-    assert one(spark, text.shell_command(lit("/bin/bash -lc cd x && y"))) == "cd x && y"
+    for said, inner in {"/bin/bash -c cd x && y": "cd x && y", "-bash -c ls": "ls", "fish -c ls": "ls", "bash -lc ls": "bash -lc ls", "csh -c ls": "csh -c ls", "sh x -c ls": "sh x -c ls"}.items():
+        assert one(spark, text.shell_command(lit(said))) == inner
+    assert one(spark, text.sanitised(lit("aéé"), 4)) == "aé" and one(spark, text.first_bytes(lit("𝒳𝒳"), 7)) == "𝒳" and one(spark, text.fragment(lit(""), lit("ééé"), 5)) == "éé…"
+    assert [one(spark, text.ip6_hex(lit(x))) for x in ("::1", "2001:db8::a:0:1", "1:2:3:4:5:6:7:8", "1::2::3", "1.2.3.4")] == ["0" * 31 + "1", "20010db80000000000000000000a00000001"[:8] + "0" * 12 + "000a00000001", "00010002000300040005000600070008", None, None]
+    assert [one(spark, text.ip_in_cidr(lit(x), c)) for x, c in [("2001:db8:1::5", "2001:db8::/32"), ("2001:db9::", "2001:db8::/32"), ("10.1.2.3", "10.0.0.0/8"), ("10.1.2.3", "::/0"), ("::1", "::1")]] == [True, False, True, False, True]
+    assert [one(spark, text.duration_said(lit(x * 1000).cast("long"))) for x in (250, 1500, 2000, 125_000, 3_610_000)] == ["250ms", "1.5s", "2s", "2m5s", "1h0m10s"]
     assert one(spark, text.base_name(lit("/usr/bin/x (deleted)"))) == "x"
     assert [one(spark, text.host_matches(lit(h), r)) for h, r in [("API.x.ai.", "x.ai"), ("ax.ai", "x.ai"), ("a.openai.azure.com", "*.openai.azure.com")]] == [True, False, True]
     assert one(spark, text.ip_number(lit("::ffff:1.2.3.4"))) == 0x01020304 and one(spark, text.ip_number(lit("1.2.3"))) is None

