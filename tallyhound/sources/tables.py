@@ -4,10 +4,27 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders of the tables that this process has stored.
+_made: list[str] = []
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables that are stored within, at its end: for steps whose result is stored outside before that."""
+    before = len(_made)
+    yield
+    for path in _made[before:]:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    del _made[before:]
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path under spark.checkpoint.dir, which every executor can read.
 
@@ -26,5 +43,6 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read back: later stages no longer depend on how it was made."""
     path = shared_folder(df.sparkSession, name)
+    _made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
