@@ -9,12 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhound.llm.common import documents, stored
+from tallyhound.llm.common import documents, shared_folder, stored
 from tallyhound.llm.exact_dedup import exact_dedup
 from tallyhound.llm.language_id import accepted
 from tallyhound.llm.near_dedup import near_dedup
 from tallyhound.llm.packing import packed_documents
 from tallyhound.llm.secret_scan import redacted
+from tallyhound.sources.tables import passing
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +55,8 @@ def _elected(rows: DataFrame, groups: DataFrame, *before: Column) -> DataFrame:
     """One row of each group (_row, _group): the first by the columns `before`, then by doc_id, then by number."""
     order = [*(c.alias(f"_{i}") for i, c in enumerate(before)), F.col("doc_id").isNull().alias("_unknown"), F.col("doc_id"), F.col("_row")]
     first = groups.join(rows.select("_row", F.struct(*order).alias("_order")), "_row").groupBy("_group").agg(F.min("_order").alias("_order"))
-    kept = stored(first.select("_order._row"), "kept-rows")
-    return rows.join(kept.hint("shuffle_hash"), "_row", "left_semi").drop("_row")
+    gone = groups.select("_row").join(first.select("_order._row"), "_row", "left_anti")
+    return rows.join(stored(gone, "dropped-rows"), "_row", "left_anti").drop("_row")  # Spark broadcasts what goes where its stored size is small
 
 
 STAGES = [
@@ -71,7 +72,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. Each stage's result is written; what a stage wrote on its way is removed after that."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir).select(*docs.columns), name)
+        path = shared_folder(spark, name)
+        with passing(spark):
+            stage(spark, docs, sf_dir).select(*docs.columns).write.parquet(path)
+        docs = spark.read.schema(docs.schema).parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -373,16 +373,16 @@ def checked(members: DataFrame, words: int, least: int) -> DataFrame:
     return dealt.mapInPandas(run, "a long, b long").filter("NOT a <=> b").distinct()
 
 
-def across_parts(placed: DataFrame, alone: DataFrame, words: int, least: int) -> DataFrame:
+def across_parts(placed: DataFrame, alone: DataFrame, words: int, least: int, total: int) -> DataFrame:
     """(a, b) links of the nodes in `alone`, which their family's hub does not reach, with all others of their family.
 
-    placed: node, family, h1, sign, text. Blocks of half of BLOCK of one meet as many of the other.
+    placed: node, family, members, h1, sign, text. Blocks of half of BLOCK of one meet as many of the other.
     """
     half = max(1, BLOCK // 2)
-    split = placed.join(alone.join(placed.select("node", "family"), "node").select("family").distinct(), "family", "left_semi")
-    both = split.join(alone.withColumn("lone", F.lit(True)), "node", "left").withColumn("lone", F.coalesce("lone", F.lit(False)))
-    parts = both.groupBy("family").agg((F.count_if("lone") / half + 1).cast("long").alias("ones"), (F.count("*") / half + 1).cast("long").alias("others"))
-    both = both.join(parts, "family")
+    lone = alone.withColumn("lone", F.lit(True))
+    open_ = lone.join(placed.select("node", "family", "members"), "node").groupBy("family", "members").agg(F.count("*").alias("ones"))
+    open_ = stored(open_.select("family", "members", (F.col("ones") / half + 1).cast("long").alias("ones"), (F.col("members") / half + 1).cast("long").alias("others")), "unsettled-families")
+    both = join_by_group(placed.drop("members"), open_, "family", "members", total).filter("ones IS NOT NULL").join(lone, "node", "left").withColumn("lone", F.coalesce("lone", F.lit(False)))
     one = both.filter("lone").select("node", "h1", "sign", "text", F.lit(1).alias("side"), F.explode(F.expr("transform(sequence(0L, others - 1), p -> xxhash64(family, pmod(xxhash64(node), ones), p))")).alias("group"))
     two = both.select("node", "h1", "sign", "text", F.lit(2).alias("side"), F.explode(F.expr("transform(sequence(0L, ones - 1), p -> xxhash64(family, p, pmod(xxhash64(node, 1), others)))")).alias("group"))
     return checked(one.unionByName(two).withColumn("split", F.lit(False)), words, least).filter("b IS NOT NULL")
@@ -428,7 +428,7 @@ def near_dedup(df: DataFrame, *, words: int = 5, least: int = 80, id_col: str =
     links = first.filter("b IS NOT NULL")
     alone = stored(first.filter("b IS NULL").select(F.col("a").alias("node")).distinct(), "unsettled")
     if not alone.isEmpty():
-        links = stored(links.unionByName(across_parts(placed, alone, words, least)), "links")
+        links = stored(links.unionByName(across_parts(placed, alone, words, least, total)), "links")
     reached = components(links)
     lowest = classes.join(reached, "node", "left").withColumn("label", F.coalesce("label", "node"))
     lowest = stored(lowest.select("key", "node", "first", "label", "class_size"), "labelled-classes")
