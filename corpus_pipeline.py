@@ -6,6 +6,7 @@ the rows are written as Parquet and read again.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,15 +26,21 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row stays, whatever the ids: the longest original, then the smallest id, null ids last."""
-    rows = _numbered(docs)
+    rows = _named(docs)
     longest = -F.coalesce(F.length("text"), F.lit(0))
-    return _elected(rows, exact_dedup(rows, id_col="_row").select("_row", F.col("keep_id").alias("_group")), longest)
+    path = shared_folder(spark, "exact-copies")
+    with passing(spark):
+        _others(rows, exact_dedup(rows, id_col="_row").select("_row", F.col("keep_id").alias("_group")), longest).write.parquet(path)
+    return _without(spark, rows, path)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that links of similarity 0.8 over five-word shingles tie together, one row stays: the smallest id, null ids last."""
-    rows = _numbered(docs)
-    return _elected(rows, near_dedup(rows, words=5, least=80, id_col="_row").select("_row", F.col("component_id").alias("_group")))
+    rows = _named(docs)
+    path = shared_folder(spark, "near-copies")
+    with passing(spark):
+        _others(rows, near_dedup(rows, words=5, least=80, id_col="_row").select("_row", F.col("component_id").alias("_group"))).write.parquet(path)
+    return _without(spark, rows, path)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,17 +53,29 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packed_documents(docs)
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """docs with a number of their own for each row, as ids may be null or shared; written, so that the numbers stay."""
-    return stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered-rows")
+def _named(docs: DataFrame) -> DataFrame:
+    """docs with a name of its own for each row, _row, as ids may be null or shared: its file and its place there.
 
+    Rows that come from no file are written first.
+    """
+    place = F.concat_ws(":", "_metadata.file_name", F.col("_metadata.row_index").cast("string"))
+    try:
+        return docs.select("*", place.alias("_row"))
+    except AnalysisException:
+        return stored(docs.withColumn("_row", F.monotonically_increasing_id().cast("string")), "named-rows")
 
-def _elected(rows: DataFrame, groups: DataFrame, *before: Column) -> DataFrame:
-    """One row of each group (_row, _group): the first by the columns `before`, then by doc_id, then by number."""
+
+def _others(rows: DataFrame, groups: DataFrame, *before: Column) -> DataFrame:
+    """(_row) of all rows but one of each group (_row, _group): the first by the columns `before`, then by doc_id, then by name."""
     order = [*(c.alias(f"_{i}") for i, c in enumerate(before)), F.col("doc_id").isNull().alias("_unknown"), F.col("doc_id"), F.col("_row")]
+    groups = stored(groups, "groups")
     first = groups.join(rows.select("_row", F.struct(*order).alias("_order")), "_row").groupBy("_group").agg(F.min("_order").alias("_order"))
-    gone = groups.select("_row").join(first.select("_order._row"), "_row", "left_anti")
-    return rows.join(stored(gone, "dropped-rows"), "_row", "left_anti").drop("_row")  # Spark broadcasts what goes where its stored size is small
+    return groups.select("_row").join(first.select("_order._row"), "_row", "left_anti")
+
+
+def _without(spark: SparkSession, rows: DataFrame, path: str) -> DataFrame:
+    """rows without those named in a table. Spark broadcasts that where its size on disk is small, and shuffles otherwise."""
+    return rows.join(spark.read.schema("_row string").parquet(path), "_row", "left_anti").drop("_row")
 
 
 STAGES = [
