@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from tallyhound.llm.common import crc32_mod, documents, stored
 
-#: Hashed features (a power of two), n-gram lengths, and characters taken at a time.
-BITS, LENGTHS, CHUNK = 16, (1, 2, 3), 2_000_000
+#: Hashed features (a power of two), n-gram lengths, characters taken at a time, and places of these worked on at once.
+BITS, LENGTHS, CHUNK, PIECE = 16, (1, 2, 3), 500_000, 1 << 17
 #: The prediction where there is no letter.
 NONE = "und"
 
@@ -48,18 +48,21 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     A text's n-grams stand together: for each place in it, those of every length that start there and end in it.
     """
     parts = ["\n" + t.lower() + "\n" for t in texts]
-    code = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    code = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     ends = np.cumsum(np.fromiter((len(p) for p in parts), dtype=np.int64, count=len(parts)))
     n = len(code)
-    out = np.full((n, len(LENGTHS)), 1 << BITS, dtype=np.int64)  # the last number: no n-gram
-    h = np.zeros(n, dtype=np.uint64)
-    for k in range(1, max(LENGTHS) + 1):
-        h = h[: n - k + 1] * np.uint64(0x9E3779B97F4A7C15) + code[k - 1 :] + np.uint64(k)
-        if k in LENGTHS:
-            x = h ^ (h >> np.uint64(29))
-            out[: n - k + 1, LENGTHS.index(k)] = ((x * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - BITS)).astype(np.int64)
-            for back in range(1, k):  # those that would run into the next text
-                out[ends - back, LENGTHS.index(k)] = 1 << BITS
+    out = np.full((n, len(LENGTHS)), 1 << BITS, dtype=np.int32)  # the last number: no n-gram
+    for at in range(0, n, PIECE):  # a very long text needs no more than its codes and places at once
+        own = code[at : at + PIECE + max(LENGTHS) - 1].astype(np.uint64)
+        h = np.zeros(len(own), dtype=np.uint64)
+        for k in range(1, max(LENGTHS) + 1):
+            h = h[: len(own) - k + 1] * np.uint64(0x9E3779B97F4A7C15) + own[k - 1 :] + np.uint64(k)
+            if k in LENGTHS:
+                x = h[:PIECE] ^ (h[:PIECE] >> np.uint64(29))
+                out[at : at + len(x), LENGTHS.index(k)] = ((x * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - BITS)).astype(np.int32)
+    for k in LENGTHS:
+        for back in range(1, k):  # those that would run into the next text
+            out[ends - back, LENGTHS.index(k)] = 1 << BITS
     return out, np.r_[0, ends[:-1]]
 
 
@@ -166,11 +169,15 @@ class Model:
         out = []
         for a, b in chunks(texts):
             grams, starts = ngrams(texts[a:b])
-            total = self.table[grams[:, 0]].copy()
-            number = (grams < 1 << BITS).sum(axis=1)
-            for k in range(1, grams.shape[1]):
-                total += self.table[grams[:, k]]
-            out.append(np.add.reduceat(total, starts, axis=0) * (self.scale / np.add.reduceat(number, starts))[:, None] + self.bias)
+            total, number = np.zeros((b - a, len(self.langs))), np.zeros(b - a, dtype=np.int64)
+            for at in range(0, len(grams), PIECE):
+                own = grams[at : at + PIECE]
+                first = int(np.searchsorted(starts, at, side="right")) - 1  # the text that goes on here
+                cut = np.r_[0, starts[first + 1 : int(np.searchsorted(starts, at + len(own)))] - at].astype(np.int64)
+                here = slice(first, first + len(cut))
+                total[here] += np.add.reduceat(sum(self.table[own[:, k]] for k in range(own.shape[1])), cut, axis=0)
+                number[here] += np.add.reduceat((own < 1 << BITS).sum(axis=1), cut)
+            out.append(total * (self.scale / number)[:, None] + self.bias)
         return np.concatenate(out) if out else np.zeros((0, len(self.langs)))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:

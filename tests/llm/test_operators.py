@@ -468,6 +468,17 @@ def test_later_attempts_draw_from_more():
     assert re.fullmatch(r"\d{4} \d{4} \d{4} \d{5}", pii_surrogates.worn("card", "4111 1111 1111 1111", number))
 
 
+def test_ngrams_and_sums_do_not_depend_on_pieces(monkeypatch):
+    texts = ["", "a", "ab cd", "é" * 40, "the dog " * 30, "x"]
+    model = language_id.Model(["a", "b"], np.random.default_rng(0).normal(size=((1 << 16) + 1, 2)), np.array([0.1, 0.2]), 100.0, 1.0)
+    grams, starts = language_id.ngrams(texts)
+    want = model.logits(texts)
+    assert [len(g) for g in np.split(grams, starts[1:])] == [len(t) + 2 for t in texts] and (grams[starts + [len(t) + 1 for t in texts], 1] == 1 << 16).all()
+    for piece in (3, 7, 64):
+        monkeypatch.setattr(language_id, "PIECE", piece)
+        assert (language_id.ngrams(texts)[0] == grams).all() and np.allclose(model.logits(texts), want)
+
+
 def test_language_learns_and_rejects(spark):
     train = frame(spark, rows(1, 300)).filter("text IS NOT NULL AND lang IS NOT NULL AND doc_id < 100 OR doc_id > 200")
     model = language_id.fit(language_id.training(train))
