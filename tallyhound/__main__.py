@@ -6,7 +6,7 @@ import argparse
 import sys
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhound import config as settings
@@ -20,24 +20,31 @@ def _pack(args: argparse.Namespace) -> rules.Pack:
     return rules.load(args.rules) if args.rules else rules.default_pack()
 
 
+def written(df: DataFrame) -> None:
+    """All rows of df, tab-separated below their names, one partition at a time on the driver."""
+    print(*df.columns, sep="\t")
+    for row in df.toLocalIterator():
+        print(*row, sep="\t")
+
+
 def report(spark: SparkSession, args: argparse.Namespace) -> None:
     """Groups of an alert file, or one session's timeline."""
     since = F.current_timestamp() - F.make_interval(secs=F.lit(settings.duration(args.since).total_seconds())) if args.since else None
     rows = records.report_rows(records.alerts(spark, args.alerts, since)).filter(F.col("rank") >= records.RANKS[args.min_level])
     if args.session:
-        rows.filter(F.col("session_id") == args.session).orderBy("ts", "seq").select("ts", "event", "level", "score").show(1000, False)
+        written(rows.filter(F.col("session_id") == args.session).orderBy("ts", "seq").select("ts", "event", "level", "score"))
         return
     dims = {"account": "user", "server": "host", "agent": "agent", "key": "key_fingerprint"}
     about = rows.groupBy("session_id").agg(*[F.max(c).alias(f"by_{c}") for c in dims.values()])
     found = folded(rows).join(about, "session_id")
-    top_by(found, F.coalesce(F.col(f"by_{dims[args.by]}"), F.lit("")), args.top).show(1000, False)
+    written(top_by(found, F.coalesce(F.col(f"by_{dims[args.by]}"), F.lit("")), args.top))
 
 
 def score(spark: SparkSession, args: argparse.Namespace) -> None:
     """Verdicts of a file of recorded events."""
     events, skipped = records.recorded_events(spark, args.events)
     pack = rules.enabled(_pack(args), args.profile) if args.profile else _pack(args)
-    detect.verdicts(correlate.tracks(events, gap=None), pack).orderBy(F.desc("score")).select("user", "src_ip", "score", "level", "class", "agent", "profile", "reasons").show(1000, False)
+    written(detect.verdicts(correlate.tracks(events, gap=None), pack).orderBy(F.desc("score")).select("user", "src_ip", "score", "level", "class", "mode", "agent", "profile", "reasons", "evidence"))
     print(f"{skipped.count()} events without a time", file=sys.stderr)
 
 
@@ -76,7 +83,7 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "query":
         from tallyhound.catalogue import QUERIES
 
-        QUERIES[args.name](spark, args.folder).show(100, False)
+        written(QUERIES[args.name](spark, args.folder))
     else:
         {"report": report, "score": score}[args.command](spark, args)
     return 0

@@ -223,7 +223,7 @@ def clues(tracks: DataFrame, pack: Pack) -> DataFrame:
         ("env.ai_agent", "identity", F.lit(0), F.concat(F.lit("AI_AGENT="), text.fragment(F.lit(""), F.col("declared")))),
     ]
     t = t.withColumn("agent", identified(F.col("declared"), pack))
-    t = t.withColumn("_c", F.array(*[F.struct(F.lit(i).alias("clue"), F.lit(c).alias("category"), w.cast("int").alias("weight"), F.when((w != 0) | F.lit(c == "identity"), said).alias("evidence")) for i, c, w, said in rows]))
+    t = t.withColumn("_c", F.array(*[F.struct(F.lit(i).alias("clue"), F.lit(c).alias("category"), w.cast("int").alias("weight"), F.when((F.col("declared") != "") if c == "identity" else (w != 0), said).alias("evidence")) for i, c, w, said in rows]))
     keep = [*TRACK, "declared", "agent", "profile"]
     out = t.select(*keep, F.explode("_c").alias("c")).select(*keep, "c.*")
     out = out.filter((F.col("weight") != 0) | (F.col("clue") == "env.ai_agent"))  # the last keeps every track
