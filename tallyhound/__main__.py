@@ -1,4 +1,4 @@
-"""python -m tallyhound report|score|rules|query ...: the library from a shell."""
+"""python -m tallyhound run|report|score|rules|query ...: the library from a shell."""
 
 from __future__ import annotations
 
@@ -13,7 +13,8 @@ from tallyhound import config as settings
 from tallyhound.operators import correlate, detect
 from tallyhound.operators.sessions import folded
 from tallyhound.plans.reporting import top_by
-from tallyhound.sources import records, rules
+from tallyhound.run import alerts_of, read_events
+from tallyhound.sources import records, rules, sinks
 
 
 def _pack(args: argparse.Namespace) -> rules.Pack:
@@ -48,6 +49,14 @@ def score(spark: SparkSession, args: argparse.Namespace) -> None:
     print(f"{skipped.count()} events without a time", file=sys.stderr)
 
 
+def run(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Alerts of logs, appended to a folder as JSON lines, or printed."""
+    config = settings.load(args.config.read_text()) if args.config else settings.Config()
+    events = read_events(spark, server=args.server, audit=args.audit, recorded=args.events, host=args.host)
+    found = alerts_of(events, config, _pack(args))
+    (sinks.append_json(args.out) if args.out else sinks.console)(found, 0)
+
+
 def show_rules(args: argparse.Namespace) -> int:
     pack = _pack(args)
     for rule in rules.listed(pack):
@@ -74,7 +83,13 @@ def main(argv: list[str] | None = None) -> int:
     q.add_argument("name")
     q.add_argument("folder")
     v = sub.add_parser("rules")
-    for p in (s, v):
+    u = sub.add_parser("run")
+    for name in ("--server", "--audit", "--events"):
+        u.add_argument(name, nargs="+", default=[])
+    u.add_argument("--host")
+    u.add_argument("--config", type=Path)
+    u.add_argument("--out", default="")
+    for p in (s, u, v):
         p.add_argument("--rules", type=Path)
     args = top.parse_args(argv)
     if args.command == "rules":
@@ -85,7 +100,7 @@ def main(argv: list[str] | None = None) -> int:
 
         written(QUERIES[args.name](spark, args.folder))
     else:
-        {"report": report, "score": score}[args.command](spark, args)
+        {"report": report, "run": run, "score": score}[args.command](spark, args)
     return 0
 
 

@@ -235,7 +235,7 @@ def clues(tracks: DataFrame, pack: Pack) -> DataFrame:
 
 
 def verdicts(tracks: DataFrame, pack: Pack, thresholds: tuple[int, int, int] = (score.INFO, score.ALERT, score.HIGH)) -> DataFrame:
-    """One row per track: score, level, class, agent, profile, reasons, evidence (by clue), mode, auth_fails and connections.
+    """One row per track: score, level, class, agent, profile, reasons, evidence (by clue), details, mode, auth_fails and connections.
 
     A profile caps the score unless a process or flag speaks.
     """
@@ -246,6 +246,7 @@ def verdicts(tracks: DataFrame, pack: Pack, thresholds: tuple[int, int, int] = (
         F.max("agent").alias("agent"), F.max("profile").alias("profile"), F.bool_or(F.col("category").isin("process", "flags")).alias("hard"),
         F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("evidence").isNotNull() & ~F.col("suppressed"), F.struct("clue", "evidence"))))).alias("evidence"),
         F.array_sort(F.collect_list(F.when(F.col("suppressed"), F.struct("profile", "clue", "weight")))).alias("suppressed"),
+        F.sort_array(F.collect_list(F.when(~F.col("suppressed"), F.struct("clue", "category", "weight", "evidence")))).alias("details"),
     )
     caps = first_match([(str(p.max_score), F.col("profile") == p.id) for p in pack.profiles if p.max_score is not None]).try_cast("int")
     out = v.join(about, TRACK).withColumn("score", F.when(caps.isNotNull() & ~F.col("hard"), F.least("score", caps)).otherwise(F.col("score")))
