@@ -6,6 +6,10 @@ that there are no more than 1 / least nodes of each length, whatever the corpus)
 diverges from that of its longest proper suffix. Distributions are smoothed towards that suffix's. A position is scored
 by the longest suffix of what stands before it that is a node. As words and the joined bytes determine each other, the
 score is the log10 probability of the text's token sequence, as the unigram base score is.
+
+Above these short contexts, whose number is bounded so that each task can hold them, stand long ones, whose number grows
+with the corpus: a text is a sequence of phrases, and the phrase before one is its context where training positions,
+each predicted from all others, diverge enough from the bytes' prediction. They are found and looked up by joins.
 """
 
 from __future__ import annotations
@@ -20,25 +24,34 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhound.llm.common import crc32_mod, documents, stored, text_or_empty
+from tallyhound.llm.common import crc32_mod, documents, join_by_group, stored, text_or_empty
+from tallyhound.sources.tables import passing
 
 #: Longest context; bits of a symbol code (0: end, 1: any rare byte, others: the frequent bytes).
 DEPTH, BITS = 6, 6
 CODES = 1 << BITS
 #: Positions scored one after the other in one row of the arrays, and bytes of text taken at a time.
 SPAN, CHUNK = 256, 1_000_000
+#: Last byte of a word that ends a phrase.
+STOPS = np.isin(np.arange(256), list(b".!?,;:"))
+#: Hash of a phrase: a polynomial in MULTIPLIER over a random number for each byte, modulo 2^64.
+MULTIPLIER = 0x9E3779B97F4A7C15
+VALUES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
 @dataclass(frozen=True)
 class Settings:
     """least: share of all positions that a context must have. gain: nats by which its own distribution must describe its
     positions better than its suffix's. weight: of the suffix's distribution, in positions. common: words with over
-    1 / common of all training tokens are looked up in each task, the others by a join."""
+    1 / common of all training tokens are looked up in each task, the others by a join. phrase: words after which a
+    phrase ends at the latest. phrase_weight: of the bytes' prediction of a phrase after a phrase, in positions."""
 
     least: float = 4e-6
     gain: float = 10.0
     weight: float = 16.0
     common: int = 50_000
+    phrase: int = 12
+    phrase_weight: float = 1.0
 
 
 def words_of(text: str) -> list[bytes]:
@@ -98,6 +111,42 @@ def streamed(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return np.frombuffer(b"".join(parts), dtype=np.uint8), ends - sizes + DEPTH, ends - 1
 
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29))
+
+
+def phrases(raw: np.ndarray, first: np.ndarray, last: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The first and last byte, the text and the hash of each phrase of the streamed texts, in order.
+
+    A phrase ends with a word that ends in a stop, with its `most`th word and with the text.
+    """
+    word_end = raw == 32
+    word_end[last] = True
+    ends = np.flatnonzero(word_end)
+    stop = STOPS[raw[ends - 1]] | (raw[ends] == 10)
+    at = np.arange(len(ends))
+    before = np.r_[-1, np.maximum.accumulate(np.where(stop, at, -1))[:-1]] if len(ends) else at
+    close = ends[stop | ((at - before) % most == 0)]
+    owner = np.searchsorted(last, close)
+    head = np.r_[True, owner[1:] != owner[:-1]] if len(owner) else owner.astype(bool)
+    opening = np.where(head, first[owner], np.r_[0, close[:-1] + 1] if len(close) else close)
+    power = np.full(len(raw) + 1, MULTIPLIER, dtype=np.uint64)
+    power[0] = 1
+    np.multiply.accumulate(power, out=power)
+    back = np.full(len(raw) + 1, pow(MULTIPLIER, -1, 1 << 64), dtype=np.uint64)
+    back[0] = 1
+    np.multiply.accumulate(back, out=back)
+    sums = sums_of(VALUES[raw] * power[:-1], opening, close)
+    return opening, close, owner, mixed(sums * back[opening])
+
+
+def sums_of(values: np.ndarray, opening: np.ndarray, close: np.ndarray) -> np.ndarray:
+    """The sum of values[opening..close] for each of these ranges, which are in order and do not overlap."""
+    bounds = np.stack([opening, close + 1], axis=1).ravel()
+    return np.add.reduceat(np.append(values, values.dtype.type(0)), bounds)[::2] if len(bounds) else values[:0]
+
+
 def gram_counts(train: DataFrame, code: np.ndarray) -> DataFrame:
     """(gram, n) of the DEPTH codes before each training position and the one that stands there, six bits each."""
 
@@ -222,27 +271,71 @@ class Tree:
             state = self.next[state * CODES]
         self.start = int(state)
 
-    def score(self, texts: list[list[bytes]]) -> np.ndarray:
-        """log10 of the probability of each text. All texts are followed at once, in spans that start DEPTH symbols early."""
-        raw, first, last = streamed(texts)
+    def positions(self, raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each byte of the streamed texts, 0 before them. All texts are followed at once, in
+        spans that start DEPTH symbols early."""
         codes = self.code[raw]
         sizes = last + 1 - first
         spans = -(-sizes // SPAN)
-        owner = np.repeat(np.arange(len(texts)), spans)
+        owner = np.repeat(np.arange(len(first)), spans)
         step = np.arange(len(owner)) - np.repeat(np.cumsum(spans) - spans, spans)
         begin = first[owner] + step * SPAN
         length = np.minimum(SPAN, last[owner] + 1 - begin)
         order = np.argsort(-length, kind="stable")
-        begin, owner, length = begin[order] - DEPTH, owner[order], length[order]
-        state, total = np.zeros(len(begin), dtype=np.int32), np.zeros(len(begin))
+        begin, length = begin[order] - DEPTH, length[order]
+        state, out = np.zeros(len(begin), dtype=np.int32), np.zeros(len(raw))
         for t in range(DEPTH + int(length[0]) if len(length) else 0):
             m = len(begin) if t <= DEPTH else int(np.searchsorted(-length, DEPTH - t, side="left"))
-            at = state[:m] * CODES + codes[begin[:m] + t]
+            place = begin[:m] + t
+            at = state[:m] * CODES + codes[place]
             if t >= DEPTH:
-                total[:m] += self.log[at]
+                out[place] = self.log[at]
             state[:m] = self.next[at]
-        out = np.bincount(owner, total, len(texts))
-        return out + np.add.reduceat(self.rare[raw], first - DEPTH)
+        return out + self.rare[raw]
+
+    def score(self, texts: list[list[bytes]]) -> np.ndarray:
+        """log10 of the probability of each text by the bytes' contexts."""
+        raw, first, last = streamed(texts)
+        return np.add.reduceat(self.positions(raw, first, last), first - DEPTH)
+
+    def score_phrases(self, texts: list[list[bytes]], most: int) -> tuple[np.ndarray, list[list[np.ndarray]]]:
+        """score(texts), and for each text hashes of the phrase before each phrase but the first, hashes of both, and
+        log10 of the later one's probability by the bytes' contexts."""
+        raw, first, last = streamed(texts)
+        logs = self.positions(raw, first, last)
+        opening, close, owner, own = phrases(raw, first, last, most)
+        later = np.flatnonzero(owner[1:] == owner[:-1]) + 1
+        before = own[later - 1]
+        both = mixed(before * np.uint64(MULTIPLIER) + own[later])
+        columns = [before.view(np.int64), both.view(np.int64), sums_of(logs, opening, close)[later].astype(np.float32)]
+        cuts = np.searchsorted(owner[later], np.arange(len(texts) + 1))
+        return np.add.reduceat(logs, first - DEPTH), [[c[a:b] for a, b in zip(cuts[:-1], cuts[1:])] for c in columns]
+
+
+def phrase_contexts(after: DataFrame, s: Settings) -> DataFrame:
+    """(context, total) of the phrases that are contexts, from all training positions (context, pair, own).
+
+    Each position is predicted from its context's other positions, so that one that occurs once never passes, and from
+    the bytes; the sum of the gains over the bytes' own prediction must reach s.gain nats. There is no other floor, so
+    that the contexts grow with the corpus.
+    """
+    pairs = after.groupBy("pair").agg(F.min("context").alias("context"), F.count("*").alias("n"), F.avg("own").alias("own"))
+    w = F.lit(s.phrase_weight)
+    others = F.when(F.col("n") == 1, F.log(w)).otherwise(F.log(F.col("n") - 1 + w * F.pow(F.lit(10.0), "own")) - F.col("own") * F.log(F.lit(10.0)))
+    sums = pairs.groupBy("context").agg(F.sum("n").alias("total"), F.sum(F.col("n") * others).alias("gain"))
+    return sums.filter((F.col("total") > 1) & (F.col("gain") - F.col("total") * F.log(F.col("total") - 1 + w) >= s.gain)).select("context", "total")
+
+
+def phrase_gains(after: DataFrame, s: Settings) -> DataFrame:
+    """(row, more): what the phrases' contexts add to the score of each row of (row, held_out, context, pair, own) that has one."""
+    contexts = stored(phrase_contexts(after.filter("NOT held_out").drop("row", "held_out"), s), "phrase-contexts")
+    total = contexts.agg(F.sum("total")).first()[0] or 0
+    found = stored(join_by_group(after, contexts, "context", "total", total).filter("total IS NOT NULL"), "phrases-in-context")
+    seen = found.filter("NOT held_out").groupBy("pair").agg(F.count("*").alias("n"))
+    found = join_by_group(found, seen, "pair", "n", total)
+    w = F.lit(s.phrase_weight)
+    p = F.when(F.col("n").isNull(), F.log10(w)).otherwise(F.log10(F.col("n") + w * F.pow(F.lit(10.0), "own")) - F.col("own"))
+    return found.groupBy("row").agg(F.sum(p - F.log10(F.col("total") + w)).alias("more"))
 
 
 def lm_score(df: DataFrame, *, held_out: str = "held_out", id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
@@ -261,7 +354,8 @@ def lm_score(df: DataFrame, *, held_out: str = "held_out", id_col: str = "doc_id
     tokens, kinds = total + ends, kinds + (ends > 0)
     letters = {r[0]: r[1] for r in counts.filter("byte >= 0").select("byte", "n").collect()}  # at most 256 rows
     code = alphabet(letters)
-    nodes = tree_nodes(gram_counts(train, code), settings).toArrow().to_pandas()  # bounded by settings.least
+    with passing(spark):
+        nodes = tree_nodes(gram_counts(train, code), settings).toArrow().to_pandas()  # bounded by settings.least
     whole = tokens + 0.5 * (kinds + 1)
     common = {bytes(r[0]): float(np.log10((r[1] + 0.5) / whole)) for r in words.filter(F.col("n") > tokens / settings.common).collect()}  # fewer than settings.common rows
     end = float(np.log10((ends + 0.5) / whole))
@@ -276,7 +370,8 @@ def lm_score(df: DataFrame, *, held_out: str = "held_out", id_col: str = "doc_id
             for a, b in chunked(texts):
                 rows = []
                 split = [words_of(t) for t in texts[a:b]]
-                for words, score in zip(split, tree.score(split)):
+                scores, after = tree.score_phrases(split, s.phrase)
+                for words, score in zip(split, scores):
                     found = [common.get(w) for w in words]
                     known = [x for x in found if x is not None]
                     rare = Counter([w for w, x in zip(words, found) if x is None]) if len(known) < len(words) else {}
@@ -284,20 +379,24 @@ def lm_score(df: DataFrame, *, held_out: str = "held_out", id_col: str = "doc_id
                 out = pd.DataFrame(rows, columns=["n_tokens", "n_known", "base", "score", "rare", "times"])
                 for k, c in enumerate(("row", "doc_id", "held_out")):
                     out.insert(k, c, batch[c].to_numpy()[a:b])
+                for c, values in zip(("context", "pair", "own"), after):
+                    out[c] = values
                 yield out
 
     kind = df.schema[id_col].dataType.simpleString()
-    scored = docs.withColumn("row", F.monotonically_increasing_id()).mapInPandas(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<binary>, times array<long>")
+    scored = docs.withColumn("row", F.monotonically_increasing_id()).mapInPandas(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<binary>, times array<long>, context array<long>, pair array<long>, own array<float>")
     scored = stored(scored, "scored")
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("word"), F.col("w.times").alias("times"))
     found = rare.join(words, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     sums = found.groupBy("row").agg(
         F.sum(F.col("times") * F.log10((F.col("n") + 0.5) / F.lit(float(whole)))).alias("rest"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rest_known")
     )
-    out = scored.drop("rare", "times").join(sums, "row", "left").fillna(0, ["rest_known"]).fillna(0.0, ["rest"])
+    after = scored.select("row", "held_out", F.explode(F.arrays_zip("context", "pair", "own")).alias("p")).select("row", "held_out", "p.*")
+    more = phrase_gains(after, settings)
+    out = scored.drop("rare", "times", "context", "pair", "own").join(sums, "row", "left").join(more, "row", "left").fillna(0, ["rest_known"]).fillna(0.0, ["rest", "more"])
     return out.select(
         F.col("doc_id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + F.col("rest_known")).alias("n_known"), F.lit(int(tokens)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.col("rest")).alias("base_score"), "score",
+        (F.col("base") + F.col("rest")).alias("base_score"), (F.col("score") + F.col("more")).alias("score"),
     )
 
 

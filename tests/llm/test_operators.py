@@ -262,6 +262,65 @@ def test_suffix_tree_distributions_sum_to_one_and_follow_the_longest_suffix(spar
     assert whole == pytest.approx(slow, rel=1e-5)
 
 
+def phrases_by_hand(text, most=12):
+    out, now = [], []
+    for w in text.lower().encode().split():
+        now.append(w)
+        if w[-1:] in b".!?,;:" or len(now) == most:
+            out.append(tuple(now))
+            now = []
+    return [*out, tuple(now)] if now or not out else out
+
+
+def test_phrases_against_brute_force():
+    rng = np.random.default_rng(3)
+    texts = ["", "a", "a. b", "one, two; three", " ".join(["w"] * 50)] + [" ".join(rng.choice(["x", "yy.", "zzz", "q,"], 40)) for _ in range(50)]
+    split = [suffix_tree_lm.words_of(t) for t in texts]
+    raw, first, last = suffix_tree_lm.streamed(split)
+    opening, close, owner, own = suffix_tree_lm.phrases(raw, first, last, 12)
+    got = [[] for _ in texts]
+    names = {}
+    for a, b, k, h in zip(opening, close, owner, own):
+        piece = bytes(raw[a : b + 1])
+        got[k].append(tuple(piece.split()))
+        assert names.setdefault(piece, h) == h  # the same wherever it stands
+    assert len(set(names.values())) == len(names)
+    assert got == [phrases_by_hand(t) for t in texts]
+
+
+def test_phrase_contexts_grow_with_the_corpus_and_score_as_by_hand(spark):
+    rng = np.random.default_rng(5)
+    sentence = lambda: " ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(6)) + "."
+    rows, told = [], {}
+    for k in range(40):
+        text = " ".join(sentence() for _ in range(4))
+        rows += [(3 * k, text, False), (3 * k + 1, text, False), (3 * k + 2, " ".join(sentence() for _ in range(4)), False)]
+    rows.append((1000, rows[0][1], True))
+    sizes = []
+    for share in (60, 121):
+        df = spark.createDataFrame(rows[:share], "doc_id long, text string, held_out boolean")
+        s = suffix_tree_lm.Settings(least=0.01)
+        got = {r.doc_id: r.score for r in suffix_tree_lm.lm_score(df, settings=s).collect()}
+        # without phrase contexts: no phrase is followed by another
+        alone = {r.doc_id: r.score for r in suffix_tree_lm.lm_score(df, settings=suffix_tree_lm.Settings(least=0.01, phrase=10**9, phrase_weight=1e12)).collect()}
+        raised = {i for i in got if got[i] > alone[i] + 1}
+        assert raised == {i for i, *_ in rows[:share] if i % 3 < 2 and i < 1000} | ({1000} if share == 121 else set())
+        sizes.append(len(raised))
+        told = got
+    assert sizes[1] >= 2 * sizes[0]
+    assert told[1000] == pytest.approx(told[0], rel=1e-6)  # three positions of two copies: log10(2 / 3) each, more or less
+
+
+def test_phrase_gains_by_hand(spark):
+    w, base = 1.0, -20.0
+    after = [(1, False, 7, 71, base), (2, False, 7, 71, base), (3, False, 7, 72, base), (4, True, 7, 71, base), (5, True, 7, 99, base), (6, False, 8, 81, base), (7, True, 8, 81, base)]
+    df = spark.createDataFrame(after, "row long, held_out boolean, context long, pair long, own float")
+    got = {r.row: r.more for r in suffix_tree_lm.phrase_gains(df, suffix_tree_lm.Settings()).collect()}
+    p = lambda n: math.log10((n + w * 10**base) / (3 + w)) - base
+    assert got == pytest.approx({1: p(2), 2: p(2), 3: p(1), 4: p(2), 5: p(0)})  # context 8 occurs once in training: none
+    assert suffix_tree_lm.phrase_gains(df.filter("row < 0"), suffix_tree_lm.Settings()).count() == 0
+
+
 def test_packing_fits_and_keeps_conflicts_apart(spark):
     got = packing.packed_documents(frame(spark), capacity=64, per_source=2, cell=20).collect()
     texts, sources = {i: t or "" for i, t, *_ in DATA}, {i: s for i, _, _, s in DATA}
