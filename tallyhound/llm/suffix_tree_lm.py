@@ -33,7 +33,7 @@ CODES = 1 << BITS
 #: Positions scored one after the other in one row of the arrays, and bytes of text taken at a time.
 SPAN, CHUNK = 256, 1_000_000
 #: Last byte of a word that ends a phrase.
-STOPS = np.isin(np.arange(256), list(b".!?,;:"))
+STOPS = np.isin(np.arange(256), list(b".!?"))
 #: Hash of a phrase: a polynomial in MULTIPLIER over a random number for each byte, modulo 2^64.
 MULTIPLIER = 0x9E3779B97F4A7C15
 VALUES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -50,7 +50,7 @@ class Settings:
     gain: float = 10.0
     weight: float = 16.0
     common: int = 50_000
-    phrase: int = 12
+    phrase: int = 16
     phrase_weight: float = 1.0
 
 
