@@ -49,7 +49,7 @@ class Settings:
     least: float = 4e-6
     gain: float = 10.0
     weight: float = 16.0
-    common: int = 50_000
+    common: int = 200_000
     phrase: int = 16
     phrase_weight: float = 1.0
 
