@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhound.sources.tables import shared_folder, stored
 
-__all__ = ["SPACE", "crc32_mod", "documents", "join_by_group", "named", "shared_folder", "stored", "text_or_empty"]
+__all__ = ["SPACE", "crc32_mod", "documents", "join_by_group", "named", "row_named", "shared_folder", "stored", "text_or_empty"]
 
 #: ASCII white space, [\x20\x09-\x0D], as it stands in every contract here.
 SPACE = " \t\n\x0b\x0c\r"
@@ -22,6 +23,19 @@ def named(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def row_named(df: DataFrame, *cols: Column) -> DataFrame:
+    """`cols` of df (all, if none are given) and _row, a name of its own for each row, as ids may be null or shared.
+
+    The name is the row's file, by 64 bits of its whole path, and its place there, so that it is the same in every job
+    that reads df. Rows that come from no file, or from several sources, are written first.
+    """
+    cols = cols or ("*",)
+    try:
+        return df.select(*cols, F.concat_ws(":", F.hex(F.xxhash64("_metadata.file_path")), F.col("_metadata.row_index").cast("string")).alias("_row"))
+    except AnalysisException:
+        return stored(df.select(*cols, F.monotonically_increasing_id().cast("string").alias("_row")), "named-rows")
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(named(col), F.lit(""))
 
