@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tallyhound.llm.bpe import op3_speculative_bpe
 from tallyhound.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from tallyhound.llm.language_id import op10_ftrl_language
+from tallyhound.llm.lexical_search import OP13_SQL, op13_impact_search
 from tallyhound.llm.line_dedup import OP11_SQL, op11_line_runs
 from tallyhound.llm.media_sniff import op8_signature_sniffing
 from tallyhound.llm.near_dedup import op9_lsh_forest
@@ -22,7 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_surrogates, op2_flow_reshard, op3_speculative_bpe, op4_suffix_tree, op5_conflict_best_fit, op6_exact_dedup, op7_secret_ownership, op8_signature_sniffing,
-        op9_lsh_forest, op10_ftrl_language, op11_line_runs,
+        op9_lsh_forest, op10_ftrl_language, op11_line_runs, op13_impact_search,
     )
 }
-ORACLE: dict[str, str] = {"op6_exact_dedup": OP6_SQL, "op7_secret_ownership": OP7_SQL, "op11_line_runs": OP11_SQL}
+ORACLE: dict[str, str] = {"op6_exact_dedup": OP6_SQL, "op7_secret_ownership": OP7_SQL, "op11_line_runs": OP11_SQL, "op13_impact_search": OP13_SQL}
