@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyhound.functions.text import declared, shell_command
+from tallyhound.functions.text import declared, sanitised, shell_command
 from tallyhound.operators.joins import as_of, closure
 from tallyhound.operators.sessions import sessionised
 from tallyhound.sources.tables import stored
@@ -25,6 +25,8 @@ PLUMBING = [
     r"^(?:/usr)?/bin/systemctl --user (?:set-environment|import-environment|unset-environment)", r"^(?:/usr/lib/update-notifier/update-motd-|/usr/bin/landscape-sysinfo)", r"^logger -p authpriv\.info -t ai-agent-declare ", r"^tr -cd A-Za-z0-9\._@:\+-$", r"^xauth -q -$",
 ]
 WINDOW = 15 * 60 * 1_000_000
+#: Fixed value: bytes of a client's banner that are kept.
+BANNER_CAP = 256
 KEY = ["host", "user", "fp", "src_ip"]
 
 
@@ -62,13 +64,47 @@ def owners_of_uids(e: DataFrame) -> DataFrame:
     return e.filter(said).select("host", value("uid").alias("uid"), "us", "seq", F.col("user").alias("uid_user"))
 
 
+def latest(what: Column, when: Column) -> Column:
+    return F.max_by(F.when(when, what), F.when(when, F.struct("us", "seq")))
+
+
+def closes() -> Column:
+    return (F.col("kind") == "ssh.disconnect") & (value("scope") != "channel")
+
+
+def command_channel() -> Column:
+    return (F.col("kind") == "ssh.session_start") & value("stype").isin("command", "forced-command")
+
+
+def shell_channel() -> Column:
+    return (F.col("kind") == "ssh.session_start") & (value("stype") == "shell")
+
+
+def banner_text() -> Column:
+    return sanitised(value("banner"), BANNER_CAP)
+
+
+def said_here() -> Column:
+    """What an event declares for its connection, null where it declares nothing that counts."""
+    name = declared(value("value"))
+    return F.when((F.col("kind") == "ssh.env") & (value("name") == "AI_AGENT") & ~name.isin("", "invalid-declaration"), name)
+
+
+def connection_state() -> list[Column]:
+    """What a connection's own events tell of it, as aggregates."""
+    return [
+        F.min("opened").alias("opened"), F.min(F.when(closes(), F.col("us"))).alias("closed"), F.count_if(command_channel()).alias("exec_count"), F.count_if(shell_channel()).alias("shell_count"),
+        F.count_if(command_channel() & (value("tty") != "")).alias("pty_exec_count"), F.min(F.when(shell_channel(), F.col("us"))).alias("pty_opened"), latest(banner_text(), F.col("kind") == "ssh.banner").alias("banner"),
+        latest(said_here(), said_here().isNotNull()).alias("declared"),
+    ]
+
+
 def connections(e: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(ssh events with the connection they belong to, connections)."""
     hooked = (F.col("kind") == "ssh.env") & (value("via") == "sshrc")  # anyone on the host can write such a line
     ssh = e.filter(F.col("kind").startswith("ssh.") & (F.col("kind") != "ssh.auth_fail") & ~hooked)
     pair = F.when((F.col("src_ip") != "") & (F.col("src_port") > 0), F.concat_ws("|", "host", "src_ip", F.col("src_port").cast("string")))
-    closes = (F.col("kind") == "ssh.disconnect") & (value("scope") != "channel")
-    ssh = ssh.withColumn("_pair", pair).withColumn("_closes", closes.cast("int"))
+    ssh = ssh.withColumn("_pair", pair).withColumn("_closes", closes().cast("int"))
     notes = ssh.filter((value("note") == "user_child") & (number("child_pid") > 0)).select("host", number("child_pid").alias("pid"), "us", "seq", F.col("pid").alias("_parent"))
     ssh = looked_up(ssh, notes, key=["host", "pid"], take="_parent", where=F.col("pid") > 0).withColumn("_pid", F.coalesce("_parent", "pid")).drop("_parent")
 
@@ -83,36 +119,29 @@ def connections(e: DataFrame) -> tuple[DataFrame, DataFrame]:
     before = Window.partitionBy("_pair").orderBy("us", "seq").rowsBetween(Window.unboundedPreceding, -1)
     ssh = ssh.withColumn("_use", F.coalesce(F.sum("_closes").over(before), F.lit(0))).withColumn("conn", F.concat_ws("#", "_pair", F.col("_use").cast("string")))
 
-    at, kind, stype = F.struct("us", "seq"), F.col("kind"), value("stype")
-    command, logged_in = (kind == "ssh.session_start") & stype.isin("command", "forced-command"), kind == "ssh.auth_ok"
-    latest = lambda what, when: F.max_by(F.when(when, what), F.when(when, at))
-    said = declared(value("value"))
-    valid = (kind == "ssh.env") & (value("name") == "AI_AGENT") & ~said.isin("", "invalid-declaration")
+    logged_in, said = F.col("kind") == "ssh.auth_ok", declared(value("value"))
     per = ssh.groupBy("conn", "_pair", "host").agg(
         F.coalesce(latest(F.col("user"), logged_in & (F.col("user") != "")), latest(F.col("user"), F.col("user") != ""), F.lit("")).alias("user"), F.coalesce(latest(value("fp"), logged_in & (value("fp") != "")), F.lit("-")).alias("fp"),
         F.coalesce(latest(F.col("src_ip"), F.col("src_ip") != ""), F.lit("")).alias("src_ip"), F.coalesce(F.max(F.when(logged_in, F.col("_pid"))), F.max("_pid")).alias("pid"), F.max(F.when(value("note") == "user_child", number("child_pid"))).alias("child"),
-        F.min("us").alias("opened"), F.min(F.when(F.col("_closes") == 1, F.col("us"))).alias("closed"), F.count_if(command).alias("exec_count"), F.count_if((kind == "ssh.session_start") & (stype == "shell")).alias("shell_count"),
-        F.count_if(command & (value("tty") != "")).alias("pty_exec_count"), F.min(F.when((kind == "ssh.session_start") & (stype == "shell"), F.col("us"))).alias("pty_opened"), latest(value("banner"), kind == "ssh.banner").alias("banner"),
-        F.max(F.when(valid, F.struct("us", "seq", said.alias("value")))).alias("_said"), F.count_if(F.col("_closes") == 0).alias("_open"),
+        F.min("us").alias("opened"), F.min(F.when(F.col("_closes") == 1, F.col("us"))).alias("closed"), F.count_if(F.col("_closes") == 0).alias("_open"),
     ).filter("user <> '' AND _open > 0").drop("_open")
 
     told = e.filter(hooked & (value("name") == "AI_AGENT")).withColumn("_pair", pair).withColumn("uid", value("uid"))
     told = looked_up(told, owners_of_uids(e), key=["host", "uid"], take="uid_user", where=F.col("uid") != "")
     told = told.filter("_pair IS NOT NULL AND (uid_user IS NULL OR uid_user = user)").withColumn("value", said).filter(~F.col("value").isin("", "invalid-declaration"))
     told = told.join(per.select("conn", "_pair", "user", "opened", "closed"), ["_pair", "user"]).filter("us >= opened AND (closed IS NULL OR us < closed)")
-    by_hook = told.groupBy("conn").agg(F.max(F.struct("us", "seq", "value")).alias("_told"))
-    per = per.join(by_hook, "conn", "left").withColumn("declared", F.greatest("_said", "_told")["value"]).drop("_said", "_told", "_pair")
+    per = per.drop("_pair")
     keep = ["seq", "us", "kind", "host", "user", "src_ip", "pid", "ses", "fields", "conn"]
     return ssh.select(*keep).unionByName(told.select(*keep)), per
 
 
 def placed(events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(events with host, user, fp, src_ip of their session, connections, failed log-ins). Events of no known user go."""
+    """(events with host, user, fp, src_ip of their session and their connection, connections, failed log-ins). Events of no known user go."""
     e = prepared(events)
     ssh, conns = connections(e)
     conns = stored(conns, "connections")
     track = F.struct(*KEY)
-    mine = ssh.join(conns.select("conn", track.alias("key")), "conn").select("seq", "us", "kind", "fields", "pid", "ses", "key", F.lit(True).alias("attributed"))
+    mine = ssh.join(conns.select("conn", "opened", track.alias("key")), "conn").select("seq", "us", "kind", "fields", "pid", "ses", "key", F.lit(True).alias("attributed"), "conn", "opened")
     opened = conns.select("host", "user", "src_ip", F.explode(F.array_distinct(F.array("pid", F.coalesce("child", "pid")))).alias("pid"), F.col("opened").alias("us"), F.lit(-1).cast("long").alias("seq"), F.struct(track.alias("key"), "closed").alias("of"))
     still = F.col("of").isNotNull() & (F.col("of.closed").isNull() | (F.col("of.closed") >= F.col("us")))
 
@@ -142,7 +171,7 @@ def placed(events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         fresh = met.filter("by_process IS NOT NULL").withColumn("key", F.col("by_process")).withColumn("attributed", F.lit(True)).select(*local.columns)
         waiting, done = met.filter("by_process IS NULL").select(*local.columns), done.unionByName(fresh)
     placed_first = ["seq", "us", "kind", "fields", "pid", "ses", "key", "attributed"]
-    known = mine.unionByName(login.select(*placed_first)).unionByName(done.select(*placed_first))
+    known = mine.unionByName(login.select(*placed_first), allowMissingColumns=True).unionByName(done.select(*placed_first), allowMissingColumns=True)
 
     latest = known.select("key.host", "key.user", "us", "seq", F.col("key").alias("last_key"))
     rest = rest.unionByName(waiting).filter("user <> ''").drop("key", "attributed")
@@ -151,7 +180,7 @@ def placed(events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     alone = F.struct("host", "user", F.lit("-").alias("fp"), F.lit("local").alias("src_ip"))
     rest = rest.filter("last_key IS NOT NULL OR kind IN ('proc.seen', 'net.conn')").withColumn("key", F.coalesce("last_key", alone)).withColumn("attributed", F.col("last_key").isNull())
     fails = e.filter((F.col("kind") == "ssh.auth_fail") & (F.col("user") != "") & (value("invalid_user") != "true")).select("host", "user", "src_ip", "us", "seq")
-    return known.unionByName(rest.select(*placed_first)).select(*[c for c in placed_first if c != "key"], "key.*"), conns, fails
+    return known.unionByName(rest.select(*placed_first), allowMissingColumns=True).select(*[c for c in placed_first if c != "key"], "conn", "opened", "key.*"), conns, fails
 
 
 def plumbing(execs: DataFrame) -> DataFrame:
@@ -177,41 +206,70 @@ def mode(processes: Column, has_connections: Column, has_commands: Column) -> Co
     return F.when(local, "local_agent").when(has_connections | has_commands, "remote_agent").otherwise("unknown")
 
 
-def tracks(events: DataFrame, *, gap: int | None = WINDOW) -> DataFrame:
-    """One row per session: host, user, fp, src_ip, session_start, first_us, last_us, connections, banners, commands,
-    processes, net, mode, auth_fails.
+SESSION = [*KEY, "session_start"]
 
-    gap None: sessions never end, as when a recording is scored whole.
+
+def contents(events: DataFrame, *, gap: int | None = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """(what each session consists of, failed log-ins).
+
+    The first has a row for each placed event: host, user, fp, src_ip, session_start, us, seq, kind, pid, fields,
+    attributed, conn and opened (of the connection, for its own events), and cmd, origin and argv0 where it is a command.
+    Plumbing is there with the kind `plumbing`: it prolongs a session and is otherwise no one's. gap None: sessions never
+    end, as when a recording is scored whole.
     """
-    every, conns, fails = placed(events)
+    every, _, fails = placed(events)
     every = stored(every, "placed-events")
     every = stored(sessionised(every, key=KEY, gap=gap) if gap else every.withColumn("session_start", F.min("us").over(Window.partitionBy(*KEY))), "session-events")
-    session = [*KEY, "session_start"]
     commands = every.filter("kind = 'audit.execve'").withColumn("ppid", number("ppid"))
-    hidden = stored(plumbing(commands), "plumbing")
+    hidden = stored(plumbing(commands), "plumbing").withColumn("hidden", F.lit(True))
     # what the server forked to run a client's command: "sh -c" there is transport, elsewhere a tool's wrapper
     hooks = commands.filter(value("cmd").rlike(PLUMBING[0]) | value("cmd").rlike(PLUMBING[1])).filter("ppid > 1").select("host", "ppid", "us")
-    started = every.filter((F.col("kind") == "ssh.session_start") & value("stype").isin("command", "forced-command"))
-    forks = hooks.unionByName(started.filter("pid > 1").select("host", F.col("pid").alias("ppid"), "us")).select("*", F.lit(-1).cast("long").alias("seq"), F.lit(True).alias("forked"))
-    execs = looked_up(commands.join(hidden, "seq", "left_anti"), forks, key=["host", "ppid"], take="forked", where=F.col("ppid") > 1)
-    said = F.when(F.coalesce("forked", F.lit(False)), shell_command(value("cmd"))).otherwise(value("cmd"))
-    execs = execs.select(*session, "us", said.alias("cmd"), F.lit("auditd").alias("origin"), value("argv0").alias("argv0"))
-    started = started.select(*session, "us", value("cmd").alias("cmd"), F.lit("sshlog").alias("origin"), F.lit("").alias("argv0"))
-    ran = execs.unionByName(started).groupBy(*session).agg(F.array_sort(F.collect_list(F.struct("us", "cmd", "origin", "argv0"))).alias("commands"))
-    seen = every.filter(F.col("kind").isin("proc.seen", "proc.gone")).groupBy(*session, "pid").agg(F.max_by(F.struct("kind", "fields", "attributed"), F.struct("us", "seq")).alias("p"), F.min("us").alias("us")).filter("p.kind = 'proc.seen'")
-    procs = seen.groupBy(*session).agg(F.sort_array(F.collect_list(F.struct("us", "pid", F.map_entries("p.fields").alias("f"), F.col("p.attributed").alias("attributed")))).alias("processes"))
+    command = command_channel()
+    forks = hooks.unionByName(every.filter(command & (F.col("pid") > 1)).select("host", F.col("pid").alias("ppid"), "us")).select("*", F.lit(-1).cast("long").alias("seq"), F.lit(True).alias("forked"))
+    execs = looked_up(commands.join(hidden, "seq", "left"), forks, key=["host", "ppid"], take="forked", where=F.col("ppid") > 1)
+    execs = execs.withColumn("kind", F.when(F.col("hidden"), "plumbing").otherwise(F.col("kind"))).withColumn("ran", F.col("kind") != "plumbing")
+    execs = execs.withColumn("said", F.when(F.coalesce("forked", F.lit(False)), shell_command(value("cmd"))).otherwise(value("cmd"))).withColumn("origin", F.lit("auditd"))
+    rest = every.filter("kind <> 'audit.execve'").withColumn("ran", command).withColumn("said", value("cmd")).withColumn("origin", F.lit("sshlog"))
+    keep = [*SESSION, "us", "seq", "kind", "pid", "fields", "attributed", "conn", "opened"]
+    shown = [F.when(F.col("ran"), F.col("said")).alias("cmd"), F.when(F.col("ran"), F.col("origin")).alias("origin"), F.when(F.col("ran"), F.when(F.col("origin") == "auditd", value("argv0")).otherwise("")).alias("argv0")]
+    return execs.select(*keep, *shown).unionByName(rest.select(*keep, *shown)), fails
+
+
+def grouped(rows: DataFrame, *, key: list[str] = SESSION) -> DataFrame:
+    """One row per key of contents(): first_us, last_us, events, connections, commands, processes, net, mode, banners."""
+    ran = rows.filter("origin IS NOT NULL").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("us", "cmd", "origin", "argv0"))).alias("commands"))
+    seen = rows.filter(F.col("kind").isin("proc.seen", "proc.gone")).groupBy(*key, "pid").agg(F.max_by(F.struct("kind", "fields", "attributed"), F.struct("us", "seq")).alias("p"), F.min("us").alias("us")).filter("p.kind = 'proc.seen'")
+    procs = seen.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("us", "pid", F.map_entries("p.fields").alias("f"), F.col("p.attributed").alias("attributed")))).alias("processes"))
     procs = procs.withColumn("processes", F.transform("processes", lambda p: F.struct(p["us"].alias("us"), p["pid"].alias("pid"), F.map_from_entries(p["f"]).alias("fields"), p["attributed"].alias("attributed"))))
-    net = every.filter("kind = 'net.conn'").groupBy(*session).agg(F.sort_array(F.collect_list(F.struct("us", "seq", "pid", F.map_entries("fields").alias("f"), "attributed"))).alias("net"))
+    net = rows.filter("kind = 'net.conn'").groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("us", "seq", "pid", F.map_entries("fields").alias("f"), "attributed"))).alias("net"))
     net = net.withColumn("net", F.transform("net", lambda n: F.struct(n["us"].alias("us"), n["pid"].alias("pid"), F.map_from_entries(n["f"]).alias("fields"), n["attributed"].alias("attributed"))))
-    base = stored(every.groupBy(*session).agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.count("*").alias("events")), "sessions")
-    own = conns.join(base.select(*session, "first_us", "last_us"), KEY).filter("opened BETWEEN first_us AND last_us")
-    own = own.groupBy(*session).agg(F.array_sort(F.collect_list(F.struct("opened", "closed", "exec_count", "shell_count", "pty_exec_count", "pty_opened", "banner", "declared"))).alias("connections"))
-    # a failed log-in counts for the latest session of its user and address, and neither opens nor prolongs one
-    latest = base.select("host", "user", "src_ip", F.col("first_us").alias("us"), F.lit(-1).cast("long").alias("seq"), F.struct("fp", "session_start").alias("of"))
-    failed = as_of(fails, latest, key=["host", "user", "src_ip"], take="of").filter("of IS NOT NULL").groupBy("host", "user", F.col("of.fp").alias("fp"), "src_ip", F.col("of.session_start").alias("session_start")).agg(F.count("*").alias("auth_fails"))
+    base = rows.groupBy(*key).agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.count("*").alias("events"))
+    # a connection is a session's if it was opened within it
+    own = rows.filter("conn IS NOT NULL AND opened >= session_start").groupBy(*key, "conn").agg(*connection_state())
+    own = own.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("opened", "closed", "exec_count", "shell_count", "pty_exec_count", "pty_opened", "banner", "declared"))).alias("connections"))
     out = base
-    for part in (own, ran, procs, net, failed):
-        out = out.join(part, session, "left")
+    for part in (own, ran, procs, net):
+        out = out.join(part, key, "left")
     some = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
-    out = out.withColumn("auth_fails", F.coalesce("auth_fails", F.lit(0))).withColumn("mode", mode(F.col("processes"), some("connections"), some("commands")))
+    out = out.withColumn("mode", mode(F.col("processes"), some("connections"), some("commands")))
     return out.withColumn("banners", F.array_distinct(F.filter(F.transform("connections", lambda c: c["banner"]), lambda b: b.isNotNull())))
+
+
+def tracks(events: DataFrame, *, gap: int | None = WINDOW) -> DataFrame:
+    """One row per session: host, user, fp, src_ip, session_start, first_us, last_us, connections, banners, commands,
+    processes, net, mode, auth_fails.
+
+    gap None: sessions never end, as when a recording is scored whole.
+    """
+    rows, fails = contents(events, gap=gap)
+    out = grouped(stored(rows, "session-contents"))
+    # a failed log-in counts for the latest session of its user and address, and neither opens nor prolongs one
+    latest = out.select("host", "user", "src_ip", F.col("first_us").alias("us"), F.lit(-1).cast("long").alias("seq"), F.struct("fp", "session_start").alias("of"))
+    failed = as_of(fails, latest, key=["host", "user", "src_ip"], take="of").filter("of IS NOT NULL").groupBy("host", "user", F.col("of.fp").alias("fp"), "src_ip", F.col("of.session_start").alias("session_start")).agg(F.count("*").alias("auth_fails"))
+    return out.join(failed, SESSION, "left").withColumn("auth_fails", F.coalesce("auth_fails", F.lit(0)))
+
+
+def tracks_at(rows: DataFrame, moments: DataFrame) -> DataFrame:
+    """tracks() as they were right after each of some moments (host, user, fp, src_ip, session_start, at, at_seq) of rows, contents()."""
+    before = rows.join(moments.select(*SESSION, "at", "at_seq"), SESSION).filter("us < at OR (us = at AND seq <= at_seq)")
+    return grouped(before, key=[*SESSION, "at", "at_seq"]).withColumn("auth_fails", F.lit(0).cast("long"))

@@ -170,7 +170,7 @@ def _any(c: Column, patterns: list[str]) -> Column:
     return _either([F.rlike(c, F.lit(p)) for p in patterns])
 
 
-def clues(tracks: DataFrame, pack: Pack) -> DataFrame:
+def clues(tracks: DataFrame, pack: Pack, key: list[str] = TRACK) -> DataFrame:
     """(track key, clue, category, weight, evidence, suppressed, declared, agent, profile), one row for each clue of each track."""
     t = tracks.withColumns({c: F.coalesce(c, F.array().cast(tracks.schema[c].dataType)) for c in ("connections", "commands", "processes", "net", "banners")})
     t = identified_rows(t, pack).withColumn("profile", profile_of(pack))
@@ -224,7 +224,7 @@ def clues(tracks: DataFrame, pack: Pack) -> DataFrame:
     ]
     t = t.withColumn("agent", identified(F.col("declared"), pack))
     t = t.withColumn("_c", F.array(*[F.struct(F.lit(i).alias("clue"), F.lit(c).alias("category"), w.cast("int").alias("weight"), F.when((F.col("declared") != "") if c == "identity" else (w != 0), said).alias("evidence")) for i, c, w, said in rows]))
-    keep = [*TRACK, "declared", "agent", "profile"]
+    keep = [*key, "declared", "agent", "profile"]
     out = t.select(*keep, F.explode("_c").alias("c")).select(*keep, "c.*")
     out = out.filter((F.col("weight") != 0) | (F.col("clue") == "env.ai_agent"))  # the last keeps every track
     suppressed = F.lit(False)
@@ -234,25 +234,25 @@ def clues(tracks: DataFrame, pack: Pack) -> DataFrame:
     return out.withColumn("suppressed", suppressed & ~F.col("category").isin(score.PROTECTED))
 
 
-def verdicts(tracks: DataFrame, pack: Pack, thresholds: tuple[int, int, int] = (score.INFO, score.ALERT, score.HIGH)) -> DataFrame:
-    """One row per track: score, level, class, agent, profile, reasons, evidence (by clue), details, mode, auth_fails and connections.
+def verdicts(tracks: DataFrame, pack: Pack, thresholds: tuple[int, int, int] = (score.INFO, score.ALERT, score.HIGH), key: list[str] = TRACK) -> DataFrame:
+    """One row per track (per key): score, level, class, agent, profile, reasons, evidence (by clue), details, mode, auth_fails and connections.
 
     A profile caps the score unless a process or flag speaks.
     """
     tracks = stored(tracks, "tracks")
-    c = stored(clues(tracks, pack), "clues")
-    v = score.verdicts(c, key=TRACK, thresholds=thresholds)
-    about = c.groupBy(*TRACK).agg(
+    c = stored(clues(tracks, pack, key), "clues")
+    v = score.verdicts(c, key=key, thresholds=thresholds)
+    about = c.groupBy(*key).agg(
         F.max("agent").alias("agent"), F.max("profile").alias("profile"), F.bool_or(F.col("category").isin("process", "flags")).alias("hard"),
         F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("evidence").isNotNull() & ~F.col("suppressed"), F.struct("clue", "evidence"))))).alias("evidence"),
         F.array_sort(F.collect_list(F.when(F.col("suppressed"), F.struct("profile", "clue", "weight")))).alias("suppressed"),
         F.sort_array(F.collect_list(F.when(~F.col("suppressed"), F.struct("clue", "category", "weight", "evidence")))).alias("details"),
     )
     caps = first_match([(str(p.max_score), F.col("profile") == p.id) for p in pack.profiles if p.max_score is not None]).try_cast("int")
-    out = v.join(about, TRACK).withColumn("score", F.when(caps.isNotNull() & ~F.col("hard"), F.least("score", caps)).otherwise(F.col("score")))
+    out = v.join(about, key).withColumn("score", F.when(caps.isNotNull() & ~F.col("hard"), F.least("score", caps)).otherwise(F.col("score")))
     first = score.downgraded(score.rank(F.col("score"), *thresholds), F.col("categories"))
     out = out.withColumn("rank", F.when(F.col("class") == "declared_agent", F.greatest(first, F.lit(1))).otherwise(first))
     out = out.withColumn("class", F.when(F.col("class") == "declared_agent", F.col("class")).when(F.col("rank") >= 2, "suspected_agent").otherwise("human"))
     shown = F.filter("reasons", lambda r: (r != "env.ai_agent") | (F.col("class") == "declared_agent"))
-    told = tracks.select(*TRACK, "mode", "auth_fails", F.coalesce(F.size("connections"), F.lit(0)).alias("connections"), F.coalesce(F.size("commands"), F.lit(0)).alias("execs"), "first_us", "last_us")
-    return out.withColumn("level", score.level(F.col("rank"))).withColumn("reasons", shown).drop("hard").join(told, TRACK)
+    told = tracks.select(*key, "mode", "auth_fails", F.coalesce(F.size("connections"), F.lit(0)).alias("connections"), F.coalesce(F.size("commands"), F.lit(0)).alias("execs"), "first_us", "last_us")
+    return out.withColumn("level", score.level(F.col("rank"))).withColumn("reasons", shown).drop("hard").join(told, key)
