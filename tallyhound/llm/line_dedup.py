@@ -163,7 +163,8 @@ def drop_common_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # Spark sends the frequent keys to every task where their table is small; otherwise both sides are shuffled and a common line's part is split
     every = hashed.select("_row", F.posexplode("keys").alias("pos", "key")).filter("key IS NOT NULL").select("_row", "pos", "key.h", "key.g")
     gone = every.join(frequent, ["h", "g"], "left_semi").groupBy("_row").agg(F.collect_list("pos").alias("gone"))
-    out = rows.join(stored(gone, "dropped-lines"), "_row", "left").withColumn("lines", lines_of(F.col("text")))
+    # by a shuffle of the texts whatever the size, so that the job is the same on small and large data
+    out = rows.join(stored(gone, "dropped-lines").hint("shuffle_hash"), "_row", "left").withColumn("lines", lines_of(F.col("text")))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone")), lambda i: F.get("lines", i))
     return out.select(
         F.col("id").alias(id_col),
