@@ -411,10 +411,10 @@ def near_dedup(df: DataFrame, *, words: int = 5, least: int = 80, id_col: str =
     pairs = candidates(firsts, least / 100 - SLACK, total)
     families = stored(components(pairs).withColumnRenamed("label", "family"), "families")
 
-    # their texts, once for each class: ids are spread evenly however large a class is. Spark broadcasts what is asked for
-    # where its size on disk is small, and shuffles the texts otherwise
+    # their texts, once for each class: ids are spread evenly however large a class is. By a shuffle of the texts whatever
+    # the size, so that the job is the same on small and large data
     wanted = classes.join(families.select("node"), "node", "left_semi").select("node", F.col("key.h1").alias("h1"), F.col("first").alias("doc_id"))
-    texts = docs.join(stored(wanted, "wanted-texts"), "doc_id").select("node", "h1", "text").join(firsts.select("node", "sign"), "node")
+    texts = docs.join(stored(wanted, "wanted-texts").hint("shuffle_hash"), "doc_id").select("node", "h1", "text").join(firsts.select("node", "sign"), "node")
     counts = stored(families.groupBy("family").agg(F.count("*").alias("members")), "family-sizes")
     placed = stored(join_by_group(families, counts, "family", "members", total).join(texts, "node"), "family-texts")
 
