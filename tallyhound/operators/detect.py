@@ -170,8 +170,12 @@ def _any(c: Column, patterns: list[str]) -> Column:
     return _either([F.rlike(c, F.lit(p)) for p in patterns])
 
 
-def clues(tracks: DataFrame, pack: Pack, key: list[str] = TRACK) -> DataFrame:
-    """(track key, clue, category, weight, evidence, suppressed, declared, agent, profile), one row for each clue of each track."""
+def clues(tracks: DataFrame, pack: Pack, key: list[str] = TRACK, command_text: str = "argv0") -> DataFrame:
+    """(track key, clue, category, weight, evidence, suppressed, declared, agent, profile), one row for each clue of each track.
+
+    command_text says what evidence may show of a command: the part that matched, at most a fragment (argv0), all of it
+    (full), or nothing (none).
+    """
     t = tracks.withColumns({c: F.coalesce(c, F.array().cast(tracks.schema[c].dataType)) for c in ("connections", "commands", "processes", "net", "banners")})
     t = identified_rows(t, pack).withColumn("profile", profile_of(pack))
     env = F.filter(F.transform(F.filter("processes", lambda p: p["attributed"]), lambda p: F.try_element_at(p["fields"], F.lit("env.AI_AGENT"))), lambda v: v.isNotNull() & (v != ""))
@@ -204,8 +208,9 @@ def clues(tracks: DataFrame, pack: Pack, key: list[str] = TRACK) -> DataFrame:
     for s in pack.styles:
         regex = "(?i)" + s.regex
         hit = F.filter("commands", lambda c: F.rlike(c["cmd"], F.lit(regex)))  # noqa: B023
-        first = F.get(F.transform(hit, lambda c: text.fragment(text.cleaned(c["cmd"]), text.cleaned(F.regexp_extract(c["cmd"], regex, 0)))), F.lit(0))  # noqa: B023
-        rows.append((style_id(s), "style", F.when(F.size(hit) >= s.min_commands, s.weight).otherwise(0), F.format_string("%s (%dx)", first, F.size(hit))))
+        part = lambda c: text.fragment(text.cleaned(c["cmd"]), text.cleaned(F.regexp_extract(c["cmd"], regex, 0)))  # noqa: B023, E731
+        first = F.get(F.transform(hit, part if command_text == "argv0" else lambda c: text.redacted(c["cmd"], command_text)), F.lit(0))
+        rows.append((style_id(s), "style", F.when(F.size(hit) >= s.min_commands, s.weight).otherwise(0), F.trim(F.format_string("%s (%dx)", first, F.size(hit)))))
     listed = lambda array, keep, f: text.joined_evidence(F.array_distinct(F.transform(F.filter(array, keep), f)))
     on = lambda array, keep, w: F.when(_exists(array, keep), w).otherwise(0)
     is_named = lambda p: (p["guess"] != "") | (p["named"] != "")
@@ -234,13 +239,13 @@ def clues(tracks: DataFrame, pack: Pack, key: list[str] = TRACK) -> DataFrame:
     return out.withColumn("suppressed", suppressed & ~F.col("category").isin(score.PROTECTED))
 
 
-def verdicts(tracks: DataFrame, pack: Pack, thresholds: tuple[int, int, int] = (score.INFO, score.ALERT, score.HIGH), key: list[str] = TRACK) -> DataFrame:
+def verdicts(tracks: DataFrame, pack: Pack, thresholds: tuple[int, int, int] = (score.INFO, score.ALERT, score.HIGH), key: list[str] = TRACK, command_text: str = "argv0") -> DataFrame:
     """One row per track (per key): score, level, class, agent, profile, reasons, evidence (by clue), details, mode, auth_fails and connections.
 
     A profile caps the score unless a process or flag speaks.
     """
     tracks = stored(tracks, "tracks")
-    c = stored(clues(tracks, pack, key), "clues")
+    c = stored(clues(tracks, pack, key, command_text), "clues")
     v = score.verdicts(c, key=key, thresholds=thresholds)
     about = c.groupBy(*key).agg(
         F.max("agent").alias("agent"), F.max("profile").alias("profile"), F.bool_or(F.col("category").isin("process", "flags")).alias("hard"),

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tallyhound.config import Config, duration
 from tallyhound.functions.cron import occurrences
-from tallyhound.operators import correlate, detect, policy, score
+from tallyhound.functions import text
+from tallyhound.operators import correlate, detect, policy, running, score
 from tallyhound.operators.joins import in_first_interval
 from tallyhound.operators.sessions import session_id
 from tallyhound.sources import audit_log, records, rules, sshd_log
@@ -17,6 +18,8 @@ from tallyhound.sources.tables import stored
 
 #: The schema's name in each alert that is written.
 SCHEMA = "tallyhound.alert/1"
+#: What names a verdict: its session, and the place of its event among all.
+MOMENT = [*detect.TRACK, "seq"]
 #: What an alert's reader may do, by event.
 HINTS = {"freeze_violation": "a change freeze holds", "agent_declared": "declared, for information", "agent_high": "review the session now"}
 
@@ -58,30 +61,46 @@ def freezes(config: Config, first: int, last: int) -> list[tuple[str, int, int]]
     return out
 
 
-def told(verdicts: DataFrame, config: Config) -> DataFrame:
-    """Alerts (records.ALERT) of verdicts, one verdict a session, given at the session's last event.
+def frozen(verdicts: DataFrame, config: Config) -> DataFrame:
+    """verdicts with freeze and until: the first window of the settings that holds at their time, else an empty name.
 
-    A freeze does not touch declared sessions where it exempts them. An empty verdicts gives no alert.
+    A freeze does not touch declared sessions where it exempts them.
     """
-    spark = verdicts.sparkSession
-    v = stored(verdicts.withColumns({"us": F.col("last_us"), "seq": F.lit(0).cast("long"), "declared": F.col("class") == "declared_agent"}), "verdicts")
-    first, last = v.agg(F.min("us"), F.max("us")).first()
-    windows = freezes(config, first, last) if config.freeze and first is not None else []
-    v = v.withColumns({"freeze": F.lit(""), "until": F.lit(None).cast("long")})
-    if windows:
-        exempt = [f.name for f in config.freeze if f.exempt_declared]
-        forbidden = [w for w in windows if w[0] not in exempt]
-        parts = [(v.filter("declared"), forbidden), (v.filter("NOT declared"), windows)]
-        frozen = None
-        for rows, those in parts:
-            if not those:
-                continue
-            some = in_first_interval(rows.select(*detect.TRACK, "us"), those).select(*detect.TRACK, F.col("interval").alias("_f"), F.col("end_us").alias("_u"))
-            frozen = some if frozen is None else frozen.unionByName(some)
-        v = v.join(frozen, detect.TRACK, "left").withColumns({"freeze": F.coalesce("_f", F.lit("")), "until": F.col("_u")}).drop("_f", "_u")
-        v = stored(v, "frozen-verdicts")
-    said = policy.alerts(v.select(*detect.TRACK, "us", "seq", "rank", "declared", "freeze", "until"), key=detect.TRACK, cadence=micros(duration(config.cadence)))
-    a = said.withColumnRenamed("rank", "_rank").withColumnRenamed("us", "_us").join(v.drop("level"), detect.TRACK)
+    first, last = verdicts.agg(F.min("us"), F.max("us")).first() if config.freeze else (None, None)
+    windows = freezes(config, first, last) if first is not None else []
+    none = verdicts.withColumns({"freeze": F.lit(""), "until": F.lit(None).cast("long")})
+    if not windows:
+        return none
+    exempt = [f.name for f in config.freeze if f.exempt_declared]
+    at = [*MOMENT, "us"]
+    out = none
+    for rows, those in ((verdicts.filter("declared"), [w for w in windows if w[0] not in exempt]), (verdicts.filter("NOT declared"), windows)):
+        if those:
+            some = in_first_interval(rows.select(*at), those).select(*MOMENT, F.col("interval").alias("_f"), F.col("end_us").alias("_u"))
+            out = out.join(some, MOMENT, "left").withColumns({"freeze": F.coalesce("_f", "freeze"), "until": F.coalesce("_u", "until")}).drop("_f", "_u")
+    return out
+
+
+def told(contents: DataFrame, config: Config, pack: rules.Pack) -> DataFrame:
+    """Alerts (records.ALERT) that sessions' contents (correlate.contents()) give, each at the event that led to it.
+
+    Every event gives a verdict; the alert policy tells what of these is told; and for what is told the session as it was
+    then is judged again with its reasons and their evidence, its commands and users shown as the settings allow. A session that
+    was told of alert or above and has been idle for the window before the last event of all is told to have ended. Empty
+    contents give no alert.
+    """
+    contents = stored(contents, "session-contents")
+    limits, gap = (config.info, config.alert, config.high), micros(duration(config.window))
+    heard = running.verdicts(contents, pack, limits).filter("rank > 0 OR declared")
+    last = contents.groupBy(*detect.TRACK).agg(F.max(F.struct("us", "seq")).alias("l")).select(*detect.TRACK, "l.us", "l.seq", F.lit(0).alias("rank"), F.lit(False).alias("declared"))  # what an end is counted from
+    v = stored(frozen(stored(heard.select(*MOMENT, "us", "rank", "declared"), "verdicts"), config).unionByName(last, allowMissingColumns=True).fillna({"freeze": ""}), "frozen-verdicts")
+    now = contents.agg(F.max("us")).first()[0]
+    said = policy.alerts(v, key=detect.TRACK, cadence=micros(duration(config.cadence)), ended=gap, now=now)
+    said = stored(said.withColumnsRenamed({"us": "_us", "rank": "_rank"}).join(v.filter("freeze <> ''").select(*MOMENT, "freeze", "until").distinct(), MOMENT, "left").fillna({"freeze": ""}), "said")
+    moments = said.select(*detect.TRACK, F.col("_us").alias("at"), F.col("seq").alias("at_seq")).distinct()
+    then = detect.verdicts(correlate.tracks_at(contents, moments), pack, limits, key=[*detect.TRACK, "at", "at_seq"], command_text=config.command_text)
+    a = said.withColumnsRenamed({"seq": "at_seq"}).withColumn("at", F.col("_us")).join(then.drop("level"), [*detect.TRACK, "at", "at_seq"])
+    a = a.withColumn("user", text.pseudonym(F.col("user"), config.salt)) if config.salt else a
     level = score.level(F.col("_rank"))
     hint = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in HINTS.items() for x in kv]), F.col("event")), F.lit(""))
     time = lambda us: F.timestamp_micros(F.col(us))
@@ -97,5 +116,5 @@ def told(verdicts: DataFrame, config: Config) -> DataFrame:
 
 def alerts_of(events: DataFrame, config: Config, pack: rules.Pack) -> DataFrame:
     """The alerts that events give under the settings and a rule pack."""
-    found = correlate.tracks(events, gap=micros(duration(config.window)))
-    return told(detect.verdicts(found, rules.enabled(pack, config.profiles) if config.profiles else pack, (config.info, config.alert, config.high)), config)
+    found, _ = correlate.contents(events, gap=micros(duration(config.window)))
+    return told(found, config, rules.enabled(pack, config.profiles) if config.profiles else pack)
