@@ -6,11 +6,10 @@ the rows are written as Parquet and read again.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhound.llm.common import documents, shared_folder, stored
+from tallyhound.llm.common import documents, row_named, shared_folder, stored
 from tallyhound.llm.exact_dedup import exact_dedup
 from tallyhound.llm.language_id import accepted
 from tallyhound.llm.near_dedup import near_dedup
@@ -26,7 +25,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row stays, whatever the ids: the longest original, then the smallest id, null ids last."""
-    rows = _named(docs)
+    rows = row_named(docs)
     longest = -F.coalesce(F.length("text"), F.lit(0))
     path = shared_folder(spark, "exact-copies")
     with passing(spark):
@@ -36,7 +35,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that links of similarity 0.8 over five-word shingles tie together, one row stays: the smallest id, null ids last."""
-    rows = _named(docs)
+    rows = row_named(docs)
     path = shared_folder(spark, "near-copies")
     with passing(spark):
         _others(rows, near_dedup(rows, words=5, least=80, id_col="_row").select("_row", F.col("component_id").alias("_group"))).write.parquet(path)
@@ -53,18 +52,6 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packed_documents(docs)
 
 
-def _named(docs: DataFrame) -> DataFrame:
-    """docs with a name of its own for each row, _row, as ids may be null or shared: its file and its place there.
-
-    Rows that come from no file are written first.
-    """
-    place = F.concat_ws(":", "_metadata.file_name", F.col("_metadata.row_index").cast("string"))
-    try:
-        return docs.select("*", place.alias("_row"))
-    except AnalysisException:
-        return stored(docs.withColumn("_row", F.monotonically_increasing_id().cast("string")), "named-rows")
-
-
 def _others(rows: DataFrame, groups: DataFrame, *before: Column) -> DataFrame:
     """(_row) of all rows but one of each group (_row, _group): the first by the columns `before`, then by doc_id, then by name."""
     order = [*(c.alias(f"_{i}") for i, c in enumerate(before)), F.col("doc_id").isNull().alias("_unknown"), F.col("doc_id"), F.col("_row")]
