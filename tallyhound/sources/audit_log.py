@@ -1,7 +1,7 @@
 """Events from kernel audit records, one text column `value`.
 
 Records of one event share a time and serial number; they meet in one grouping, so that interleaving, order and late
-records do not matter in a batch. Streams add a watermark on the record's time.
+records do not matter in a batch. streaming.audit does the same for streams, with groups that close.
 """
 
 from __future__ import annotations
@@ -60,13 +60,13 @@ def tokens(body: Column, kind: Column) -> Column:
     return both(body, kind)
 
 
-def records(logs: DataFrame) -> DataFrame:
-    """(type, us, serial, fields, enriched) of each audit record; other lines go."""
+def records(logs: DataFrame, *more: str) -> DataFrame:
+    """(type, us, serial, fields, enriched) of each audit record, and `more` columns; other lines go."""
     v = F.regexp_replace("value", r"[\r\n]+$", "")
     g = lambda n: F.regexp_extract(v, HEADER, n)
     us = g(2).cast("long") * 1_000_000 + F.when(g(3) != "", g(3)).otherwise("0").cast("long") * 1000
-    out = logs.filter(v.rlike(HEADER)).select(g(1).alias("type"), us.alias("us"), g(4).cast("decimal(20,0)").alias("serial"), tokens(F.trim(F.regexp_replace(v, HEADER, "")), g(1)).alias("_t"))
-    return out.select("type", "us", "serial", "_t.fields", "_t.enriched")
+    out = logs.filter(v.rlike(HEADER)).select(g(1).alias("type"), us.alias("us"), g(4).cast("decimal(20,0)").alias("serial"), tokens(F.trim(F.regexp_replace(v, HEADER, "")), g(1)).alias("_t"), *more)
+    return out.select("type", "us", "serial", "_t.fields", "_t.enriched", *more)
 
 
 def argv(execves: Column) -> Column:
@@ -79,37 +79,55 @@ def argv(execves: Column) -> Column:
     return F.transform(every, lambda n: F.array_join(F.transform(F.filter(placed, lambda p: p["n"] == n), lambda p: p["v"]), ""))
 
 
-def events(logs: DataFrame) -> DataFrame:
-    """Events of all records: exec calls, log-ins and log-outs of the SSH server."""
-    r = records(logs)
-    f = lambda k, m="fields": F.coalesce(F.try_element_at(m, F.lit(k)), F.lit(""))
-    number = lambda c: F.coalesce(F.nullif(c, F.lit("")).try_cast("int"), F.lit(0))
-    server = (f("terminal") == "ssh") | F.regexp_extract(f("exe"), "([^/]*)$", 1).isin("sshd", "sshd-session", "sshd-auth")
+#: The records that together make one exec call.
+PARTS = ["SYSCALL", "EXECVE", "CWD", "PROCTITLE"]
+
+
+def _f(k: str, m: str = "fields") -> Column:
+    return F.coalesce(F.try_element_at(m, F.lit(k)), F.lit(""))
+
+
+def _number(c: Column) -> Column:
+    return F.coalesce(F.nullif(c, F.lit("")).try_cast("int"), F.lit(0))
+
+
+def logins(r: DataFrame, *more: str) -> DataFrame:
+    """Events of records() that are events on their own: log-ins and log-outs of the SSH server; `more` columns are kept."""
+    server = (_f("terminal") == "ssh") | F.regexp_extract(_f("exe"), "([^/]*)$", 1).isin("sshd", "sshd-session", "sshd-auth")
     kept = F.map_filter("fields", lambda k, v: k.isin("acct", "addr", "hostname", "terminal", "res", "op", "exe", "auid"))
-    extra = F.map_filter(F.create_map(F.lit("type"), F.col("type"), F.lit("serial"), F.col("serial").cast("string"), F.lit("uid"), f("id")), lambda k, v: v != "")
-    logins = r.filter(F.col("type").isin(*LOGIN, *LOGOUT) & server).select(
+    extra = F.map_filter(F.create_map(F.lit("type"), F.col("type"), F.lit("serial"), F.col("serial").cast("string"), F.lit("uid"), _f("id")), lambda k, v: v != "")
+    return r.filter(F.col("type").isin(*LOGIN, *LOGOUT) & server).select(
         F.timestamp_micros("us").alias("ts"), F.when(F.col("type").isin(*LOGIN), "audit.login").otherwise("audit.logout").alias("kind"), F.lit("auditd").alias("source"),
-        F.when(f("acct") != "", f("acct")).otherwise(f("ID", "enriched")).alias("user"), F.when(f("addr") == "?", "").otherwise(f("addr")).alias("src_ip"), F.lit(0).alias("src_port"), number(f("pid")).alias("pid"), number(f("ses")).alias("ses"), F.map_concat(kept, extra).alias("fields"),
-    )
-    of = lambda t: F.when(F.col("type") == t, F.col("fields"))
-    grouped = r.filter(F.col("type").isin("SYSCALL", "EXECVE", "CWD", "PROCTITLE")).groupBy("us", "serial").agg(
-        F.first(of("SYSCALL"), True).alias("sys"), F.first(F.when(F.col("type") == "SYSCALL", F.col("enriched")), True).alias("enr"), F.collect_list(of("EXECVE")).alias("exec"), F.first(of("CWD"), True).alias("cwd"), F.first(of("PROCTITLE"), True).alias("title")
+        F.when(_f("acct") != "", _f("acct")).otherwise(_f("ID", "enriched")).alias("user"), F.when(_f("addr") == "?", "").otherwise(_f("addr")).alias("src_ip"), F.lit(0).alias("src_port"), _number(_f("pid")).alias("pid"), _number(_f("ses")).alias("ses"), F.map_concat(kept, extra).alias("fields"), *more,
     )
+
+
+def execs(groups: DataFrame, *more: str) -> DataFrame:
+    """Exec calls of whole groups (us, serial, records: array of type, fields, enriched); `more` columns are kept."""
+    of = lambda t: F.filter("records", lambda r: r["type"] == t)
+    grouped = groups.select("us", "serial", F.get(of("SYSCALL"), F.lit(0)).alias("_s"), F.transform(of("EXECVE"), lambda r: r["fields"]).alias("exec"), F.get(of("CWD"), F.lit(0))["fields"].alias("cwd"), F.get(of("PROCTITLE"), F.lit(0))["fields"].alias("title"), *more)
+    grouped = grouped.withColumns({"sys": F.col("_s.fields"), "enr": F.col("_s.enriched")}).drop("_s")
     call = F.lit(False)
     for arch, numbers in EXEC_CALLS.items():
-        call = call | ((f("arch", "sys") == arch) & f("syscall", "sys").isin(*numbers))
-    call = F.coalesce(call | f("SYSCALL", "enr").isin("execve", "execveat"), F.lit(False))
+        call = call | ((_f("arch", "sys") == arch) & _f("syscall", "sys").isin(*numbers))
+    call = F.coalesce(call | _f("SYSCALL", "enr").isin("execve", "execveat"), F.lit(False))
     grouped = grouped.filter((F.size("exec") > 0) | call).withColumn("argv", argv(F.col("exec")))
-    title = F.regexp_replace(f("proctitle", "title"), "\\x00+$", "")
+    title = F.regexp_replace(_f("proctitle", "title"), "\\x00+$", "")
     from_title = (F.size("argv") == 0) & (title != "")
     grouped = grouped.withColumn("_title", from_title).withColumn("argv", F.when(from_title, F.split(title, "\\x00")).otherwise(F.col("argv")))
     keep = F.map_filter(F.coalesce("sys", F.create_map().cast("map<string,string>")), lambda k, v: k.isin("exe", "comm", "tty", "uid", "auid", "ppid", "key", "success", "arch", "syscall", "exit"))
     keep = F.transform_values(keep, lambda k, v: F.when(k == "exe", first_bytes(v, NAME)).when(k == "comm", first_bytes(v, COMM)).otherwise(v))
-    user = F.when(f("AUID", "enr") == "unset", "").otherwise(f("AUID", "enr"))
+    user = F.when(_f("AUID", "enr") == "unset", "").otherwise(_f("AUID", "enr"))
     argc = F.coalesce(F.nullif(F.coalesce(F.try_element_at(F.get("exec", F.lit(0)), F.lit("argc")), F.lit("")), F.lit("")), F.size("argv").cast("string"))
-    more = F.create_map(
-        F.lit("serial"), F.col("serial").cast("string"), F.lit("auid_name"), user, F.lit("uid_name"), f("UID", "enr"), F.lit("cwd"), first_bytes(f("cwd", "cwd"), NAME), F.lit("argv_from"), F.when(F.col("_title"), "proctitle").otherwise(""),
+    told = F.create_map(
+        F.lit("serial"), F.col("serial").cast("string"), F.lit("auid_name"), user, F.lit("uid_name"), _f("UID", "enr"), F.lit("cwd"), first_bytes(_f("cwd", "cwd"), NAME), F.lit("argv_from"), F.when(F.col("_title"), "proctitle").otherwise(""),
         F.lit("argv0"), F.coalesce(first_bytes(F.get("argv", F.lit(0)), NAME), F.lit("")), F.lit("cmd"), first_bytes(F.array_join("argv", " "), CMD), F.lit("argc"), argc,
     )
-    execs = grouped.select(F.timestamp_micros("us").alias("ts"), F.lit("audit.execve").alias("kind"), F.lit("auditd").alias("source"), user.alias("user"), F.lit("").alias("src_ip"), F.lit(0).alias("src_port"), number(f("pid", "sys")).alias("pid"), number(f("ses", "sys")).alias("ses"), F.map_concat(keep, F.map_filter(more, lambda k, v: v != "")).alias("fields"))
-    return logins.unionByName(execs)
+    return grouped.select(F.timestamp_micros("us").alias("ts"), F.lit("audit.execve").alias("kind"), F.lit("auditd").alias("source"), user.alias("user"), F.lit("").alias("src_ip"), F.lit(0).alias("src_port"), _number(_f("pid", "sys")).alias("pid"), _number(_f("ses", "sys")).alias("ses"), F.map_concat(keep, F.map_filter(told, lambda k, v: v != "")).alias("fields"), *more)
+
+
+def events(logs: DataFrame) -> DataFrame:
+    """Events of all records: exec calls, log-ins and log-outs of the SSH server."""
+    r = records(logs)
+    groups = r.filter(F.col("type").isin(*PARTS)).groupBy("us", "serial").agg(F.collect_list(F.struct("type", "fields", "enriched")).alias("records"))
+    return logins(r).unionByName(execs(groups))
