@@ -58,3 +58,19 @@ def event_stream(spark: SparkSession, d: str) -> DataFrame:
 
 def in_sessions(spark: SparkSession, d: str) -> DataFrame:
     return sessionised(event_stream(spark, d), key=["user_id"], gap=DAY)
+
+
+def policy_walk(verdicts: str, key: str, cadence: int) -> str:
+    """The alert policy as a recursive walk over a CTE (key, i from 1 within the key, us, seq, rank, declared, win, until): CTE `walk`, a row for each verdict, event null where nothing is told."""
+    return f"""walk AS (
+  SELECT {key}, 0::BIGINT AS i, 0::BIGINT AS us, 0::BIGINT AS seq, NULL::VARCHAR AS event, 0 AS level, 0 AS top, false AS said, NULL::BIGINT AS last, NULL::BIGINT AS frozen, 0 AS seen FROM {verdicts} WHERE i = 1
+  UNION ALL
+  SELECT {key}, i, us, seq, event, level, CASE WHEN event IS NULL THEN top ELSE greatest(top, level) END, said OR coalesce(event = 'agent_declared', false), CASE WHEN event IS NULL THEN last ELSE us END,
+    CASE WHEN held THEN until ELSE frozen END, CASE WHEN held AND event IS NOT NULL THEN CASE WHEN fresh THEN rank ELSE greatest(seen, rank) END ELSE seen END
+  FROM (SELECT *, CASE event WHEN 'freeze_violation' THEN 3 WHEN 'agent_declared' THEN 1 ELSE rank END AS level FROM (SELECT *,
+    CASE WHEN held AND fresh THEN 'freeze_violation' WHEN held AND rank >= 2 AND rank > seen THEN high WHEN held AND due THEN 'agent_still_active' WHEN held THEN NULL
+      WHEN declared AND NOT said THEN 'agent_declared' WHEN rank < 1 OR (declared AND rank < 2) THEN NULL
+      WHEN rank > top THEN CASE WHEN rank = 1 THEN 'info' ELSE high END WHEN rank >= 2 AND due THEN 'agent_still_active' END AS event
+    FROM (SELECT v.*, top, said, last, frozen, seen, win <> '' AND (declared OR rank >= 1) AS held, frozen IS DISTINCT FROM until AS fresh, last IS NULL OR v.us - last >= {cadence} AS due,
+        CASE WHEN rank >= 3 THEN 'agent_high' ELSE 'agent_detected' END AS high
+      FROM (SELECT {key}, i AS _i, top, said, last, frozen, seen FROM walk) w JOIN {verdicts} v USING ({key}) WHERE v.i = w._i + 1))))"""

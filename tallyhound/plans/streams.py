@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhound.operators.score import rank
-from tallyhound.plans.base import SESSIONS, query
+from tallyhound.plans.base import EV, SESSIONS, policy_walk, query
 from tallyhound.sources.tables import stored
 from tallyhound.streaming import live
 
@@ -31,11 +31,21 @@ def stream_session_counts(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("events").alias("events"))
 
 
-@query(None)
+DAY_US = 24 * 3_600_000_000
+#: Freezes: the first six hours of every tenth day since 1970 around the events' time; as many in any year.
+FREEZES = [("tenth", d * DAY_US, d * DAY_US + DAY_US // 4) for d in range(18_000, 22_000, 10)]
+STREAM_SQL = EV + f""", r AS (SELECT user_id, us, seq, event_type = 'signup' AS declared, CASE WHEN seq % 100 >= 90 THEN 3 WHEN seq % 100 >= 70 THEN 2 WHEN seq % 100 >= 40 THEN 1 ELSE 0 END AS rank FROM ev),
+w AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, rank, seq) AS i,
+  CASE WHEN (us // {DAY_US}) % 10 = 0 AND us % {DAY_US} < {DAY_US // 4} THEN 'tenth' ELSE '' END AS win, (us // {DAY_US}) * {DAY_US} + {DAY_US // 4} AS until FROM r), """ + policy_walk("w", "user_id", DAY_US) + """
+SELECT user_id, us, event, level AS rank FROM walk WHERE event IS NOT NULL
+UNION ALL SELECT user_id, max(us), 'agent_ended', max(top) FROM walk GROUP BY user_id HAVING max(top) >= 2"""
+
+
+@query(STREAM_SQL)
 def stream_policy(spark: SparkSession, d: str) -> DataFrame:
     root = _shared(spark.range(1), "stream-output")
     e = _stream(spark, d)
     level = F.when(F.col("user_id") >= 0, rank(F.col("event_id") % 100, 40, 70, 90)).otherwise(0)
     verdicts = e.select("user_id", "ts", F.unix_micros("ts").alias("us"), level.cast("int").alias("rank"), (F.col("event_type") == "signup").alias("declared"))
-    live.run_once(live.policy_stream(verdicts, key="user_id", cadence=24 * 3_600_000_000), root + "/out", root + "/checkpoint")
+    live.run_once(live.policy_stream(verdicts, key="user_id", cadence=DAY_US, freezes=FREEZES), root + "/out", root + "/checkpoint")
     return spark.read.schema("user_id long, us long, event string, rank int").parquet(root + "/out").filter("user_id >= 0")

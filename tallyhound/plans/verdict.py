@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyhound.operators import policy, score
-from tallyhound.plans.base import HOUR, SESSIONS, in_sessions, query
+from tallyhound.plans.base import HOUR, SESSIONS, in_sessions, query, policy_walk
 from tallyhound.plans.timing import CLUES_SQL, SESSION, long_clues, session_features
 
 KINDS_SQL = ", kinds AS (SELECT user_id, session_start, count(*) FILTER (event_type = 'purchase') AS buys, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type = 'signup') AS signups FROM ss GROUP BY ALL)"
@@ -85,7 +85,11 @@ def declared_once(spark: SparkSession, d: str) -> DataFrame:
     return in_sessions(spark, d).filter("event_type = 'signup'").groupBy(*SESSION).agg(first.alias("f")).select(*SESSION, "f.seq", "f.us")
 
 
-@query(None)
+POLICY_SQL = RANKED_SQL + f""", w AS (SELECT user_id, session_start, row_number() OVER o AS i, us, seq, rank, bool_or(event_type = 'signup') OVER o AS declared,
+  CASE WHEN (us // {HOUR}) % 24 < 2 THEN 'night' ELSE '' END AS win, ((us // {24 * HOUR}) * 24 + 2) * {HOUR} AS until FROM vv WINDOW o AS (PARTITION BY user_id, session_start ORDER BY us, seq)), """ + policy_walk("w", "user_id, session_start", 12 * HOUR)
+
+
+@query(POLICY_SQL + " SELECT user_id, session_start, us, seq, event, level AS rank FROM walk WHERE event IS NOT NULL")
 def policy_alerts(spark: SparkSession, d: str) -> DataFrame:
     v = ranked_events(spark, d)
     declared = F.max(F.when(F.col("event_type") == "signup", 1).otherwise(0)).over(Window.partitionBy(*SESSION).orderBy("us", "seq")) == 1

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tallyhound.operators.policy import CADENCE
+from tallyhound.operators.policy import CADENCE, Told
 
 
 def session_counts(events: DataFrame, *, key: str = "user_id", ts: str = "ts", gap: str = "15 minutes", late: str = "15 minutes") -> DataFrame:
@@ -17,43 +17,39 @@ def session_counts(events: DataFrame, *, key: str = "user_id", ts: str = "ts", g
     return events.withWatermark(ts, late).groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count("*").alias("events")).select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "events")
 
 
-def policy_stream(verdicts: DataFrame, *, key: str, cadence: int = CADENCE, forget: str = "15 minutes") -> DataFrame:
-    """Alerts of a stream of verdicts (key, ts, us, rank, declared): crossings of levels, declarations, reminders, ends.
+def policy_stream(verdicts: DataFrame, *, key: str, cadence: int = CADENCE, forget: str = "15 minutes", freezes: list[tuple[str, int, int]] = ()) -> DataFrame:
+    """Alerts of a stream of verdicts (key, ts, us, rank, declared): crossings of levels, declarations, freezes, reminders, ends.
 
-    The state of a key holds its highest level told, the last time it was told something and whether it was declared. When
-    the watermark passes `forget` after a key's last verdict, the key ends, which is told if it ever was an alert.
+    The state of a key is what it has been told (policy.Told), as in a batch. freezes are (name, start, end) in
+    microseconds, the end excluded, the first that holds counts; they go to every task. When the watermark passes `forget`
+    after a key's last verdict, the key ends, which is told if it ever was an alert.
     """
     wait = int(pd.Timedelta(forget).total_seconds() * 1000)
     kind = verdicts.schema[key].dataType.simpleString()
+    windows = list(freezes)
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        top, last, said, seen = state.get if state.exists else (0, -1, False, 0)
+        *own, at = state.get if state.exists else (0, False, -1, "", 0, 0)
+        told = Told(cadence, int(own[0]), bool(own[1]), int(own[2]), own[3], int(own[4]))
         out = []
         if state.hasTimedOut:
-            if top >= 2:
-                out.append((k[0], seen, "agent_ended", top))
+            if told.top >= 2:
+                out.append((k[0], at, "agent_ended", told.top))
             state.remove()
         else:
             rows = pd.concat(list(frames)).sort_values(["us", "rank"])
             for us, rank, declared in zip(rows["us"], rows["rank"], rows["declared"]):
-                us, rank, event = int(us), int(rank), ""
-                if declared and not said:
-                    event, said, rank = "agent_declared", True, 1
-                elif rank >= 1 and not (declared and rank < 2):
-                    if rank > top:
-                        event = {1: "info", 2: "agent_detected"}.get(rank, "agent_high")
-                    elif rank >= 2 and us - last >= cadence:
-                        event = "agent_still_active"
-                if event:
-                    out.append((k[0], us, event, rank))
-                    top, last = max(top, rank), us
-                seen = max(seen, us)
-            state.update((top, last, bool(said), seen))
-            state.setTimeoutTimestamp(max(seen // 1000 + wait, state.getCurrentWatermarkMs() + 1))
+                freeze, until = next(((name, end) for name, start, end in windows if start <= us < end), ("", None))
+                if said := told.step(int(us), int(rank), bool(declared), freeze, until):
+                    out.append((k[0], int(us), *said))
+                at = max(at, int(us))
+            state.update((told.top, told.said, told.last, told.frozen, told.seen, at))
+            state.setTimeoutTimestamp(max(at // 1000 + wait, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=[key, "us", "event", "rank"])
 
     marked = verdicts.withWatermark("ts", "0 seconds")
-    return marked.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, us long, event string, rank int", "top int, last long, said boolean, seen long", "append", GroupStateTimeout.EventTimeTimeout)
+    held = "top int, said boolean, last long, frozen string, seen int, at long"
+    return marked.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, us long, event string, rank int", held, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:

@@ -41,7 +41,7 @@ def test_against_sql(spark, db, name):
     assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(columns, want.fetchall())
 
 
-@pytest.mark.parametrize("name", ["plumbing_closure", "stream_session_counts"])
+@pytest.mark.parametrize("name", ["plumbing_closure", "stream_session_counts", "stream_policy"])
 def test_slow_ones_against_sql(spark, db, name):
     df = catalogue.QUERIES[name](spark, DATA)
     want = db.execute(catalogue.ORACLE[name])
