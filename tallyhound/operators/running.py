@@ -26,6 +26,7 @@ from tallyhound.sources.rules import Pack, Profile
 
 DEDUPE, SPAN, CUT = 200_000, 300 * detect.SECOND, 60 * detect.SECOND
 TRACK = detect.TRACK
+FLAGS = ["execs", "shell", "closes", "command", "channel", "spoken", "named", "env", "flags", "service", "attributed"]
 
 
 def _all(tests: list[Column]) -> Column:
@@ -43,7 +44,7 @@ def facts(rows: DataFrame, pack: Pack) -> DataFrame:
     mark = F.when(F.col("attributed"), text.declared(F.coalesce(F.try_element_at("fields", F.lit("env.AI_AGENT")), F.lit(""))))
     spoken = is_command & ((F.col("cmd") != "") | (F.col("argv0") != ""))
     rows = rows.withColumn("_banner", F.when(is_banner & own, correlate.banner_text()))
-    return rows.select(
+    out = rows.select(
         *TRACK, "us", "seq", "kind", "pid", "attributed", F.when(own, F.col("conn")).alias("conn"), "opened", is_command.alias("command"), (is_command & (F.col("origin") == "sshlog")).alias("channel"),
         spoken.alias("spoken"), F.when(is_command, _all([F.rlike("cmd", F.lit("(?i)" + s.regex)) for s in pack.styles])).alias("styles"),
         F.when(spoken, _all([detect._either([detect.clause_met(c, x) for x in q.any_of]) for q in pack.profiles])).alias("met"), F.when(spoken, _all([detect.clause_met(c, x) for _, x in clauses])).alias("required"),
@@ -55,6 +56,7 @@ def facts(rows: DataFrame, pack: Pack) -> DataFrame:
         F.when(is_process, F.when(~mark.isin("", "invalid-declaration"), mark)).alias("marked"), F.when(is_call, detect.host_agent(p, pack) != "").alias("service"),
         _all([_who(q) for q in pack.profiles]).alias("who"),
     )
+    return out.fillna(False, FLAGS)
 
 
 def _who(p: Profile) -> Column:
@@ -268,8 +270,6 @@ def verdicts(rows: DataFrame, pack: Pack, thresholds: tuple[int, int, int] = (sc
             batch["conn"] = batch["conn"].astype(object).where(batch["conn"].notna(), None)
             for c in ("banner", "said", "marked"):
                 batch[c] = batch[c].astype(object).where(batch[c].notna(), None)
-            for c in ("execs", "shell", "closes", "command", "channel", "spoken", "named", "env", "flags", "service", "attributed"):
-                batch[c] = batch[c].fillna(False).astype(bool) if batch[c].dtype != bool else batch[c]
             out = []
             for r in batch.itertuples(index=False):
                 k = (r.host, r.user, r.fp, r.src_ip, r.session_start)

@@ -9,7 +9,7 @@ import pytest
 from tallyhound import catalogue
 
 DATA = "/root/testdata/sf0.001"
-SLOW = {"plumbing_closure", "stream_session_counts", "stream_policy"}  # run on their own below
+SLOW = {"plumbing_closure", "stream_session_counts", "stream_policy", "verdicts_of_lines"}  # run on their own below
 
 
 @pytest.fixture(scope="module")
@@ -41,7 +41,7 @@ def test_against_sql(spark, db, name):
     assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(columns, want.fetchall())
 
 
-@pytest.mark.parametrize("name", ["plumbing_closure", "stream_session_counts", "stream_policy"])
+@pytest.mark.parametrize("name", ["plumbing_closure", "stream_session_counts", "stream_policy", "verdicts_of_lines"])
 def test_slow_ones_against_sql(spark, db, name):
     df = catalogue.QUERIES[name](spark, DATA)
     want = db.execute(catalogue.ORACLE[name])
