@@ -20,7 +20,7 @@ from tallyhound.sources.records import RANKS
 #: Severities of the system log by level, its facilities, and a chat service's limits.
 SEVERITY = {"info": 6, "alert": 4, "high": 1}
 FACILITIES = {f: k for k, f in enumerate("kern user mail daemon auth syslog lpr news uucp cron authpriv ftp".split())} | {f"local{k}": 16 + k for k in range(8)}
-LIMITS = {"content": 2000, "title": 256, "description": 4096, "field": 1024}
+LIMITS = {"content": 2000, "title": 256, "description": 4096, "field": 1024, "fields": 25}
 RETRY = (2.0, 8.0)
 
 
@@ -37,17 +37,21 @@ def headline(escape: Callable[[Column], Column] = lambda c: c) -> Column:
     return F.concat(F.upper("level"), F.lit(": "), part("user"), F.lit("@"), part("host"), F.lit(" from "), part("src_ip"), F.lit(" scored "), F.col("score").cast("string"), F.lit(" ("), part("event"), F.lit(")"))
 
 
-def payload(kind: str) -> Column:
-    """The body of a hook: generic is the alert itself, the others speak three chat services' dialects."""
+def payload(kind: str, columns: list[str] | None = None) -> Column:
+    """The body of a hook: generic is the alert itself (its `columns`), the others speak three chat services' dialects."""
     if kind == "generic":
-        return F.to_json(F.struct("*"))
+        return F.to_json(F.struct(*(columns or ["*"])))
     lines = F.transform("reasons", lambda r: F.concat(r["clue"], F.lit(" +"), r["weight"].cast("string"), F.lit(" "), F.coalesce(r["evidence"], F.lit(""))))
     if kind == "slack":
         return F.to_json(F.struct(F.concat_ws("\n", headline(slack_escaped), F.transform(lines, slack_escaped)).alias("text")))
     if kind == "teams":
         return F.to_json(F.struct(F.lit("MessageCard").alias("@type"), F.lit("http://schema.org/extensions").alias("@context"), headline(chat_escaped).alias("title"), F.array_join(F.transform(lines, chat_escaped), "\n\n").alias("text")))
     if kind == "discord":
-        embed = F.struct(F.substring(headline(chat_escaped), 1, LIMITS["title"]).alias("title"), F.substring(F.array_join(F.transform(lines, chat_escaped), "\n"), 1, LIMITS["description"]).alias("description"))
+        reason = lambda r: F.struct(F.substring(chat_escaped(r["clue"]), 1, LIMITS["title"]).alias("name"), F.substring(chat_escaped(F.concat(r["weight"].cast("string"), F.lit(" "), F.coalesce(r["evidence"], F.lit("")))), 1, LIMITS["field"]).alias("value"))
+        embed = F.struct(
+            F.substring(headline(chat_escaped), 1, LIMITS["title"]).alias("title"), F.substring(F.array_join(F.transform(lines, chat_escaped), "\n"), 1, LIMITS["description"]).alias("description"),
+            F.transform(F.slice("reasons", 1, LIMITS["fields"]), reason).alias("fields"),
+        )
         return F.to_json(F.struct(F.substring(headline(chat_escaped), 1, LIMITS["content"]).alias("content"), F.array(embed).alias("embeds")))
     raise ValueError(f"unknown payload {kind!r}")
 
