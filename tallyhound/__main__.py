@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import argparse
 import sys
+from datetime import datetime, timezone
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhound import config as settings
+from tallyhound import report as reports
 from tallyhound.operators import correlate, detect
-from tallyhound.operators.sessions import folded
-from tallyhound.plans.reporting import top_by
 from tallyhound.run import alerts_of, read_events
 from tallyhound.sources import records, rules, sinks
 
@@ -29,16 +29,15 @@ def written(df: DataFrame) -> None:
 
 
 def report(spark: SparkSession, args: argparse.Namespace) -> None:
-    """Groups of an alert file, or one session's timeline."""
-    since = F.current_timestamp() - F.make_interval(secs=F.lit(settings.duration(args.since).total_seconds())) if args.since else None
-    rows = records.report_rows(records.alerts(spark, args.alerts, since)).filter(F.col("rank") >= records.RANKS[args.min_level])
+    """What an alert file tells over a span, or one session's timeline."""
+    now = datetime.now(timezone.utc)
+    at = lambda said: reports.moment(said, now) if said else None
+    rows = records.report_rows(records.alerts(spark, args.alerts))
+    chosen = reports.selected(rows, since=at(args.since), until=at(args.until), session=args.session, min_level=args.min_level)
     if args.session:
-        written(rows.filter(F.col("session_id") == args.session).orderBy("ts", "seq").select("ts", "event", "level", "score"))
+        written(reports.timeline(chosen, args.session))
         return
-    dims = {"account": "user", "server": "host", "agent": "agent", "key": "key_fingerprint"}
-    about = rows.groupBy("session_id").agg(*[F.max(c).alias(f"by_{c}") for c in dims.values()])
-    found = folded(rows).join(about, "session_id")
-    written(top_by(found, F.coalesce(F.col(f"by_{dims[args.by]}"), F.lit("")), args.top))
+    print(reports.rendered(reports.summary(chosen, by=args.by, top=args.top), args.format), end="")
 
 
 def score(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -73,6 +72,8 @@ def main(argv: list[str] | None = None) -> int:
     r.add_argument("alerts")
     r.add_argument("--by", choices=["account", "server", "agent", "key"], default="account")
     r.add_argument("--since", default="")
+    r.add_argument("--until", default="")
+    r.add_argument("--format", choices=["text", "markdown", "json"], default="text")
     r.add_argument("--session", default="")
     r.add_argument("--min-level", choices=list(records.RANKS), default="none")
     r.add_argument("--top", type=int, default=10)
