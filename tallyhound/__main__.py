@@ -1,9 +1,10 @@
-"""python -m tallyhound run|report|score|rules|query ...: the library from a shell."""
+"""python -m tallyhound run|live|report|score|rules|query ...: the library from a shell."""
 
 from __future__ import annotations
 
 import argparse
 import sys
+from collections.abc import Callable
 from datetime import datetime, timezone
 from pathlib import Path
 
@@ -12,9 +13,14 @@ from pyspark.sql import functions as F
 
 from tallyhound import config as settings
 from tallyhound import report as reports
+from tallyhound.functions import text
 from tallyhound.operators import correlate, detect
+from tallyhound.operators.correlate import SESSION
+from tallyhound.operators.score import level as score_level
+from tallyhound.operators.sessions import session_id
 from tallyhound.run import alerts_of, read_events
-from tallyhound.sources import records, rules, sinks
+from tallyhound.sources import delivery, records, rules, sinks
+from tallyhound.streaming.service import Service
 
 
 def _pack(args: argparse.Namespace) -> rules.Pack:
@@ -56,6 +62,33 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
     (sinks.append_json(args.out) if args.out else sinks.console)(found, 0)
 
 
+def live(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Alerts of logs that keep arriving, for ever or (--once) of what there is; to a folder, or to the settings' sinks."""
+    config = settings.load(args.config.read_text()) if args.config else settings.Config()
+    if args.audit and not args.host:
+        raise SystemExit("audit records do not name their machine: give --host")
+    now = int(datetime.now(timezone.utc).timestamp()) * 1_000_000
+    year = 366 * 24 * 3600 * 1_000_000
+    deliver = delivery.Ledgered(f"{args.state}/delivery", delivery.receivers(config.sinks)) if config.sinks else sinks.append_json(args.out) if args.out else sinks.console
+    if config.sinks:
+        deliver = told(deliver, config)
+    queries = Service(spark, args.state, args.server, [(x, args.host) for x in args.audit], config, _pack(args), deliver, (now - year, now + year)).start(once=args.once)
+    for q in [] if args.once else queries:
+        q.awaitTermination()
+
+
+def told(deliver: Callable[[DataFrame, int], None], config: settings.Config) -> Callable[[DataFrame, int], None]:
+    """deliver for batches of a service's alerts, with the columns that receivers are told of."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        user = text.pseudonym(F.col("user"), config.salt) if config.salt else F.col("user")
+        reasons = F.array().cast("array<struct<clue:string,weight:int,evidence:string>>")
+        out = batch.select(session_id(*map(F.col, SESSION)).alias("session_id"), "event", F.timestamp_micros("us").alias("ts"), score_level(F.col("rank")).alias("level"), "score", user.alias("user"), "host", "src_ip", reasons.alias("reasons"))
+        deliver(out, batch_id)
+
+    return run
+
+
 def show_rules(args: argparse.Namespace) -> int:
     pack = _pack(args)
     for rule in rules.listed(pack):
@@ -90,7 +123,15 @@ def main(argv: list[str] | None = None) -> int:
     u.add_argument("--host")
     u.add_argument("--config", type=Path)
     u.add_argument("--out", default="")
-    for p in (s, u, v):
+    w = sub.add_parser("live")
+    for name in ("--server", "--audit"):
+        w.add_argument(name, nargs="+", default=[])
+    w.add_argument("--host")
+    w.add_argument("--config", type=Path)
+    w.add_argument("--state", required=True)
+    w.add_argument("--out", default="")
+    w.add_argument("--once", action="store_true")
+    for p in (s, u, v, w):
         p.add_argument("--rules", type=Path)
     args = top.parse_args(argv)
     if args.command == "rules":
@@ -101,7 +142,7 @@ def main(argv: list[str] | None = None) -> int:
 
         written(QUERIES[args.name](spark, args.folder))
     else:
-        {"report": report, "run": run, "score": score}[args.command](spark, args)
+        {"live": live, "report": report, "run": run, "score": score}[args.command](spark, args)
     return 0
 
 

@@ -8,6 +8,7 @@ from dataclasses import asdict, dataclass, field, fields
 from datetime import timedelta
 
 from tallyhound.functions.cron import parse as parse_cron
+from tallyhound.sources.delivery import receivers
 
 _UNITS = {"ns": 1e-9, "us": 1e-6, "ms": 1e-3, "s": 1, "m": 60, "h": 3600, "d": 86400}
 
@@ -42,6 +43,7 @@ class Config:
     profiles: list[str] = field(default_factory=list)
     freeze: list[Freeze] = field(default_factory=list)
     min_level: str = "info"
+    sinks: list[dict] = field(default_factory=list)  # see sources.delivery.receivers()
 
     def problems(self) -> list[str]:
         out = []
@@ -57,6 +59,10 @@ class Config:
                     out.append(f"{name} must be positive")
             except ValueError as e:
                 out.append(f"{name}: {e}")
+        try:
+            receivers(self.sinks)
+        except ValueError as e:
+            out.append(str(e))
         for f in self.freeze:
             try:
                 parse_cron(f.cron)

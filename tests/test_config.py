@@ -28,3 +28,9 @@ def test_rules_command(capsys):
 def test_report_command(spark, tmp_path, capsys):
     (tmp_path / "alerts.jsonl").write_text(json.dumps({"schema": "v1", "ts": "2026-09-14T08:00:00Z", "session_id": "s1", "level": "high", "score": 91, "user": "ann", "host": "h", "event": "agent_high", "class": "suspected_agent"}) + "\n")
     assert cli.main(["report", str(tmp_path / "alerts.jsonl")]) == 0 and "ann" in capsys.readouterr().out
+
+
+def test_sinks_are_checked_with_the_settings():
+    assert config.load('{"sinks": [{"url": "https://hooks.example.com/x", "kind": "teams", "level": "high"}]}').sinks[0]["kind"] == "teams"
+    with pytest.raises(ValueError, match="no url.*|two sinks"):
+        config.load('{"sinks": [{"name": "a"}]}')
