@@ -17,7 +17,7 @@ from itertools import count
 
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhound.llm.common import documents, join_by_group, named, stored
@@ -109,7 +109,12 @@ def _owner(word: str) -> str:
 
 
 def mentions(text: str) -> list[tuple[int, int, str, str, str]]:
-    """(start, end, kind, entity, gender) of each mention, in order. The kind of a name says whether it is a surname, and its script."""
+    """(start, end, kind, entity, gender) of each mention, in order. The kind of a name says whether it is a surname, or
+    the gender of a given name, and its script.
+
+    The forms of address of a text give a given name its gender there; with forms of both, or none that says one, it is
+    open (n). So one name of people of different gender in different texts is two entities.
+    """
     out, known = [], {}
     for m in _ALL.finditer(text):
         kind, said = m.lastgroup, m[0]
@@ -146,9 +151,30 @@ def mentions(text: str) -> list[tuple[int, int, str, str, str]]:
             if what and not (at < len(taken) and taken[at][0] < end):
                 out.append((w.start(), end, *what))
         out.sort()
+    return gendered(out)
+
+
+def gendered(found: list[tuple[int, int, str, str, str]]) -> list[tuple[int, int, str, str, str]]:
+    """mentions with the gender that a given name has in the text in its kind (name.m.latin)."""
+    seen: dict[str, set[str]] = {}
+    for _, _, kind, entity, gender in found:
+        if kind.startswith("name.g.") and gender != "n":
+            seen.setdefault(entity, set()).add(gender)
+    out = []
+    for a, b, kind, entity, gender in found:
+        if kind.startswith("name.g."):
+            own = seen.get(entity, set())
+            gender = next(iter(own)) if len(own) == 1 else "n"
+            kind = kind.replace(".g.", f".{gender}.", 1)
+        out.append((a, b, kind, entity, gender))
     return out
 
 
+def domain(kind: Column) -> Column:
+    """Kinds whose surrogates must differ from each other: given names of all genders are one."""
+    return F.regexp_replace(kind, r"^name\.[mfn]\.", "name.g.")
+
+
 class Draw:
     """A stream of keyed choices for one entity and attempt."""
 
@@ -240,24 +266,23 @@ def worn(kind: str, mention: str, new: str) -> str:
 def assigned(entities: DataFrame, key: bytes) -> DataFrame:
     """entities, distinct (kind, entity), with a surrogate: all surrogates of a kind differ and none is an entity of it.
 
-    A column `gender` of m, f or n, where there is one, is that of given names.
+    Given names of all genders count as one kind in this. One without a gender (name.g) gets a name of neither.
     """
 
     @F.pandas_udf("string")
-    def drawn(kind: pd.Series, entity: pd.Series, attempt: pd.Series, gender: pd.Series) -> pd.Series:
-        return pd.Series([surrogate(key, k.replace(".g.", f".{g}."), e, a) for k, e, a, g in zip(kind, entity, attempt, gender)], dtype=object)
+    def drawn(kind: pd.Series, entity: pd.Series, attempt: pd.Series) -> pd.Series:
+        return pd.Series([surrogate(key, k.replace(".g.", ".n."), e, a) for k, e, a in zip(kind, entity, attempt)], dtype=object)
 
     waiting, done, attempt = entities, None, 0
-    gender = F.col("gender") if "gender" in entities.columns else F.lit("n")
-    taken = entities.select("kind", F.col("entity").alias("surrogate"))
+    taken = entities.select(domain(F.col("kind")).alias("domain"), F.col("entity").alias("surrogate")).distinct()
     while True:
-        drawn_now = stored(waiting.withColumn("surrogate", drawn("kind", "entity", F.lit(attempt), gender)), "surrogates-drawn")
-        free = drawn_now.join(taken, ["kind", "surrogate"], "left_anti")
-        first = free.groupBy("kind", "surrogate").agg(F.min("entity").alias("entity"))
-        won = stored(free.join(first, ["kind", "surrogate", "entity"], "left_semi"), "surrogates")
-        done = won if done is None else done.unionByName(won)
-        taken = taken.unionByName(won.select("kind", "surrogate"))
-        waiting = stored(drawn_now.join(won.select("kind", "entity"), ["kind", "entity"], "left_anti").drop("surrogate"), "surrogates-waiting")
+        drawn_now = stored(waiting.withColumn("surrogate", drawn("kind", "entity", F.lit(attempt))).withColumn("domain", domain(F.col("kind"))), "surrogates-drawn")
+        free = drawn_now.join(taken, ["domain", "surrogate"], "left_anti")
+        first = free.groupBy("domain", "surrogate").agg(F.min(F.struct("entity", "kind")).alias("f")).select("domain", "surrogate", "f.entity", "f.kind")
+        won = stored(free.join(first, ["domain", "surrogate", "entity", "kind"], "left_semi"), "surrogates")
+        done = won.drop("domain") if done is None else done.unionByName(won.drop("domain"))
+        taken = taken.unionByName(won.select("domain", "surrogate"))
+        waiting = stored(drawn_now.join(won.select("kind", "entity"), ["kind", "entity"], "left_anti").drop("surrogate", "domain"), "surrogates-waiting")
         if waiting.isEmpty():
             return done
         attempt += 1
@@ -267,8 +292,8 @@ def with_surrogates(df: DataFrame, *, key: bytes, text_col: str = "text") -> Dat
     """df with personal data replaced in text_col, and n_entities, the number of replaced mentions. All rows stay.
 
     Null texts stay null; texts are read whole; repeated rows are replaced alike, with or without an id; df must have no
-    column n_entities, any other name will do. An empty df gives an empty result. A given name that occurs with forms of
-    address of both genders, or of none, gets a name of neither. Only rows that may hold an entity are shuffled.
+    column n_entities, any other name will do. An empty df gives an empty result. A given name is told apart by its gender in its text, see
+    mentions(); one without gets a name of neither. Only rows that may hold an entity are shuffled.
     """
     if "n_entities" in df.columns:
         raise ValueError("df has a column n_entities")
@@ -282,10 +307,9 @@ def with_surrogates(df: DataFrame, *, key: bytes, text_col: str = "text") -> Dat
     # texts, not rows, are what mentions belong to: copies of a text share its replacements
     some = df.filter(hinted).select(F.struct(*[named(c) for c in cols]).alias("doc"), named(text_col).alias("text"), F.md5(named(text_col)).alias("hash"))
     some = stored(some.withColumn("marks", marked("text")), "rows-with-hints")
-    each = some.select("hash", F.explode("marks").alias("m")).select("hash", "m.kind", "m.entity", "m.gender")
-    gender = F.when(F.max(F.col("gender") == "m") & ~F.max(F.col("gender") == "f"), "m").when(F.max(F.col("gender") == "f") & ~F.max(F.col("gender") == "m"), "f").otherwise("n")
+    each = some.select("hash", F.explode("marks").alias("m")).select("hash", "m.kind", "m.entity")
     pairs = each.groupBy("hash", "kind", "entity").agg(F.lit(1).alias("one"))
-    sizes = pairs.groupBy("kind", "entity").agg(F.count("*").alias("n")).join(each.groupBy("kind", "entity").agg(gender.alias("gender")), ["kind", "entity"])
+    sizes = pairs.groupBy("kind", "entity").agg(F.count("*").alias("n"))
     entities = stored(sizes, "entities")
     known = assigned(entities, key).withColumn("ke", F.struct("kind", "entity"))
     total = max(1, entities.agg(F.sum("n")).first()[0] or 0)
