@@ -63,7 +63,8 @@ def pack(df: DataFrame, *, size: Column, cluster: Column, source: Column, id_col
     rows = rows.withColumn("rest", rest).withColumn("pieces", (F.when(F.col("total") > 0, F.ceil(F.col("total") / capacity)).otherwise(F.lit(1))).cast("int"))
     full = rows.filter("pieces > 1").withColumn("row", F.monotonically_increasing_id()).select("doc_id", F.explode(F.expr("sequence(0, pieces - 2)")).alias("piece"), "pieces", F.lit(capacity).cast("long").alias("size"), "row")
     full = full.select("doc_id", "piece", "pieces", "size", F.concat_ws("-", F.lit("full"), "row", "piece").alias("bin"), F.lit(0).cast("long").alias("offset"))
-    items = rows.withColumn("cell", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(cells))).repartition("cell").sortWithinPartitions("cell", F.desc("rest"), "doc_id", "cluster", "source")
+    # dealt by their place as well, so that rows without an id and of one text do not share a cell
+    items = rows.withColumn("_place", F.monotonically_increasing_id()).withColumn("cell", F.pmod(F.xxhash64("doc_id", "cluster", "_place"), F.lit(cells))).repartition("cell").sortWithinPartitions("cell", F.desc("rest"), "doc_id", "cluster", "source")
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
