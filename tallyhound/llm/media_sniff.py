@@ -17,8 +17,9 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyhound.llm.common import documents, text_or_empty
+from tallyhound.llm.common import documents, named, text_or_empty
 
 #: Payloads are padded with PAD to a multiple of UNIT bytes; pictures are SIDE samples wide.
 UNIT, PAD, SIDE = 576, b"\xff", 24
@@ -161,13 +162,39 @@ def store(payload: bytes) -> tuple[str, bytes]:
 
 
 def recover(declared: str, blob: bytes) -> tuple[bytes, str]:
-    """The payload of a stored value, and what sniffing said of it."""
+    """The payload of a stored value, and what sniffing said of it; nothing where it holds no medium."""
     found, hits = sniff(blob)
+    if not found:
+        return b"", f"none;declared {declared};hits {hits};media 0"
     at, size, kind = found[0]
     said = f"{kind};{'as declared' if kind == declared else 'declared ' + declared};at {at};length {size};hits {hits};media {len(found)}"
     return samples_of(kind, blob[at : at + size]), said
 
 
+def sniffed(df: DataFrame, *, blob_col: str, declared_col: str | None = None) -> DataFrame:
+    """df with `media`, the embedded media of a binary column, outermost and leftmost first: start, length, type, corrected, bytes.
+
+    A medium counts only if its format's own structure and length hold, so cut ones do not; corrected says that declared_col
+    names another type (null where there is none). Null and empty blobs, and blobs without a medium, have an empty list.
+    Blobs are read whole; repeated rows have equal lists; df must have no column media, any other name will do; an empty
+    df gives an empty result.
+    """
+    if "media" in df.columns:
+        raise ValueError("df has a column media")
+    kind = "array<struct<start:int,length:int,type:string,corrected:boolean,bytes:binary>>"
+
+    @F.pandas_udf(kind)
+    def carved(blobs: pd.Series, declared: pd.Series) -> pd.Series:
+        out = []
+        for blob, said in zip(blobs, declared):
+            found = sniff(bytes(blob))[0] if blob is not None else []
+            out.append([{"start": at, "length": n, "type": t, "corrected": None if said is None else said != t, "bytes": bytes(blob)[at : at + n]} for at, n, t in found])
+        return pd.Series(out, dtype=object)
+
+    said = F.lit(None).cast("string") if declared_col is None else named(declared_col)
+    return df.withColumn("media", carved(named(blob_col), said))
+
+
 def media_column(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", blobs: bool = False) -> DataFrame:
     """One row per row of df: id_col, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature
     and, if asked for, the declared type and the stored bytes.

@@ -59,3 +59,12 @@ def test_rows_without_an_id_or_with_a_shared_one_keep_their_own_verdict(spark):
 def test_registered():
     names = list(__spark_entry__.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+
+
+def test_files_of_one_name_in_two_folders_are_told_apart(spark, tmp_path):
+    for lang in ("en", "de"):
+        folder = tmp_path / "docs" / f"lang={lang}"
+        spark.createDataFrame([(1, "a text that both hold"), (2, f"own {lang}")], "doc_id long, text string").coalesce(1).write.parquet(str(folder))
+        next(folder.glob("part-*")).rename(folder / "0000.parquet")
+    docs = spark.read.parquet(str(tmp_path / "docs")).select("doc_id", "text")
+    assert sorted(r.text for r in corpus_pipeline.drop_exact_copies(spark, docs, "").collect()) == ["a text that both hold", "own de", "own en"]
