@@ -147,6 +147,10 @@ def sums_of(values: np.ndarray, opening: np.ndarray, close: np.ndarray) -> np.nd
     return np.add.reduceat(np.append(values, values.dtype.type(0)), bounds)[::2] if len(bounds) else values[:0]
 
 
+#: Grams that a task adds up before it passes counts on: 16 bytes each, and as much again two times while they are merged.
+GRAMS_HELD = 4_000_000
+
+
 def gram_counts(train: DataFrame, code: np.ndarray) -> DataFrame:
     """(gram, n) of the DEPTH codes before each training position and the one that stands there, six bits each."""
 
@@ -174,10 +178,10 @@ def gram_counts(train: DataFrame, code: np.ndarray) -> DataFrame:
                 g, c = np.unique(gram[np.cumsum(scored[:-1]) > 0], return_counts=True)
                 grams.append(g)
                 counts.append(c)
-                if sum(map(len, grams)) > 1_200_000:
+                if sum(map(len, grams)) > GRAMS_HELD:
                     g, c = merged(grams, counts)
                     grams, counts = [g], [c]
-                    if len(g) > 700_000:
+                    if len(g) > GRAMS_HELD // 2:
                         yield pd.DataFrame({"gram": g, "n": c})
                         grams, counts = [], []
         if grams:
