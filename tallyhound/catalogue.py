@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyhound.plans import domain, linking, reporting, scans, streams, tables, timing, verdict, words  # noqa: F401
+from tallyhound.plans import domain, linking, reporting, scans, sketches, streams, tables, timing, verdict, words  # noqa: F401
 from tallyhound.plans.base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
