@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tallyhound.config import Config, duration
 from tallyhound.run import freezes, micros
 from tallyhound.sources import rules, sshd_log
-from tallyhound.streaming import audit, sessions
+from tallyhound.streaming import audit, counters, sessions
 
 _EVENT = ["ts", "kind", "source", "user", "src_ip", "src_port", "pid", "ses", "fields", "host"]
 
@@ -79,7 +79,7 @@ class Service:
                 queries[-1].awaitTermination()
 
         for name, events in readers:
-            run(events, name, f"events/{name}")
+            run(counters.observed_events(events, name), name, f"events/{name}")
         # a reader's folder is there once its first batch has been written; the pattern takes all of them
         self.spark.createDataFrame([], readers[0][1].schema).write.mode("append").parquet(f"{self.state}/events/none")
         events = self.spark.readStream.schema(readers[0][1].schema).parquet(f"{self.state}/events/*")
@@ -88,7 +88,7 @@ class Service:
         pack = rules.enabled(self.pack, c.profiles) if c.profiles else self.pack
         windows = freezes(c, *self.span) if c.freeze and self.span else []
         found = sessions.alerts_stream(self._again(contents, "contents"), pack, thresholds=(c.info, c.alert, c.high), cadence=micros(duration(c.cadence)), gap=gap, freezes=windows)
-        run(found, "alerts", "alerts")
+        run(counters.observed_alerts(found), "alerts", "alerts")
         if self.deliver:
             w = self._again(found, "alerts").writeStream.foreachBatch(self.deliver).option("checkpointLocation", f"{self.state}/checkpoints/delivery").queryName("delivery")
             queries.append((w.trigger(availableNow=True) if once else w.trigger(processingTime="2 seconds")).start())

@@ -1,5 +1,7 @@
 """Logs that arrive in rounds become alerts, over services that are started anew each time."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from tallyhound import run
@@ -7,6 +9,7 @@ from tallyhound.config import Config, Freeze
 from tallyhound.operators import correlate, policy, running
 from tallyhound.sources import rules
 from tallyhound.sources.tables import stored
+from tallyhound.streaming import counters
 from tallyhound.streaming.service import Service, events_read
 
 DECLARED = 'ai-agent-declare: AI_AGENT=claude_code@2 user=bob from=10.0.0.4 port=901'
@@ -32,7 +35,8 @@ ROUNDS = [
 def test_rounds_of_logs_become_alerts(spark, tmp_path):
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     config = Config(freeze=[Freeze("early", "0 10 * * *", "15s")])
-    span, told = (1789380000_000_000, 1789383600_000_000), []
+    span, told, counted = (1789380000_000_000, 1789383600_000_000), [], counters.Counters("7")
+    spark.streams.addListener(counted)
     (tmp_path / "auth").mkdir()
     (tmp_path / "audit").mkdir()
     try:
@@ -41,7 +45,12 @@ def test_rounds_of_logs_become_alerts(spark, tmp_path):
             (tmp_path / "audit" / f"{k}.log").write_text("\n".join(audit) + "\n")
             deliver = lambda batch, number: told.extend(batch.collect())
             Service(spark, str(tmp_path / "state"), [str(tmp_path / "auth")], [(str(tmp_path / "audit"), "web")], config, deliver=deliver, span=span, late="5 seconds").start(once=True)
+        for _ in range(100):  # the listener hears of it a little later
+            if sum(counted.series().get("tallyhound_alerts_total", {}).values()) >= len(told):
+                break
+            time.sleep(0.2)
     finally:
+        spark.streams.removeListener(counted)
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     got = sorted((r.user, r.us, r.event, r["rank"]) for r in told)
     contents = stored(correlate.contents(stored(events_read(spark, str(tmp_path / "state")), "events"))[0], "contents")
@@ -49,3 +58,11 @@ def test_rounds_of_logs_become_alerts(spark, tmp_path):
     want = sorted((r.user, r.us, r.event, r["rank"]) for r in policy.alerts(v, key=correlate.SESSION, ended=correlate.WINDOW, now=1 << 60).filter(F.col("user") != "zoe").collect())
     assert [x for x in got if x[0] != "zoe"] == want
     assert {(u, e) for u, _, e, _ in want} >= {("ann", "agent_ended"), ("ann", "freeze_violation"), ("bob", "agent_declared")}
+    series = counted.series({"hook": {"sent": 3, "lost": 1}}, counters.open_sessions(contents, correlate.WINDOW))
+    kinds = {k: n for ((_, k),), n in series["tallyhound_events_total"].items()}
+    assert kinds == {r.kind: r["count"] for r in events_read(spark, str(tmp_path / "state")).groupBy("kind").count().collect()}
+    assert sum(series["tallyhound_alerts_total"].values()) == len(told) and series["tallyhound_alerts_total"][("level", "info"), ("class", "declared_agent")] == 1
+    assert series["tallyhound_sessions_open"] == {(): 2.0} and series["tallyhound_last_event_timestamp_seconds"][("source", "auditd"),] == 1789380000 + 60 * 59
+    assert set(series) == {"tallyhound_" + k for k in counters.HELP}
+    text = counted.exposition(delivered={"hook": {"sent": 3}})
+    assert 'tallyhound_sink_sent_total{sink="hook"} 3' in text and 'tallyhound_build_info{version="7"} 1' in text and "# TYPE tallyhound_events_total counter" in text and 'tallyhound_reader_up{name="contents"} 0' in text
