@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -170,11 +172,16 @@ def _any(c: Column, patterns: list[str]) -> Column:
     return _either([F.rlike(c, F.lit(p)) for p in patterns])
 
 
-def clues(tracks: DataFrame, pack: Pack, key: list[str] = TRACK, command_text: str = "argv0") -> DataFrame:
+#: A detector of one's own: (clue, category, weight, evidence) of each clue it knows, as expressions over a prepared track.
+Detector = Callable[[], Iterable[tuple[str, str, Column, Column]]]
+
+
+def clues(tracks: DataFrame, pack: Pack, key: list[str] = TRACK, command_text: str = "argv0", detectors: Sequence[Detector] = ()) -> DataFrame:
     """(track key, clue, category, weight, evidence, suppressed, declared, agent, profile), one row for each clue of each track.
 
     command_text says what evidence may show of a command: the part that matched, at most a fragment (argv0), all of it
-    (full), or nothing (none).
+    (full), or nothing (none). What detectors add counts like the others: by category, under its cap, weights of 0 for what
+    does not hold.
     """
     t = tracks.withColumns({c: F.coalesce(c, F.array().cast(tracks.schema[c].dataType)) for c in ("connections", "commands", "processes", "net", "banners")})
     t = identified_rows(t, pack).withColumn("profile", profile_of(pack))
@@ -227,6 +234,10 @@ def clues(tracks: DataFrame, pack: Pack, key: list[str] = TRACK, command_text: s
         ("net.ai_api", "network", on("net", calls(True), 30), listed("net", calls(True), target)), ("net.ai_api_unattributed", "network", on("net", calls(False), 15), listed("net", calls(False), target)),
         ("env.ai_agent", "identity", F.lit(0), F.concat(F.lit("AI_AGENT="), text.fragment(F.lit(""), F.col("declared")))),
     ]
+    for clue, category, weight, said in (row for d in detectors for row in d()):
+        if category not in score.CAPS or clue in {r[0] for r in rows}:
+            raise ValueError(f"{clue}: no category {category!r}, or a clue that there is")
+        rows.append((clue, category, F.coalesce(weight, F.lit(0)), said))
     t = t.withColumn("agent", identified(F.col("declared"), pack))
     t = t.withColumn("_c", F.array(*[F.struct(F.lit(i).alias("clue"), F.lit(c).alias("category"), w.cast("int").alias("weight"), F.when((F.col("declared") != "") if c == "identity" else (w != 0), said).alias("evidence")) for i, c, w, said in rows]))
     keep = [*key, "declared", "agent", "profile"]
@@ -239,13 +250,13 @@ def clues(tracks: DataFrame, pack: Pack, key: list[str] = TRACK, command_text: s
     return out.withColumn("suppressed", suppressed & ~F.col("category").isin(score.PROTECTED))
 
 
-def verdicts(tracks: DataFrame, pack: Pack, thresholds: tuple[int, int, int] = (score.INFO, score.ALERT, score.HIGH), key: list[str] = TRACK, command_text: str = "argv0") -> DataFrame:
+def verdicts(tracks: DataFrame, pack: Pack, thresholds: tuple[int, int, int] = (score.INFO, score.ALERT, score.HIGH), key: list[str] = TRACK, command_text: str = "argv0", detectors: Sequence[Detector] = ()) -> DataFrame:
     """One row per track (per key): score, level, class, agent, profile, reasons, evidence (by clue), details, mode, auth_fails and connections.
 
     A profile caps the score unless a process or flag speaks.
     """
     tracks = stored(tracks, "tracks")
-    c = stored(clues(tracks, pack, key, command_text), "clues")
+    c = stored(clues(tracks, pack, key, command_text, detectors), "clues")
     v = score.verdicts(c, key=key, thresholds=thresholds)
     about = c.groupBy(*key).agg(
         F.max("agent").alias("agent"), F.max("profile").alias("profile"), F.bool_or(F.col("category").isin("process", "flags")).alias("hard"),
