@@ -18,7 +18,7 @@ from tallyhound.operators import correlate, detect
 from tallyhound.operators.correlate import SESSION
 from tallyhound.operators.score import level as score_level
 from tallyhound.operators.sessions import session_id
-from tallyhound.run import alerts_of, read_events
+from tallyhound.run import SCHEMA, alerts_of, read_events
 from tallyhound.sources import delivery, records, rules, sinks
 from tallyhound.streaming.service import Service
 
@@ -70,9 +70,7 @@ def live(spark: SparkSession, args: argparse.Namespace) -> None:
     now = int(datetime.now(timezone.utc).timestamp()) * 1_000_000
     year = 366 * 24 * 3600 * 1_000_000
     deliver = delivery.Ledgered(f"{args.state}/delivery", delivery.receivers(config.sinks)) if config.sinks else sinks.append_json(args.out) if args.out else sinks.console
-    if config.sinks:
-        deliver = told(deliver, config)
-    queries = Service(spark, args.state, args.server, [(x, args.host) for x in args.audit], config, _pack(args), deliver, (now - year, now + year)).start(once=args.once)
+    queries = Service(spark, args.state, args.server, [(x, args.host) for x in args.audit], config, _pack(args), told(deliver, config), (now - year, now + year)).start(once=args.once)
     for q in [] if args.once else queries:
         q.awaitTermination()
 
@@ -83,7 +81,11 @@ def told(deliver: Callable[[DataFrame, int], None], config: settings.Config) ->
     def run(batch: DataFrame, batch_id: int) -> None:
         user = text.pseudonym(F.col("user"), config.salt) if config.salt else F.col("user")
         reasons = F.array().cast("array<struct<clue:string,weight:int,evidence:string>>")
-        out = batch.select(session_id(*map(F.col, SESSION)).alias("session_id"), "event", F.timestamp_micros("us").alias("ts"), score_level(F.col("rank")).alias("level"), "score", user.alias("user"), "host", "src_ip", reasons.alias("reasons"))
+        said = F.when(F.col("event") == "agent_declared", "declared_agent").when(F.col("rank") >= 2, "suspected_agent").otherwise("human")
+        out = batch.select(
+            F.lit(SCHEMA).alias("schema"), F.timestamp_micros("us").alias("ts"), "host", "event", said.alias("class"), user.alias("user"), "src_ip", F.col("fp").alias("key_fingerprint"), "score",
+            score_level(F.col("rank")).alias("level"), reasons.alias("reasons"), session_id(*map(F.col, SESSION)).alias("session_id"),
+        )
         deliver(out, batch_id)
 
     return run
