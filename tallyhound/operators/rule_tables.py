@@ -26,13 +26,18 @@ def endings(host: Column) -> Column:
 
 
 def _answered(rows: DataFrame, value: str, keys: DataFrame, rules: DataFrame, specific: bool, more: DataFrame | None = None) -> DataFrame:
-    """rows with `rule`: of the rules whose key is one of a value's keys the first listed, or the longest and then the first."""
-    hits = keys.join(rules, "key").select("_value", "ord", "rule", "length")
-    if more is not None:
-        hits = hits.unionByName(more)
+    """rows with `rule`: of the rules whose key is one of a value's keys the first listed, or the longest and then the first.
+
+    Only the first rule of a key can be an answer, so a key has one before it meets the values: what is joined grows with
+    the values and the rules, not with the pairs of both that share a wide key.
+    """
     order = [(-F.col("length")).alias("a"), F.col("ord").alias("b")] if specific else [F.col("ord").alias("a"), F.lit(0).alias("b")]
-    best = stored(hits.groupBy("_value").agg(F.min(F.struct(*order, "rule")).alias("best")).select("_value", "best.rule"), "rule-answers")
-    return rows.join(best, F.col(value) == F.col("_value"), "left").drop("_value").withColumn("rule", F.coalesce("rule", F.lit("")))
+    best = F.struct(*order, "rule").alias("best")
+    hits = keys.join(rules.select("key", best).groupBy("key").agg(F.min("best").alias("best")), "key").select("_value", "best")
+    if more is not None:
+        hits = hits.unionByName(more.select("_value", best))
+    found = stored(hits.groupBy("_value").agg(F.min("best").alias("best")).select("_value", "best.rule"), "rule-answers")
+    return rows.join(found, F.col(value) == F.col("_value"), "left").drop("_value").withColumn("rule", F.coalesce("rule", F.lit("")))
 
 
 def host_rules(rows: DataFrame, rules: DataFrame, *, host: str, specific: bool = False) -> DataFrame:
@@ -57,9 +62,8 @@ def host_rules(rows: DataFrame, rules: DataFrame, *, host: str, specific: bool =
     return _answered(rows, host, keys, plain, specific, more)
 
 
-def network(ip: Column, length: Column) -> Column:
-    """The network of an address with a prefix of some bits, as version:bits:address in hexadecimal; null for no address."""
-    four, six = text.ip_number(ip), text.ip6_hex(ip)
+def network(four: Column, six: Column, length: Column) -> Column:
+    """The network of an address (text.ip_number and text.ip6_hex of it) with a prefix of some bits, as version:bits:address; null for no address."""
     kept = F.when(length <= 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftright", four, F.lit(32) - length) * F.pow(F.lit(2.0), F.lit(32) - length).cast("long"))
     # whole digits stay, the digit that the prefix ends in keeps its upper bits
     digits, bits = F.floor(length / 4).cast("int"), length % 4
@@ -78,9 +82,12 @@ def range_rules(rows: DataFrame, rules: DataFrame, *, ip: str, specific: bool =
     """
     at, bits = F.substring_index("cidr", "/", 1), F.when(F.col("cidr").contains("/"), F.substring_index("cidr", "/", -1).try_cast("int"))
     full = F.when(text.ip_number(at).isNotNull(), 32).when(text.ip6_hex(at).isNotNull(), 128)
-    r = rules.select(F.col("ord").cast("long").alias("ord"), "rule", at.alias("_at"), F.coalesce(bits, full).alias("length"), full.alias("_full")).filter("length BETWEEN 0 AND _full")
-    r = r.select("ord", "rule", "length", network(F.col("_at"), F.col("length")).alias("key")).filter("key IS NOT NULL")
-    lengths = [x.length for x in r.select("length").distinct().collect()]  # 129 at most
-    values = stored(rows.select(F.col(ip).alias("_value")).filter("_value IS NOT NULL AND _value <> ''").distinct(), "rule-values")
-    keys = values.select("_value", F.explode(F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>")).alias("_l")).select("_value", network(F.col("_value"), F.col("_l")).alias("key")).filter("key IS NOT NULL")
-    return _answered(rows, ip, keys, r, specific)
+    r = rules.select(F.col("ord").cast("long").alias("ord"), "rule", F.coalesce(bits, full).alias("length"), full.alias("_full"), text.ip_number(at).alias("_four"), text.ip6_hex(at).alias("_six"))
+    r = stored(r.filter("length BETWEEN 0 AND _full").drop("_full"), "rule-ranges")  # addresses are read once, not for each use of their numbers
+    lengths = [(x.four, x.length) for x in r.select(F.col("_four").isNotNull().alias("four"), "length").distinct().collect()]  # 162 at most
+    some = lambda four: F.array(*[F.lit(n) for v, n in lengths if v == four]).cast("array<int>")
+    values = rows.select(F.col(ip).alias("_value")).filter("_value IS NOT NULL AND _value <> ''").distinct()
+    values = stored(values.select("_value", text.ip_number(F.col("_value")).alias("_four"), text.ip6_hex(F.col("_value")).alias("_six")), "rule-values")
+    keyed = lambda df, *more: df.select(*more, network(F.col("_four"), F.col("_six"), F.col("length")).alias("key")).filter("key IS NOT NULL")
+    keys = keyed(values.select("_value", "_four", "_six", F.explode(F.when(F.col("_four").isNotNull(), some(True)).otherwise(some(False))).alias("length")), "_value")
+    return _answered(rows, ip, keys, keyed(r, "ord", "rule", "length"), specific)

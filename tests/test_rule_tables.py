@@ -2,6 +2,7 @@
 
 import ipaddress
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -61,3 +62,15 @@ def test_a_hundred_thousand_rules(spark):
     rows = spark.range(5000).select("id", F.format_string("x.h%d.example.com", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") * 31)).alias("h"))
     want = F.when(F.col("id") % 3 == 0, "r7").when(F.col("id") * 31 < n, F.format_string("r%d", F.col("id") * 31)).otherwise("")
     assert rule_tables.host_rules(rows, table, host="h").filter(F.col("rule") != want).count() == 0
+
+
+def test_many_rules_of_one_wide_range(spark):
+    n = 20_000  # in pairs of a value and a rule 400 million: only the first rule of a network may meet the values
+    table = spark.range(n).select((F.lit(n) - F.col("id")).alias("ord"), F.format_string("10.%d.%d.0/8", F.col("id") % 256, F.floor(F.col("id") / 256)).alias("cidr"), F.format_string("r%d", "id").alias("rule"))
+    rows = spark.range(n).select("id", F.format_string("10.1.%d.%d", F.floor(F.col("id") / 256), F.col("id") % 256).alias("ip"))
+    began = time.monotonic()
+    assert [tuple(r) for r in rule_tables.range_rules(rows, table, ip="ip").groupBy("rule").count().collect()] == [(f"r{n - 1}", n)]
+    hosts = spark.range(n).select(F.col("id").alias("ord"), F.lit("example.com").alias("suffix"), F.format_string("h%d", "id").alias("rule"))
+    asked = spark.range(n).select(F.format_string("a%d.example.com", "id").alias("h"))
+    assert [tuple(r) for r in rule_tables.host_rules(asked, hosts, host="h").groupBy("rule").count().collect()] == [("h0", n)]
+    assert time.monotonic() - began < 60  # the pairs of one key would be made by one task
