@@ -21,6 +21,8 @@ BASE, STEP = 1_789_000_000_000_000, 970_000
 def log_lines(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(server lines, audit lines), one text column `value` each."""
     e = table(spark, d, "events").select("event_id", "user_id", "event_type", (F.lit(BASE) + F.col("event_id") * STEP).alias("us"))
+    # a file of few row groups gives few tasks, and reading a line is work; without a number Spark would join small parts again
+    e = e.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "event_id")
     at = F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")
     user = F.concat(F.lit("u"), F.col("user_id").cast("string"))
     place = F.format_string("from 10.1.%d.%d port %d", F.floor(F.col("user_id") / 250) % 250, F.col("user_id") % 250, F.lit(1024) + F.col("user_id") % 60000)

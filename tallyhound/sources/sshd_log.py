@@ -44,6 +44,12 @@ MESSAGES: list[tuple[str, str, str, tuple[int, int, int], dict[str, str], dict[s
 DECLARE = r"^AI_AGENT=([A-Za-z0-9._@:+-]{1,64}) user=([A-Za-z0-9_][A-Za-z0-9_.-]{0,31}\$?) from=([0-9A-Fa-f.:]{2,45}) port=(\d{1,5})$"
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is worked out once a row. A filter on a plain column is pushed below it, with the column's
+    expression wherever the filter names it, so that patterns would run again for every test of what they gave."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def lines(logs: DataFrame, now: Column | None = None) -> DataFrame:
     """(ts, ident, pid, host, uid, msg) of each line that the server or a hook wrote. A year that a time lacks is this
     year, or the last one where that would be over a day ahead of now. Undated lines, other programs' and blank ones go."""
@@ -62,32 +68,39 @@ def lines(logs: DataFrame, now: Column | None = None) -> DataFrame:
     stamped = F.when(v.rlike(iso), F.try_to_timestamp(F.regexp_extract(v, iso, 1))).when(v.rlike(short), dated)
     rest = F.regexp_replace(v, f"(?:{iso})|(?:{short})", "")
     tag = r"^(\S+) ([A-Za-z0-9_.-]+)(?:\[(\d+)\])?: ?"
-    syslog = logs.filter(~v.startswith("{")).withColumn("_ts", stamped).withColumn("_rest", rest).filter(F.col("_ts").isNotNull() & F.col("_rest").rlike(tag)).select(
-        F.col("_ts").alias("ts"), F.regexp_extract("_rest", tag, 2).alias("ident"), F.expr("try_cast(regexp_extract(_rest, '^\\\\S+ [A-Za-z0-9_.-]+(?:\\\\[(\\\\d+)\\\\])?: ?', 1) AS int)").alias("pid"), F.regexp_extract("_rest", tag, 1).alias("host"),
-        F.lit(None).cast("string").alias("uid"), F.regexp_replace("_rest", tag, "").alias("msg"),
-    )
+    dated_lines = once(logs.filter(~v.startswith("{")), "_line", F.struct(stamped.alias("ts"), rest.alias("rest"))).filter("_line.ts IS NOT NULL")
+    tagged = F.regexp_replace("_line.rest", r"(?s)" + tag + "(.*)", "$1\n$2\n$3\n$4")  # the first three hold no blank
+    part = lambda k: F.get(F.split("_tagged", "\n", 4), F.lit(k))
+    syslog = once(dated_lines.filter(F.col("_line.rest").rlike(tag)), "_tagged", tagged).select(F.col("_line.ts").alias("ts"), part(1).alias("ident"), part(2).try_cast("int").alias("pid"), part(0).alias("host"), F.lit(None).cast("string").alias("uid"), part(3).alias("msg"))
     return journal.unionByName(syslog).filter(F.col("ident").isin(*SERVERS, *DECLARERS) & F.col("ts").isNotNull())
 
 
 def classified(parsed: DataFrame) -> DataFrame:
     """Events of the lines whose message is known. The first words are tested before a pattern is tried."""
     msg = F.regexp_replace(F.regexp_replace(F.col("msg"), r"^(?:debug[123]|error|fatal): ", ""), r" \[(?:pre|post)auth\]$", "")
-    df = parsed.filter(~F.col("msg").rlike(r"[\n\r]")).withColumn("_m", msg)
+    df = once(parsed.filter(~F.col("msg").rlike(r"[\n\r]")), "_m", msg)
     m = F.col("_m")
-    event = None
-    for first, pattern, kind, (user, ip, port), fixed, groups in MESSAGES:
-        take = lambda g: F.regexp_extract(m, pattern, g) if g else F.lit("")  # noqa: B023, E731
-        pairs = [F.struct(F.lit(k).alias("key"), F.lit(x).alias("value")) for k, x in fixed.items()]
-        pairs += [F.struct(F.lit(k).alias("key"), (F.when(take(g) != "", "true").otherwise("") if k == "invalid_user" else take(g)).alias("value")) for k, g in groups.items()]
-        row = F.struct(F.lit(kind).alias("kind"), take(user).alias("user"), take(ip).alias("src_ip"), F.coalesce(F.expr("try_cast('' AS int)") if not port else F.nullif(take(port), F.lit("")).cast("int"), F.lit(0)).alias("src_port"), F.map_from_entries(F.filter(F.array(*pairs), lambda p: p["value"] != "")).alias("fields"))
+    told = None
+    for first, pattern, kind, place, fixed, groups in MESSAGES:
+        # all that a pattern gives in one go; a message holds no line ends, so that these can part what it gives
+        fields = [f"{k}\r{x}" for k, x in fixed.items()] + [f"{k}\r${g}" for k, g in groups.items()]
+        layout = "\n".join([kind, *(f"${g}" if g else "" for g in place), *fields, ""])
         test = ~F.col("ident").isin(*DECLARERS) & m.startswith(first) & m.rlike(pattern)
-        event = F.when(test, row) if event is None else event.when(test, row)
+        row = F.regexp_replace(m, pattern, layout)
+        told = F.when(test, row) if told is None else told.when(test, row)
+    df = once(df, "_told", told)
+    parts = F.split("_told", "\n")
+    read = F.str_to_map(F.array_join(F.slice(parts, 5, F.size(parts) - 5), "\n"), F.lit("\n"), F.lit("\r"))
+    read = F.map_filter(read, lambda k, x: F.coalesce(x, F.lit("")) != "")
+    read = F.transform_values(read, lambda k, x: F.when(k == "invalid_user", "true").otherwise(x))
+    at = lambda k: F.get(parts, F.lit(k))
+    event = F.when(F.col("_told").isNotNull(), F.struct(at(0).alias("kind"), at(1).alias("user"), at(2).alias("src_ip"), F.coalesce(F.nullif(at(3), F.lit("")).cast("int"), F.lit(0)).alias("src_port"), read.alias("fields")))
     said = lambda g: F.regexp_extract(m, DECLARE, g)
     fields = F.create_map(F.lit("name"), F.lit("AI_AGENT"), F.lit("value"), said(1), F.lit("via"), F.lit("sshrc"), F.lit("uid"), F.coalesce(F.col("uid"), F.lit("")))
     fields = F.map_filter(fields, lambda k, v: v != "")
     declared = F.col("ident").isin(*DECLARERS) & m.rlike(DECLARE) & F.nullif(said(4), F.lit("")).cast("int").between(1, 65535)
     event = event.when(declared, F.struct(F.lit("ssh.env").alias("kind"), said(2).alias("user"), said(3).alias("src_ip"), F.nullif(said(4), F.lit("")).cast("int").alias("src_port"), fields.alias("fields")))
-    df = df.withColumn("_e", event).filter("_e IS NOT NULL")
+    df = once(df, "_e", event).filter("_e IS NOT NULL")
     about = F.map_filter(F.create_map(F.lit("ident"), F.col("ident"), F.lit("host"), F.coalesce("host", F.lit(""))), lambda k, x: x != "")
     return df.select("ts", "_e.kind", F.lit("sshlog").alias("source"), "_e.user", "_e.src_ip", "_e.src_port", F.when(F.col("ident").isin(*DECLARERS), 0).otherwise(F.coalesce("pid", F.lit(0))).alias("pid"), F.lit(0).alias("ses"), F.map_concat(F.col("_e.fields"), about).alias("fields"))
 

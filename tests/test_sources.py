@@ -220,3 +220,12 @@ def test_renderers(spark):
     df = spark.createDataFrame([(91, "high", "suspected_agent", "", ["rhythm.burst", "a|b"])], "score int, level string, class string, agent string, reasons array<string>")
     assert df.select(sinks.explanation().alias("x")).first().x == "This session looks like an unknown tool (score 91, high) because of rhythm.burst, a|b."
     assert sinks.markdown(df.select("score", F.lit("a|b").alias("x"))) == "| score | x |\n|---|---|\n| 91 | a\\|b |\n"
+
+
+def test_patterns_run_once_a_line(spark):
+    """A filter on what a line is must not carry the patterns of all messages below it, once for each that is told apart."""
+    logs = spark.range(10).select(F.format_string("2026-01-01T00:00:0%d.5Z web sshd[7]: Accepted publickey for u%d from 10.0.0.1 port 22 ssh2: ED25519 SHA256:k", "id", "id").alias("value"))
+    events = sshd_log.events(logs)
+    assert events._jdf.queryExecution().optimizedPlan().toString().count("Remote protocol version") <= 3
+    row = events.orderBy("ts").first()
+    assert (row.kind, row.user, row.src_ip, row.src_port, row.pid, row.fields["fp"], row.fields["method"]) == ("ssh.auth_ok", "u0", "10.0.0.1", 22, 7, "SHA256:k", "publickey")
