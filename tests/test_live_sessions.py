@@ -86,3 +86,25 @@ def test_a_late_log_in_takes_what_its_connection_did_before():
     host.apply(at(100, "ssh.disconnect", "bob", 901, 60, scope="connection"))
     host.trim(100 * 1_000_000 + correlate.WINDOW + 1)
     assert set(host.m["conns"]) == {"h|10.0.0.3|900@2000000"} and not any(k.startswith("h|bob") for k in host.m["sessions"])
+
+
+def test_freeze_spans_give_the_first_window_listed():
+    freezes = [("a", 10, 20), ("b", 5, 30), ("none", 7, 7), ("c", 28, 40), ("d", 12, 14)]
+    starts, spans = live.freeze_spans(freezes)
+    for t in range(45):
+        assert spans[int(starts.searchsorted(t, side="right"))] == next(((n, end) for n, start, end in freezes if start <= t < end), ("", None))
+    assert live.freeze_spans([])[1] == [("", None)]
+
+
+def test_keys_share_groups_and_end_each_at_its_time(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(live, "GROUPS", 1)
+    minute, at = 60_000_000, "k string, ts timestamp, us long, rank int, declared boolean"
+    batches = [[("a", 0, 2), ("b", 1, 2), (None, 1, 0)], [("b", 10, 3), ("c", 20, 1)], [("c", 60, 2), ("a", 61, 1)], [("x", 200, 0)], [("x", 400, 0)]]
+    for n, batch in enumerate(batches):
+        rows = spark.createDataFrame([(k, t * minute, r) for k, t, r in batch], "k string, us long, rank int")
+        rows.select("k", F.timestamp_micros("us").alias("ts"), "us", "rank", F.lit(False).alias("declared")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(at).parquet(str(tmp_path / "in"))
+        live.run_once(live.policy_stream(stream, key="k"), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    got = sorted((r.k, r.us // minute, r.event, r["rank"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    # a row at the very first moment is not after the watermark, as with a group for each key
+    assert got == [("a", 61, "info", 1), ("b", 1, "agent_detected", 2), ("b", 10, "agent_ended", 3), ("b", 10, "agent_high", 3), ("c", 20, "info", 1), ("c", 60, "agent_detected", 2), ("c", 60, "agent_ended", 2)]
