@@ -10,13 +10,14 @@ of a block. Only the files of shards that lose or gain a row are written anew.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyhound.llm.common import documents, named, stored, text_or_empty
+from tallyhound.llm.common import documents, named, shared_folder, stored, text_or_empty
 
 #: Size classes for each doubling of a row's bytes.
 CLASSES = 2
@@ -123,14 +124,30 @@ def rewrite_affected(rows: DataFrame, plan: DataFrame, folders: dict[int, str],
     fresh = f"{path.rstrip('/')}/rewrite-{uuid.uuid4().hex}"
     new = plan.filter(F.col("shard").isin(changed)).select(named(key), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
     new = stored(new, "rewritten-places")
-    placed = rows.join(new, key).drop(key).withColumn("_file", F.floor(F.col("_slot") / file_rows))
+    placed = rows.join(new.hint("shuffle_hash"), key).drop(key).withColumn("_file", F.floor(F.col("_slot") / file_rows))
     placed.repartition("_shard", "_file").sortWithinPartitions("_shard", "_slot").drop("_file", "_slot").write.partitionBy("_shard").parquet(fresh)
     return out | {r[0]: f"{fresh}/_shard={r[0]}" for r in new.select("_shard").distinct().collect()}
 
 
+def resharded(spark: SparkSession, docs: DataFrame, was: Column) -> DataFrame:
+    """docs (doc_id, text) after all of it: written as old shards (`was`), planned, the changed shards written anew, and
+    every shard read back from where it lies then: doc_id, text_crc32, shard, slot, size, old_shard."""
+    old = shared_folder(spark, "old-shards")
+    docs = docs.select("doc_id", "text", F.coalesce(was, F.lit(0)).cast("int").alias("_shard"), F.monotonically_increasing_id().alias("number"))
+    docs.write.partitionBy("_shard").parquet(old)
+    lying = spark.read.schema(docs.schema).parquet(old)
+    plan = reshard(lying.select("number", F.octet_length(text_or_empty()).alias("bytes"), F.col("_shard").alias("was")), old_shard=F.col("was"), size=F.col("bytes") + 1)
+    plan = stored(plan.select("number", "old_shard", "size", "shard", "slot"), "reshard-plan")
+    folders = {r[0]: f"{old}/_shard={r[0]}" for r in plan.select("old_shard").distinct().collect()}  # as many as shards
+    rows = lying.select(F.col("number").alias("_row"), "number", "doc_id", "text")
+    folders = rewrite_affected(rows, plan.withColumnRenamed("number", "_row"), folders, shared_folder(spark, "new-shards"))
+    held = [spark.read.schema(rows.drop("_row").schema).parquet(path).withColumn("shard", F.lit(k)) for k, path in sorted(folders.items())]
+    found = reduce(DataFrame.unionByName, held) if held else rows.drop("_row").withColumn("shard", F.lit(0)).limit(0)
+    return found.withColumn("text_crc32", F.crc32(text_or_empty())).drop("text").join(plan.hint("shuffle_hash"), ["number", "shard"]).drop("number")
+
+
 def op2_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents lie in 12 shards by their source, one of them hot, and go to 16 shards of as many rows each."""
-    text = text_or_empty()
-    docs = documents(spark, sf_dir).select("doc_id", (F.octet_length(text) + 1).cast("long").alias("bytes"), F.crc32(text).alias("text_crc32"), F.pmod(F.crc32(F.coalesce("source", F.lit(""))), F.lit(12)).cast("int").alias("was"))
-    out = reshard(docs, old_shard=F.col("was"), size=F.col("bytes"))
+    docs = documents(spark, sf_dir)
+    out = resharded(spark, docs, F.pmod(F.crc32(F.coalesce("source", F.lit(""))), F.lit(12)))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
