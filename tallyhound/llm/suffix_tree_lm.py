@@ -14,6 +14,7 @@ each predicted from all others, diverge enough from the bytes' prediction. They
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -236,7 +237,9 @@ class Tree:
             parts = [(own[e] >> (BITS * up)) & ((1 << (BITS * d)) - 1) for e in range(d, DEPTH + 1) for up in range(e - d + 1)]
             states.append(np.unique(np.concatenate(parts)))
         first = np.cumsum([0, *map(len, states)])
-        self.next = np.zeros((first[-1], CODES), dtype=np.int32)
+        # the state after a symbol and its log10 side by side, so that a step reads one place of a table that no cache holds
+        table = np.zeros((first[-1], CODES), dtype=[("next", np.int32), ("log", np.float32)])
+        following, probability = table["next"], table["log"]
 
         def place(d: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             if not len(states[d]):
@@ -245,7 +248,6 @@ class Tree:
             return first[d] + at, states[d][at] == keys
 
         symbols = np.arange(CODES, dtype=np.int64)
-        probability = np.zeros((first[-1], CODES), dtype=np.float32)
         symbol, count = nodes["symbol"].to_numpy(np.int64), nodes["n"].to_numpy(np.float64)
         for d in range(DEPTH + 1):
             mine = np.flatnonzero(depth == d)
@@ -255,7 +257,7 @@ class Tree:
                 at = slice(first[d] + lo, first[d] + lo + len(keys))
                 if d:
                     up = place(d - 1, keys & ((1 << (BITS * (d - 1))) - 1))[0]
-                    p, fall = probability[up].astype(np.float64), self.next[up]
+                    p, fall = probability[up].astype(np.float64), following[up]
                 else:
                     p, fall = np.full((1, CODES), 1.0 / CODES), np.zeros((1, CODES), dtype=np.int32)
                 n = np.zeros((len(keys), CODES))
@@ -265,15 +267,11 @@ class Tree:
                 probability[at] = (n + weight * p) / (n.sum(axis=1, keepdims=True) + weight)
                 if d < DEPTH and len(states[d + 1]):
                     to, there = place(d + 1, (keys[:, None] << BITS) | symbols)
-                    self.next[at] = np.where(there, to, fall)
+                    following[at] = np.where(there, to, fall)
                 else:
-                    self.next[at] = fall
-        self.log = np.log10(probability, out=probability).ravel()
-        self.next = self.next.ravel()
-        state = 0
-        for _ in range(DEPTH):
-            state = self.next[state * CODES]
-        self.start = int(state)
+                    following[at] = fall
+        np.log10(probability, out=probability)
+        self.step = table.ravel().view(np.int64)
 
     def positions(self, raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """log10 of the probability of each byte of the streamed texts, 0 before them. All texts are followed at once, in
@@ -287,14 +285,14 @@ class Tree:
         length = np.minimum(SPAN, last[owner] + 1 - begin)
         order = np.argsort(-length, kind="stable")
         begin, length = begin[order] - DEPTH, length[order]
-        state, out = np.zeros(len(begin), dtype=np.int32), np.zeros(len(raw))
+        state, out = np.zeros(len(begin), dtype=np.int64), np.zeros(len(raw))
         for t in range(DEPTH + int(length[0]) if len(length) else 0):
             m = len(begin) if t <= DEPTH else int(np.searchsorted(-length, DEPTH - t, side="left"))
             place = begin[:m] + t
-            at = state[:m] * CODES + codes[place]
+            found = self.step[state[:m] * CODES + codes[place]].view(np.int32).reshape(-1, 2)
             if t >= DEPTH:
-                out[place] = self.log[at]
-            state[:m] = self.next[at]
+                out[place] = found[:, 1].view(np.float32)
+            state[:m] = found[:, 0]
         return out + self.rare[raw]
 
     def score(self, texts: list[list[bytes]]) -> np.ndarray:
@@ -342,6 +340,17 @@ def phrase_gains(after: DataFrame, s: Settings) -> DataFrame:
     return found.groupBy("row").agg(F.sum(p - F.log10(F.col("total") + w)).alias("more"))
 
 
+#: The tree that this worker built last, by the name of its model: a worker scores many tasks of one model.
+_BUILT: dict[str, Tree] = {}
+
+
+def built(name: str, *model) -> Tree:  # noqa: ANN002
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Tree(*model)
+    return _BUILT[name]
+
+
 def lm_score(df: DataFrame, *, held_out: str = "held_out", id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
     """One row per row of df: id_col, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -363,11 +372,11 @@ def lm_score(df: DataFrame, *, held_out: str = "held_out", id_col: str = "doc_id
     whole = tokens + 0.5 * (kinds + 1)
     common = {bytes(r[0]): float(np.log10((r[1] + 0.5) / whole)) for r in words.filter(F.col("n") > tokens / settings.common).collect()}  # fewer than settings.common rows
     end = float(np.log10((ends + 0.5) / whole))
-    shared = spark.sparkContext.broadcast((nodes, code, letters, settings, common))
+    shared, model = spark.sparkContext.broadcast((nodes, code, letters, settings, common)), uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         nodes, code, letters, s, common = shared.value
-        tree = Tree(nodes, code, letters, s)
+        tree = built(model, nodes, code, letters, s)
         del nodes
         for batch in batches:
             texts = batch["text"].tolist()
@@ -376,7 +385,7 @@ def lm_score(df: DataFrame, *, held_out: str = "held_out", id_col: str = "doc_id
                 split = [words_of(t) for t in texts[a:b]]
                 scores, after = tree.score_phrases(split, s.phrase)
                 for words, score in zip(split, scores):
-                    found = [common.get(w) for w in words]
+                    found = list(map(common.get, words))
                     known = [x for x in found if x is not None]
                     rare = Counter([w for w, x in zip(words, found) if x is None]) if len(known) < len(words) else {}
                     rows.append((len(words) + 1, len(known) + (ends > 0), sum(known) + end, float(score), list(rare.keys()), list(rare.values())))
